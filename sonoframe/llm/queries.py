@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonoframe.llm import turns
+from sonoframe.llm import mixing, packing, splits, turns
 from sonoframe.sources.tables import load
 
 
@@ -15,5 +15,42 @@ def p1_turn_texts(spark, d):
     return turns.speaker_turns(load(spark, d, "transcript_lines"), load(spark, d, "speaker_codes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_turn_texts)}
+def _groups(spark, d):
+    return splits.related_groups(load(spark, d, "recordings"), load(spark, d, "participants"), load(spark, d, "sessions"))
+
+
+def p4_found(spark, d):
+    return _groups(spark, d).where("group_key IS NOT NULL")
+
+
+def p4_splits(spark, d):
+    return splits.assign_splits(_groups(spark, d), load(spark, d, "split_targets"))
+
+
+def p4_report(spark, d):
+    return splits.split_report(p4_splits(spark, d), load(spark, d, "split_targets"))
+
+
+def p6_packing(spark, d):
+    return packing.pack_documents(load(spark, d, "documents"), load(spark, d, "containers"))
+
+
+def p6_report(spark, d):
+    return packing.packing_report(p6_packing(spark, d), load(spark, d, "containers"))
+
+
+def _sized(spark, d):
+    return mixing.sized_documents(load(spark, d, "documents"), load(spark, d, "languages"), load(spark, d, "mix_targets"))
+
+
+def p7_mixes(spark, d):
+    return mixing.mix_sources(_sized(spark, d), load(spark, d, "mix_targets"))
+
+
+def p7_report(spark, d):
+    sized, targets = _sized(spark, d), load(spark, d, "mix_targets")
+    return mixing.mix_report(mixing.mix_sources(sized, targets), sized, targets)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_turn_texts, p4_found, p4_splits, p4_report, p6_packing, p6_report, p7_mixes, p7_report)}
 SQL: dict[str, str] = {}
