@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonoframe.llm import mixing, packing, splits, turns
+from sonoframe.llm import mixing, packing, shared, splits, turns
 from sonoframe.sources.tables import load
 
 
@@ -52,5 +52,27 @@ def p7_report(spark, d):
     return mixing.mix_report(mixing.mix_sources(sized, targets), sized, targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_turn_texts, p4_found, p4_splits, p4_report, p6_packing, p6_report, p7_mixes, p7_report)}
+def _spans(spark, d):
+    return shared.SharedSpans(load(spark, d, "documents"))
+
+
+def p8_found(spark, d):
+    return _spans(spark, d).pairs()
+
+
+def p8_shared_parts(spark, d):
+    return shared.shared_parts(_spans(spark, d))
+
+
+def p8_without_repeats(spark, d):
+    return shared.without_repeats(_spans(spark, d))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_turn_texts, p4_found, p4_splits, p4_report, p6_packing, p6_report, p7_mixes, p7_report,
+        p8_found, p8_shared_parts, p8_without_repeats,
+    )
+}
 SQL: dict[str, str] = {}
