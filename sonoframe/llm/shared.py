@@ -84,7 +84,7 @@ def _stretch(text: str, span: int) -> list[tuple[int, int, int]]:
 
 
 def _fingerprints(documents: DataFrame, span: int) -> DataFrame:
-    """f, doc_id, lo, hi: the pieces of each text."""
+    """f, doc_id, mark, lo, hi: the pieces of each text, which pass on its mark."""
 
     def batches(parts):
         import numpy as np
@@ -97,10 +97,12 @@ def _fingerprints(documents: DataFrame, span: int) -> DataFrame:
                 rows += own
                 ids.append((doc, len(own)))
             table = np.array(rows, dtype="int64").reshape(-1, 3)
-            docs = np.repeat(np.array([d for d, _ in ids], dtype="int64"), [n for _, n in ids])
-            yield pd.DataFrame({"f": table[:, 0], "doc_id": docs, "lo": table[:, 1].astype("int32"), "hi": table[:, 2].astype("int32")})
+            times = [n for _, n in ids]
+            docs = np.repeat(np.array([d for d, _ in ids], dtype="int64"), times)
+            marks = np.repeat(part["mark"].to_numpy(dtype="int64"), times)
+            yield pd.DataFrame({"f": table[:, 0], "doc_id": docs, "mark": marks, "lo": table[:, 1].astype("int32"), "hi": table[:, 2].astype("int32")})
 
-    return documents.select("doc_id", "text").mapInPandas(batches, "f bigint, doc_id bigint, lo int, hi int")
+    return documents.select("doc_id", "text", "mark").mapInPandas(batches, "f bigint, doc_id bigint, mark bigint, lo int, hi int")
 
 
 def _matched(parts, span: int):
@@ -180,16 +182,16 @@ class SharedSpans:
         firsts = named.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
         #: least, doc_id, n: each long document under the smallest id with the same text
         self.copies = durable(named.join(firsts, "sha").select("least", "doc_id", "n"))
-        later = self.copies.where("doc_id <> least").select("doc_id")
-        self.firsts = long.join(later, "doc_id", "left_anti")
-        self._find()
+        self._find(long)
 
-    def _find(self) -> None:
-        prints = _fingerprints(self.firsts, self.span)
-        often = durable(prints.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"))
-        own = prints.join(often, "f").groupBy("doc_id").agg(F.collect_list(F.struct("f", "lo", "hi")).alias("own"))  # bounded by the text
+    def _find(self, long: DataFrame) -> None:
+        prints = _fingerprints(long.withColumn("mark", F.xxhash64("text")), self.span)
+        different = F.min("mark") != F.max("mark")  # k-grams of one text and its copies are no use
+        often = durable(prints.groupBy("f").agg(different.alias("several")).where("several").select("f"))
+        later = self.copies.where("doc_id <> least").select("doc_id")
+        own = prints.select("f", "doc_id", "lo", "hi").join(often, "f").join(later, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("f", "lo", "hi")).alias("own"))  # bounded by the text
         cut = F.transform("own", lambda p: F.struct(p["f"].alias("f"), p["lo"].alias("lo"), F.substring(F.col("text"), p["lo"] + 1, p["hi"] - p["lo"]).alias("text")))
-        pieces = self.firsts.join(own, "doc_id").select("doc_id", F.explode(cut).alias("p")).select("doc_id", "p.*")
+        pieces = long.join(own, "doc_id").select("doc_id", F.explode(cut).alias("p")).select("doc_id", "p.*")
         pieces = durable(pieces.withColumn("piece", F.md5("text")))
         #: f, piece, doc_id, lo: where each piece stands
         self.places = pieces.select("f", "piece", "doc_id", "lo", F.length("text").alias("size"))
