@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonoframe.llm import mixing, packing, shared, splits, turns
+from sonoframe.llm import language, mixing, packing, shared, splits, turns
 from sonoframe.sources.tables import load
 
 
@@ -31,6 +31,14 @@ def p4_report(spark, d):
     return splits.split_report(p4_splits(spark, d), load(spark, d, "split_targets"))
 
 
+def p5_segments(spark, d):
+    return language.language_segments(load(spark, d, "transcriptions"), load(spark, d, "languages"))
+
+
+def p5_found(spark, d):
+    return language.corrected_languages(p5_segments(spark, d)).select("transcription_id", "seg_no", "language_code")
+
+
 def p6_packing(spark, d):
     return packing.pack_documents(load(spark, d, "documents"), load(spark, d, "containers"))
 
@@ -71,7 +79,7 @@ def p8_without_repeats(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_turn_texts, p4_found, p4_splits, p4_report, p6_packing, p6_report, p7_mixes, p7_report,
+        p1_found, p1_turn_texts, p4_found, p4_splits, p4_report, p5_found, p5_segments, p6_packing, p6_report, p7_mixes, p7_report,
         p8_found, p8_shared_parts, p8_without_repeats,
     )
 }
