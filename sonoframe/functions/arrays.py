@@ -9,6 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once. A column expression that a lambda refers to would otherwise be
+    computed anew for each element, as nothing is hoisted out of lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def total(a: Column) -> Column:
     """Sum of an array of doubles, 0 for an empty one."""
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -47,10 +53,13 @@ def dot(a: Column, b: Column) -> Column:
 
 def quantile(ordered: Column, q: float) -> Column:
     """Quantile of a sorted array, linear between neighbours."""
-    at = (F.size(ordered) - 1) * F.lit(q)
-    low = F.floor(at).cast("int")
-    a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
-    return a + (b - a) * (at - low)
+    def between(a: Column) -> Column:
+        at = (F.size(a) - 1) * F.lit(q)
+        low = F.floor(at).cast("int")
+        x, y = F.get(a, low), F.get(a, F.least(low + 1, F.size(a) - 1))
+        return x + (y - x) * (at - low)
+
+    return let(ordered, between)
 
 
 def arg_max(a: Column) -> Column:
@@ -73,11 +82,14 @@ def cosine(a: Column, b: Column) -> Column:
 def cross_correlation(a: Column, b: Column) -> Column:
     """Full normalized cross-correlation of two signals, len(a) + len(b) - 1 long; null where the energy is 0 or a
     signal is empty. Quadratic; for long signals use kernels.cross_correlation."""
-    n, m = F.size(a), F.size(b)
-    scale = F.sqrt(dot(a, a) * dot(b, b))
+    def of(p: Column) -> Column:
+        a, b, scale = p["a"], p["b"], p["scale"]
+        n, m = F.size(a), F.size(b)
+
+        def at(k: Column) -> Column:  # sum over i of a[i + k - (m - 1)] b[i]
+            shift = k - (m - 1)
+            return F.aggregate(indices(m), F.lit(0.0), lambda s, i: s + F.coalesce(F.when((i + shift >= 0) & (i + shift < n), F.get(a, i + shift) * F.get(b, i)), F.lit(0.0)))
 
-    def at(k: Column) -> Column:  # sum over i of a[i + k - (m - 1)] b[i]
-        shift = k - (m - 1)
-        return F.aggregate(indices(m), F.lit(0.0), lambda s, i: s + F.coalesce(F.when((i + shift >= 0) & (i + shift < n), F.get(a, i + shift) * F.get(b, i)), F.lit(0.0)))
+        return F.when((n > 0) & (m > 0) & (scale > 0), F.transform(indices(n + m - 1), lambda k: at(k) / scale))
 
-    return F.when((n > 0) & (m > 0) & (scale > 0), F.transform(indices(n + m - 1), lambda k: at(k) / scale))
+    return let(F.struct(a.alias("a"), b.alias("b"), F.sqrt(dot(a, a) * dot(b, b)).alias("scale")), of)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sonoframe.functions.arrays import absolutes, dot, indices, mean, piece, quantile, squares, starts, total
+from sonoframe.functions.arrays import absolutes, dot, indices, let, mean, piece, quantile, squares, starts, total
 
 NAN = float("nan")
 
@@ -18,6 +18,11 @@ def _flat(ch: Column) -> Column:
     return F.flatten(ch)
 
 
+def _centred(x: Column) -> Column:
+    """Without the mean, which is computed once."""
+    return let(mean(x), lambda mu: F.transform(x, lambda v: v - mu))
+
+
 def _per_channel(ch: Column, f) -> Column:
     return mean(F.transform(ch, f))
 
@@ -58,15 +63,16 @@ def proportion_clipped_metric(ch: Column, t: float = 1.0) -> Column:
     other. Mean over channels; 0 for an empty signal."""
 
     def of(c: Column) -> Column:
-        a = absolutes(c)
-        top = F.array_max(a)
+        return let(absolutes(c), lambda a: let(F.array_max(a), lambda top: share(a, top)))
+
+    def share(a: Column, top: Column) -> Column:
         close = F.transform(a, lambda v: F.abs(v - top) <= 1e-8 + 1e-5 * F.abs(top))
         step = lambda s, v: F.struct(
             F.when(v, s["run"] + 1).otherwise(0).alias("run"), F.when(v, F.greatest(s["longest"], s["run"] + 1)).otherwise(s["longest"]).alias("longest")
         )
-        longest = F.aggregate(close, F.struct(F.lit(0).alias("run"), F.lit(0).alias("longest")), step)["longest"]
-        n = F.when(top >= t, F.size(F.filter(a, lambda v: v >= t))).when(longest > 3, F.size(F.filter(close, lambda v: v))).otherwise(0)
-        return F.try_divide(n, F.size(a))
+        plateau = lambda c: F.aggregate(c, F.struct(F.lit(0).alias("run"), F.lit(0).alias("longest")), step)["longest"] > 3
+        near = let(close, lambda c: F.when(plateau(c), F.size(F.filter(c, lambda v: v))).otherwise(0))
+        return F.try_divide(F.when(top >= t, F.size(F.filter(a, lambda v: v >= t))).otherwise(near), F.size(a))
 
     return F.when(F.size(_flat(ch)) == 0, 0.0).otherwise(_per_channel(ch, of))
 
@@ -89,8 +95,7 @@ def zero_crossing_rate_metric(ch: Column) -> Column:
 def signal_variance_metric(ch: Column) -> Column:
     """Unbiased variance of all samples; NaN for fewer than two."""
     x = _flat(ch)
-    mu = mean(x)
-    return F.coalesce(F.when(F.size(x) > 1, total(F.transform(x, lambda v: (v - mu) * (v - mu))) / F.nullif(F.size(x) - 1, F.lit(0))), F.lit(NAN))
+    return F.coalesce(F.when(F.size(x) > 1, total(squares(_centred(x))) / F.nullif(F.size(x) - 1, F.lit(0))), F.lit(NAN))
 
 
 def dynamic_range_metric(ch: Column) -> Column:
@@ -103,20 +108,24 @@ def mean_absolute_amplitude_metric(ch: Column) -> Column:
 
 
 def mean_absolute_deviation_metric(ch: Column) -> Column:
-    def of(c: Column) -> Column:
-        mu = mean(c)
-        return mean(F.transform(c, lambda v: F.abs(v - mu)))
-
-    return _per_channel(ch, of)
+    return _per_channel(ch, lambda c: mean(absolutes(_centred(c))))
 
 
 def shannon_entropy_amplitude_metric(ch: Column, bins: int = 256) -> Column:
     """Entropy in bits over equal bins from the smallest to the largest sample, the last bin closed; 0 if constant."""
+    def entropy(p: Column) -> Column:
+        x, low, high = p["x"], p["low"], p["high"]
+        ordered = F.array_sort(F.transform(x, lambda v: F.least(F.floor(F.try_divide(v - low, high - low) * bins), F.lit(bins - 1)).cast("int")))
+        # equal bins follow each other: the sum of k log2 k over the runs, the last run still open at the end
+        start = F.struct(F.lit(-1).alias("bin"), F.lit(0.0).alias("k"), F.lit(0.0).alias("done"))
+        closed = lambda s: s["done"] + F.when(s["k"] > 0, s["k"] * F.log2(s["k"])).otherwise(0.0)
+        same = lambda s, b: s["bin"] == b
+        step = lambda s, b: F.struct(b.alias("bin"), F.when(same(s, b), s["k"] + 1).otherwise(1.0).alias("k"), F.when(same(s, b), s["done"]).otherwise(closed(s)).alias("done"))
+        n = F.size(x).cast("double")
+        return F.when(high == low, 0.0).when(n > 0, F.log2(n) - F.aggregate(ordered, start, step, closed) / n)
+
     x = _flat(ch)
-    low, high = F.array_min(x), F.array_max(x)
-    bin_of = F.transform(x, lambda v: F.least(F.floor(F.try_divide(v - low, high - low) * bins), F.lit(bins - 1)))
-    shares = F.transform(F.array_distinct(bin_of), lambda b: F.size(F.filter(bin_of, lambda y: y == b)) / F.size(bin_of).cast("double"))
-    return F.when(high == low, 0.0).when(F.size(x) > 0, -total(F.transform(shares, lambda p: p * F.log2(p))))
+    return let(F.struct(x.alias("x"), F.array_min(x).alias("low"), F.array_max(x).alias("high")), entropy)
 
 
 def crest_factor_metric(ch: Column) -> Column:
@@ -127,8 +136,7 @@ def crest_factor_metric(ch: Column) -> Column:
 
 
 def _moment(x: Column, k: int) -> Column:
-    mu = mean(x)
-    return mean(F.transform(x, lambda v: F.pow(v - mu, F.lit(k))))
+    return mean(F.transform(_centred(x), lambda v: F.pow(v, F.lit(k))))
 
 
 def amplitude_skew_metric(ch: Column) -> Column:
@@ -160,13 +168,11 @@ def phase_correlation_metric(ch: Column, frame: int = 2048, hop: int = 512) -> C
     pairs = F.flatten(F.transform(indices(k), lambda i: F.transform(F.filter(indices(k), lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
     def centred(c: Column, at: Column) -> Column:
-        part = piece(c, at, size)
-        mu = mean(part)
-        return F.transform(part, lambda v: v - mu)
+        return let(piece(c, at, size), _centred)
 
     def corr(at: Column, p: Column) -> Column:
-        a, b = centred(F.get(ch, p["i"]), at), centred(F.get(ch, p["j"]), at)
-        return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+        both = F.struct(centred(F.get(ch, p["i"]), at).alias("a"), centred(F.get(ch, p["j"]), at).alias("b"))
+        return let(both, lambda s: F.try_divide(dot(s["a"], s["b"]), F.sqrt(dot(s["a"], s["a"])) * F.sqrt(dot(s["b"], s["b"]))))
 
     frames = F.transform(begin, lambda at: mean(F.filter(F.transform(pairs, lambda p: corr(at, p)), lambda r: r.isNotNull())))
     return F.when(k < 2, 1.0).otherwise(F.coalesce(mean(F.filter(frames, lambda r: r.isNotNull())), F.lit(0.0)))

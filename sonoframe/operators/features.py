@@ -83,8 +83,10 @@ def pitch(clips: DataFrame, low: int = 80, high: int = 500) -> DataFrame:
 
 def to_db(power: Column, top_db: float = 80.0) -> Column:
     """Decibels of an array of powers, no lower than ``top_db`` under the largest; in the JVM."""
+    from sonoframe.functions.arrays import let
+
     db = F.transform(power, lambda x: F.lit(10.0) * F.log10(F.greatest(x, F.lit(1e-10))))
-    return F.transform(db, lambda x: F.greatest(x, F.array_max(db) - top_db))
+    return let(db, lambda a: let(F.array_max(a) - top_db, lambda low: F.transform(a, lambda x: F.greatest(x, low))))
 
 
 def voice_features(clips: DataFrame, families: Iterable[str] = tuple(FAMILIES)) -> DataFrame:

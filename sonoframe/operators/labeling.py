@@ -40,18 +40,34 @@ def prune_checks(checks: DataFrame, columns: list[str], threshold: float = 0.99)
     matrix of the columns comes to the driver."""
     if not columns:
         return [], {}
-    x = {c: F.col(c).cast("double") for c in columns}
-    sums = [F.count_distinct(F.col(c)).alias(f"d_{c}") for c in columns]
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    sums += [F.try_divide(F.covar_pop(x[a], x[b]), F.stddev_pop(F.when(x[b].isNotNull(), x[a])) * F.stddev_pop(F.when(x[a].isNotNull(), x[b]))).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)]
-    row = checks.agg(*sums).first()
-    r = {p: row[f"r_{i}"] for i, p in enumerate(pairs)}
+    import numpy as np
+    import pandas as pd
+
+    d = len(columns)
+
+    def moments(batches):
+        total = np.zeros((4, d, d))
+        for batch in batches:
+            x = batch.to_numpy(dtype="float64")
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0), there.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, x.T @ x, (x * x).T @ m])
+        yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
+
+    values = checks.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    flat = np.zeros(4 * d * d)
+    for r in values.mapInPandas(moments, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        flat[r.i] = r.v
+    n, sx, sxy, sxx = flat.reshape(4, d, d)  # over the rows where both columns have a value
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = (n * sxy - sx * sx.T) / np.sqrt((n * sxx - sx**2) * (n * sxx - sx**2).T)
+    constant = np.diag(n) * np.diag(sxx) - np.diag(sx) ** 2 <= 1e-12
     kept: list[str] = []
     dropped: dict[str, list[str]] = {}
-    for c in columns:
-        if row[f"d_{c}"] <= 1:
+    for i, c in enumerate(columns):
+        if constant[i]:
             continue
-        cause = next((k for k in kept if (r[k, c] or 0) >= threshold), None)
+        cause = next((k for k in kept if r[columns.index(k), i] >= threshold), None)
         if cause is None:
             kept.append(c)
         else:

@@ -73,7 +73,7 @@ def flattened(nested: DataFrame, column: str = "lines") -> DataFrame:
 
 
 def formatted(text: Column, speaker: Column, start: Column, end: Column) -> Column:
-    """``speaker: text [s.ss - e.ee]``, parts left out where null."""
+    """``speaker: text [s.ss - e.ee]``, parts left out where null; times are rounded half up as written in decimals."""
     head = F.when(F.coalesce(speaker, F.lit("")) != "", F.concat(speaker, F.lit(": "))).otherwise("")
     times = F.when(start.isNotNull() & end.isNotNull(), F.format_string(" [%.2f - %.2f]", start, end)).otherwise("")
     return F.concat(head, F.coalesce(text, F.lit("")), times)
