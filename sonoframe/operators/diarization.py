@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonoframe.functions.arrow import arrow_column, signals
+
 VOICE = "VOICE"
 
 
@@ -39,18 +41,17 @@ def voice_seconds(lines: DataFrame) -> DataFrame:
 def voice_snr(channels: Column, rate: Column, lines: Column) -> Column:
     """Power of the samples within VOICE intervals (ends included) over that of the gaps, in dB; NaN if either has no
     samples or the gaps no power. ``lines`` is an array of (speaker, start_sec, end_sec); the first channel counts."""
-    import pandas as pd
-
-    def run(ch: pd.Series, hz: pd.Series, rows: pd.Series) -> pd.Series:
+    def run(ch, hz, rows):
         import numpy as np
+        import pyarrow as pa
 
         out = []
-        for c, r, own in zip(ch, hz, rows, strict=True):
-            usable = [x for x in (() if own is None else own) if x["start_sec"] is not None and x["end_sec"] is not None]
-            if c is None or not len(c) or not len(c[0]) or not usable:
+        for w, r, own in zip(signals(ch), hz.to_pylist(), rows.to_pylist(), strict=True):
+            usable = [x for x in own or () if x["start_sec"] is not None and x["end_sec"] is not None]
+            if w is None or not w.shape[1] or not usable:
                 out.append(float("nan"))
                 continue
-            power = np.asarray(c[0], dtype="float64") ** 2
+            power = w[0] ** 2
             time = np.arange(len(power)) / r
             voice, noise, end = [], [], 0.0
             for x in usable:
@@ -63,10 +64,9 @@ def voice_snr(channels: Column, rate: Column, lines: Column) -> Column:
             v, n = np.concatenate([*voice, []]), np.concatenate(noise)
             with np.errstate(divide="ignore"):
                 out.append(float(10 * np.log10(v.mean() / n.mean())) if len(v) and len(n) and n.mean() > 0 else float("nan"))
-        return pd.Series(out, dtype="float64")
+        return pa.array(out, pa.float64())
 
-    run.__annotations__ = {"ch": pd.Series, "hz": pd.Series, "rows": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "double")(channels, rate, lines)
+    return arrow_column(run, "double", channels, rate, lines)
 
 
 def speech_metrics(clips: DataFrame, lines: DataFrame, names: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonoframe.functions.arrow import arrow_column, doubles, signals
 from sonoframe.functions.features import FAMILIES, FAMILY_FEATURES
 
 #: Families of the health preset: no duration, jitter and shimmer.
@@ -17,25 +18,22 @@ MATRIX = "array<array<double>>"
 
 def _matrix_udf(kernel, channels: Column, rate: Column) -> Column:
     """An array of rows per clip; NaN in a single cell where the kernel fails."""
-    import pandas as pd
-
-    def run(ch: pd.Series, hz: pd.Series) -> pd.Series:
+    def run(ch, hz):
         import numpy as np
+        import pyarrow as pa
 
         out = []
-        for c, r in zip(ch, hz, strict=True):
-            if c is None or not len(c):
+        for w, r in zip(signals(ch), hz.to_pylist(), strict=True):
+            if w is None:
                 out.append(None)
                 continue
-            x = np.mean([np.asarray(v, dtype="float64") for v in c], axis=0)
             try:
-                out.append(np.atleast_2d(kernel(x, int(r))).tolist())
+                out.append(np.atleast_2d(kernel(w.mean(axis=0), int(r))).tolist())
             except (ValueError, IndexError, ZeroDivisionError):
                 out.append([[float("nan")]])
-        return pd.Series(out)
+        return pa.array(out, pa.list_(pa.list_(pa.float64())))
 
-    run.__annotations__ = {"ch": pd.Series, "hz": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, MATRIX)(channels, rate)
+    return arrow_column(run, MATRIX, channels, rate)
 
 
 def spectrogram(clips: DataFrame, n_fft: int = 1024, win: int | None = None, hop: int | None = None) -> DataFrame:
@@ -96,18 +94,16 @@ def voice_features(clips: DataFrame, families: Iterable[str] = tuple(FAMILIES))
     if not families:
         return clips.withColumn("features", F.create_map().cast("map<string,double>"))
     names = [n for f in families for n in FAMILY_FEATURES[f]]
-    import pandas as pd
-
-    def run(ch: pd.Series, hz: pd.Series) -> pd.DataFrame:
+    def run(ch, hz):
         import numpy as np
 
         from sonoframe.functions import features as f
 
         rows = []
-        for c, r in zip(ch, hz, strict=True):
+        for w, r in zip(signals(ch), hz.to_pylist(), strict=True):
             found = dict.fromkeys(names, float("nan"))
-            if c is not None and len(c) and len(c[0]):
-                x = np.mean([np.asarray(v, dtype="float64") for v in c], axis=0)
+            if w is not None and w.shape[1]:
+                x = w.mean(axis=0)
                 with np.errstate(all="ignore"):
                     try:
                         limits = f.pitch_range(x, int(r))
@@ -119,11 +115,10 @@ def voice_features(clips: DataFrame, families: Iterable[str] = tuple(FAMILIES))
                         except (ValueError, IndexError, ZeroDivisionError, np.linalg.LinAlgError):
                             pass
             rows.append([found[n] for n in names])
-        return pd.DataFrame(rows, columns=names, dtype="float64")
+        return doubles(rows, names)
 
-    run.__annotations__ = {"ch": pd.Series, "hz": pd.Series, "return": pd.DataFrame}
-    udf = F.pandas_udf(run, ", ".join(f"{n} double" for n in names))
-    return clips.withColumn("features", udf("channels", "sampling_rate"))
+    schema = ", ".join(f"{n} double" for n in names)
+    return clips.withColumn("features", arrow_column(run, schema, F.col("channels"), F.col("sampling_rate")))
 
 
 def health_measurements(clips: DataFrame) -> DataFrame:

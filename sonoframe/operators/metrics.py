@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonoframe.functions import kernels, signal
+from sonoframe.functions.arrow import arrow_column, doubles, signals
 from sonoframe.operators.diarization import speech_metrics
 
 #: Metrics that have a column expression.
@@ -28,24 +29,13 @@ ALL = (*kernels.METRICS, *SPEECH)
 
 def kernel_struct(names: Iterable[str], channels: Column) -> Column:
     """One struct column with the named metrics, computed by numpy in Arrow batches. A metric that fails is null."""
-    import pandas as pd
-
     names = list(names)
 
-    def run(batch: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
-        rows = []
-        for ch in batch:
-            if ch is None or not len(ch):
-                rows.append([None] * len(names))
-                continue
-            w = np.array([np.asarray(c, dtype="float64") for c in ch])
-            rows.append([_safe(kernels.METRICS[n], w) for n in names])
-        return pd.DataFrame(rows, columns=names, dtype="object")
+    def run(ch):
+        rows = [[None] * len(names) if w is None else [_safe(kernels.METRICS[n], w) for n in names] for w in signals(ch)]
+        return doubles(rows, names)
 
-    run.__annotations__ = {"batch": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, ", ".join(f"{n} double" for n in names))(channels)
+    return arrow_column(run, ", ".join(f"{n} double" for n in names), channels)
 
 
 def _safe(f, w):

@@ -239,7 +239,7 @@ def pose_coordinates(spark, d):
     people = _poses(spark, d).select("image_id", "pose_model", F.posexplode("individuals").alias("place", "p")).where("p IS NOT NULL")
     marks = people.select("image_id", "pose_model", "place", F.explode("p.normalized_landmarks").alias("name", "m")).where("m IS NOT NULL")
     both = F.when(F.col("pose_model") == "mp", pose.as_list(F.col("m"), "mp")).otherwise(pose.as_list(F.col("m"), "yolo"))
-    return marks.select("image_id", "place", "name", F.array_join(F.transform(both, lambda x: F.coalesce(F.format_string("%.3f", x), F.lit("none"))), " ").alias("coordinates"))
+    return marks.select("image_id", "place", "name", F.array_join(F.transform(both, lambda x: F.coalesce(F.format_string("%.3f", x + F.lit(0.0)), F.lit("none"))), " ").alias("coordinates"))
 
 
 _LATEST_POSE = "WITH r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY ingested_at DESC) AS k FROM image_poses), p AS (SELECT image_id, pose_model, generate_subscripts(individuals, 1) - 1 AS place, unnest(individuals) AS p FROM r WHERE k = 1), m AS (SELECT image_id, pose_model, place, unnest(map_entries(p.normalized_landmarks)) AS e FROM p WHERE p IS NOT NULL)\n"

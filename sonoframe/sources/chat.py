@@ -15,7 +15,7 @@ def chat_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     events, fillers' marks and pauses are no words; the shortened and completed forms of a word stay. The last token,
     the terminator, follows the words without a blank. Times are null without a time mark. All in the JVM.
     """
-    rows = spark.read.option("wholetext", True).text(paths).select(plain_path(F.col("_metadata.file_path")).alias("path"), "value")
+    rows = spark.read.text(paths, wholetext=True).select(plain_path(F.col("_metadata.file_path")).alias("path"), "value")
     joined = F.regexp_replace("value", r"\r?\n\t", " ")
     lines = rows.select("path", F.posexplode(F.split(joined, r"\r?\n")).alias("_at", "_line")).where(F.col("_line").startswith("*"))
     said = F.regexp_extract("_line", r"^\*[^:]+:\s*(.*)$", 1)
