@@ -30,64 +30,58 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], bucket_ms: int = BUC
     """``keys``, kind, from_ms, to_ms: the periods (kind ``period``) covered by the intervals of each key, touching
     intervals joined, and the gaps (kind ``gap``) between one period and the next.
 
-    ``intervals`` has the keys and bigint columns from_ms < to_ms. Within a time bucket session windows whose
-    duration is each row's own length merge what overlaps (partly before the shuffle). Buckets are then stitched:
-    of each bucket only its first and last period and latest end go through a window over the key, so no task ever
-    holds all intervals of a key. Repeated rows change nothing; a key with one period has no gap; no rows give none.
+    ``intervals`` has the keys (texts or numbers, null is a key of its own) and bigint columns from_ms < to_ms. Within a
+    time bucket session windows whose duration is each row's own length merge what overlaps (partly before the shuffle),
+    and sessions that touch become one piece. Of each bucket only its latest end and the start of its last piece go
+    through a window over the key, so no task ever holds all intervals of a key. Repeated rows change nothing; a key
+    with one period has no gap; no rows give none.
     """
+    plain, back, names = _without_nulls(intervals, keys)
     length = F.make_interval(secs=(F.col("to_ms") - F.col("from_ms")).cast("decimal(18,3)") / F.lit(1000).cast("decimal(18,3)"))
-    bucket = F.floor(F.col("from_ms") / F.lit(bucket_ms)).cast("bigint")
+    bucket = F.coalesce(F.floor(F.col("from_ms") / F.lit(bucket_ms)).cast("bigint"), F.lit(0))  # never null: all reads stay alike
+    local = [*names, "_bucket"]
     merged = (
-        intervals.select(*keys, "to_ms", bucket.alias("_bucket"), F.timestamp_millis("from_ms").alias("_at"), length.alias("_length"))
-        .groupBy(*keys, "_bucket", F.session_window("_at", F.col("_length")).alias("_session"))
+        plain.select(*names, "to_ms", bucket.alias("_bucket"), F.timestamp_millis("from_ms").alias("_at"), length.alias("_length"))
+        .groupBy(*local, F.session_window("_at", F.col("_length")).alias("_session"))
         .agg(F.max("to_ms").alias("to_ms"))
-        .select(*keys, "_bucket", F.unix_millis(F.col("_session.start")).alias("from_ms"), "to_ms")
+        .select(*local, F.unix_millis(F.col("_session.start")).alias("from_ms"), "to_ms")
     )
-    local = Window.partitionBy(*keys, "_bucket").orderBy("from_ms")
-    before = local.rowsBetween(Window.unboundedPreceding, -1)
-    # touching periods: a row starts an island if everything before it in the bucket ended earlier
-    islands = merged.withColumn("_head", F.coalesce(F.col("from_ms") > F.max("to_ms").over(before), F.lit(True)))
-    islands = islands.withColumn("_island", F.sum(F.col("_head").cast("int")).over(local.rowsBetween(Window.unboundedPreceding, 0)))
-    pieces = islands.groupBy(*keys, "_bucket", "_island").agg(F.min("from_ms").alias("from_ms"), F.max("to_ms").alias("to_ms"))
-
-    # one row per key and bucket: the latest end of all earlier buckets
-    across = Window.partitionBy(*keys).orderBy("_bucket")
-    ends = pieces.groupBy(*keys, "_bucket").agg(F.max("to_ms").alias("_end"))
-    carried = ends.select(*keys, "_bucket", F.coalesce(F.max("_end").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)).alias("_carry"))
-    pieces = _join(pieces, carried, [*keys, "_bucket"]).withColumn("_starts", F.col("from_ms") > F.col("_carry"))
-
-    # pieces that an earlier bucket runs into lengthen the last period before them
-    heads = F.when(F.col("_starts"), F.col("from_ms"))
-    buckets = pieces.groupBy(*keys, "_bucket").agg(
-        F.min(heads).alias("_first"), F.max(heads).alias("_last"), F.max(F.when(~F.col("_starts"), F.col("to_ms"))).alias("_absorbed")
-    )
-    # the next bucket with a head, and all that is absorbed up to and including that bucket
-    later = across.rowsBetween(1, Window.unboundedFollowing)
-    buckets = buckets.withColumn("_next", F.min("_first").over(later))
-    upto = F.count("_first").over(across.rowsBetween(Window.unboundedPreceding, -1))
-    buckets = buckets.withColumn("_run", upto)  # buckets whose absorbed pieces belong to the same head
-    absorbed = buckets.groupBy(*keys, F.col("_run").alias("_of")).agg(F.max("_absorbed").alias("_tail")).where("_tail IS NOT NULL")
-    buckets = buckets.where("_last IS NOT NULL").withColumn("_of", F.col("_run") + 1)
-    buckets = _join(buckets, absorbed, [*keys, "_of"], "left").select(*keys, "_bucket", "_last", "_next", "_tail")
-
-    starts = _join(pieces.where("_starts").select(*keys, "_bucket", "from_ms", "to_ms"), buckets, [*keys, "_bucket"])
-    is_last = F.col("from_ms") == F.col("_last")
-    starts = starts.withColumn("to_ms", F.when(is_last, F.greatest("to_ms", "_tail")).otherwise(F.col("to_ms")))
-    starts = starts.withColumn("_then", F.coalesce(F.lead("from_ms").over(local), F.when(is_last, F.col("_next"))))
-    period = F.struct(F.lit("period").alias("kind"), F.col("from_ms"), F.col("to_ms"))
-    gap = F.struct(F.lit("gap").alias("kind"), F.col("to_ms").alias("from_ms"), F.col("_then").alias("to_ms"))
-    both = F.when(F.col("_then").isNull(), F.array(period)).otherwise(F.array(period, gap))
-    return starts.select(*keys, F.explode(both).alias("_row")).select(*keys, "_row.*")
-
-
-def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """An equi-join that also matches null keys and keeps the left side's key columns."""
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
-    condition = None
-    for c in on:
-        equal = left[c].eqNullSafe(renamed[f"_r_{c}"])
-        condition = equal if condition is None else condition & equal
-    return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
+    order = Window.partitionBy(*local).orderBy("from_ms")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    heads = merged.withColumn("_head", F.coalesce(F.col("from_ms") > F.max("to_ms").over(before), F.lit(True)).cast("int"))
+    islands = heads.withColumn("_island", F.sum("_head").over(upto))
+    pieces = islands.groupBy(*local, "_island").agg(F.min("from_ms").alias("from_ms"), F.max("to_ms").alias("to_ms"))
+
+    # A piece begins a period if nothing in earlier buckets reaches it. As a bucket's pieces are apart, its last piece
+    # tells where its last period begins, if any does.
+    ends = pieces.groupBy(*local).agg(F.max("to_ms").alias("_end"), F.max("from_ms").alias("_start"))
+    across = Window.partitionBy(*names).orderBy("_bucket")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_reach", F.coalesce(F.max("_end").over(earlier), F.lit(-1)))
+    ends = ends.withColumn("_opened", F.when(F.col("_start") > F.col("_reach"), F.col("_start")))
+    ends = ends.withColumn("_open", F.max("_opened").over(earlier))
+    final = ends.groupBy(*names).agg(F.max("_opened").alias("from_ms"), F.max("_end").alias("to_ms")).select(*back, F.lit("period").alias("kind"), "from_ms", "to_ms")
+
+    # Each start of a period closes the one before it at what was reached so far.
+    rows = pieces.join(ends.select(*local, "_reach", "_open"), local)
+    rows = rows.withColumn("_closed", F.greatest("_reach", F.max("to_ms").over(before))).where("from_ms > _reach")
+    rows = rows.withColumn("_open", F.coalesce(F.lag("from_ms").over(order), F.col("_open"))).where("_open IS NOT NULL")
+    period = F.struct(F.lit("period").alias("kind"), F.col("_open").alias("from_ms"), F.col("_closed").alias("to_ms"))
+    gap = F.struct(F.lit("gap").alias("kind"), F.col("_closed").alias("from_ms"), F.col("from_ms").alias("to_ms"))
+    return rows.select(*back, F.explode(F.array(period, gap)).alias("_row")).select(*keys, "_row.*").unionByName(final)
+
+
+def _without_nulls(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[Column], list[str]]:
+    """``df`` with key columns that hold no null, the columns that give the keys back, and the new columns' names;
+    equality of such columns keeps a join on the partitioning of an aggregate."""
+    kinds, columns, back = dict(df.dtypes), {}, []
+    for i, c in enumerate(keys):
+        if kinds[c] != "string" and not kinds[c].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")):
+            raise ValueError(f"{c} is neither a text nor a number")
+        columns[f"_k{i}"] = F.coalesce(F.col(c), F.lit("" if kinds[c] == "string" else 0).cast(kinds[c]))
+        columns[f"_n{i}"] = F.col(c).isNull()
+        back.append(F.when(~F.col(f"_n{i}"), F.col(f"_k{i}")).alias(c))
+    return df.select(*[e.alias(n) for n, e in columns.items()], "from_ms", "to_ms"), back, list(columns)
 
 
 def speaking_periods(lines: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
