@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonoframe.functions.arrow import arrow_column, signals
+from sonoframe.operators.intervals import periods_and_gaps, usable_intervals
+from sonoframe.plans.durable import durable
 
 VOICE = "VOICE"
 
@@ -96,22 +98,45 @@ def silence_gaps(lines: DataFrame) -> DataFrame:
 # diarization error rate
 
 
-def elementary(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
-    """clip_id, seconds, ref, hyp: the stretches between neighbouring boundaries, and the sorted sets of speakers of
-    both sides that are active in each. Lines that have a null or do not end after they start are left out."""
-    sides = reference.select("clip_id", F.lit("r").alias("side"), "speaker", "start_sec", "end_sec").unionByName(
-        hypothesis.select("clip_id", F.lit("h").alias("side"), "speaker", "start_sec", "end_sec")
-    )
-    sides = sides.where("speaker IS NOT NULL AND start_sec IS NOT NULL AND end_sec > start_sec")
-    bounds = sides.select("clip_id", F.explode(F.array("start_sec", "end_sec")).alias("at")).distinct()
-    order = Window.partitionBy("clip_id").orderBy("at")
-    bounds = bounds.withColumn("till", F.lead("at").over(order)).where("till IS NOT NULL")
-    # a line meets only the stretches that begin in one of its minutes
-    minute = lambda c: F.floor(F.col(c) / 60).cast("bigint")
-    lines = sides.withColumn("minute", F.explode(F.sequence(minute("start_sec"), minute("end_sec"))))
-    active = bounds.withColumn("minute", minute("at")).join(lines, ["clip_id", "minute"]).where("start_sec <= at AND end_sec >= till")
-    of = lambda s: F.sort_array(F.collect_set(F.when(F.col("side") == s, F.col("speaker"))))
-    return active.groupBy("clip_id", "at", "till").agg(of("r").alias("ref"), of("h").alias("hyp")).select("clip_id", (F.col("till") - F.col("at")).alias("seconds"), "ref", "hyp")
+#: Milliseconds of a time bucket; a clip with a third of all lines is as many tasks as it has buckets.
+BUCKET_MS = 60_000
+
+
+def speaking(lines: DataFrame) -> DataFrame:
+    """clip_id, speaker, from_ms, to_ms: each speaker's lines joined where they overlap or touch, to the millisecond.
+    Lines with a null, and lines that do not end after they start, are left out."""
+    rows = usable_intervals(lines.where("speaker IS NOT NULL"), [F.col("clip_id"), F.col("speaker")])
+    return periods_and_gaps(rows, ["clip_id", "speaker"]).where("kind = 'period'").drop("kind")
+
+
+def _bucket(c: Column) -> Column:
+    return F.floor(c / BUCKET_MS).cast("bigint")
+
+
+def common_time(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
+    """clip_id, r, h, ms: how long each pair of speakers speaks at the same time. Periods meet in the buckets they
+    reach, and a meeting counts in the bucket in which it begins."""
+    each = lambda d, n: d.select("clip_id", F.col("speaker").alias(n), F.col("from_ms").alias(f"{n}a"), F.col("to_ms").alias(f"{n}b"), F.explode(F.sequence(_bucket(F.col("from_ms")), _bucket(F.col("to_ms")))).alias("bucket"))
+    met = each(reference, "r").join(each(hypothesis, "h"), ["clip_id", "bucket"])
+    begin, end = F.greatest("ra", "ha"), F.least("rb", "hb")
+    met = met.where((begin < end) & (_bucket(begin) == F.col("bucket")))
+    return met.groupBy("clip_id", "r", "h").agg(F.sum(end - begin).alias("ms"))
+
+
+def speaker_counts(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
+    """clip_id, at, till, n_r, n_h: the stretches between neighbouring boundaries and how many speak in each. Running
+    counts start in every bucket from what the buckets before add up to."""
+    of = lambda d, r, h: d.select("clip_id", F.explode(F.array(F.struct(F.col("from_ms").alias("at"), F.lit(r).alias("r"), F.lit(h).alias("h")), F.struct(F.col("to_ms").alias("at"), F.lit(-r).alias("r"), F.lit(-h).alias("h")))).alias("e")).select("clip_id", "e.*")
+    events = of(reference, 1, 0).unionByName(of(hypothesis, 0, 1)).groupBy("clip_id", "at").agg(F.sum("r").alias("r"), F.sum("h").alias("h")).withColumn("bucket", _bucket(F.col("at")))
+    across = Window.partitionBy("clip_id").orderBy("bucket")  # a row per bucket
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    sums = events.groupBy("clip_id", "bucket").agg(F.sum("r").alias("r"), F.sum("h").alias("h"), F.min("at").alias("first"))
+    sums = sums.select("clip_id", "bucket", F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"), F.coalesce(F.sum("h").over(before), F.lit(0)).alias("h0"), F.lead("first").over(across).alias("next"))
+    local = Window.partitionBy("clip_id", "bucket").orderBy("at")
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.join(sums, ["clip_id", "bucket"])
+    rows = rows.select("clip_id", "at", F.coalesce(F.lead("at").over(local), F.col("next")).alias("till"), (F.col("r0") + F.sum("r").over(upto)).alias("n_r"), (F.col("h0") + F.sum("h").over(upto)).alias("n_h"))
+    return rows.where("till IS NOT NULL")
 
 
 def _assignment(overlap, names_r: list[str], names_h: list[str], greedy: bool) -> dict[str, str]:
@@ -155,16 +180,15 @@ def _assignment(overlap, names_r: list[str], names_h: list[str], greedy: bool) -
 def error_rate(reference: DataFrame, hypothesis: DataFrame, greedy: bool = False) -> DataFrame:
     """clip_id, false_alarm, missed, confusion, total, error_rate and mapping (hypothesis -> reference speaker).
 
-    Seconds over elementary stretches, overlaps included, no collar. The mapping maximizes the common time, or is
-    greedy. error_rate is null without reference speech. The pairs of speakers of a clip are few, and only their
-    common seconds go into the mapping.
+    Overlapping speech counts, there is no collar, times are to the millisecond. The mapping maximizes the common time,
+    or is greedy. error_rate is null without reference speech. The pairs of speakers of a clip are few, and only their
+    common time goes into the mapping. As the mapping is one to one, what is right is the common time of mapped pairs.
     """
     import pandas as pd
 
-    parts = elementary(reference, hypothesis)
-    common = parts.select("clip_id", "seconds", F.explode("ref").alias("r"), "hyp").select("clip_id", "seconds", "r", F.explode("hyp").alias("h"))
-    common = common.groupBy("clip_id", "r", "h").agg(F.sum("seconds").alias("s"))
-    pairs = common.groupBy("clip_id").agg(F.collect_list(F.struct("r", "h", "s")).alias("pairs"))
+    r, h = durable(speaking(reference)), durable(speaking(hypothesis))  # each is read twice
+    common = common_time(r, h)
+    pairs = common.groupBy("clip_id").agg(F.collect_list(F.struct("r", "h", F.col("ms").cast("double").alias("s"))).alias("pairs"))
 
     def maps(rows: pd.Series) -> pd.Series:
         import numpy as np
@@ -179,17 +203,18 @@ def error_rate(reference: DataFrame, hypothesis: DataFrame, greedy: bool = False
         return pd.Series(out)
 
     maps.__annotations__ = {"rows": pd.Series, "return": pd.Series}
-    mapping = pairs.select("clip_id", F.pandas_udf(maps, "map<string,string>")("pairs").alias("mapping"))
-    rows = parts.join(mapping, "clip_id", "left")
-    renamed = F.transform("hyp", lambda h: F.try_element_at(F.coalesce("mapping", F.create_map().cast("map<string,string>")), h))
-    right = F.size(F.array_intersect("ref", F.filter(renamed, lambda x: x.isNotNull())))
-    n_r, n_h = F.size("ref"), F.size("hyp")
-    zero = F.lit(0)
-    sums = rows.groupBy("clip_id").agg(
-        F.sum(F.greatest(n_h - n_r, zero) * F.col("seconds")).alias("false_alarm"),
-        F.sum(F.greatest(n_r - n_h, zero) * F.col("seconds")).alias("missed"),
-        F.sum((F.least(n_r, n_h) - right) * F.col("seconds")).alias("confusion"),
-        F.sum(n_r * F.col("seconds")).alias("total"),
+    mapping = pairs.select("clip_id", "pairs", F.pandas_udf(maps, "map<string,string>")("pairs").alias("mapping"))
+    mapped = F.filter("pairs", lambda p: F.coalesce(F.try_element_at(F.col("mapping"), p["h"]) == p["r"], F.lit(False)))
+    right = F.aggregate(mapped, F.lit(0.0), lambda s, p: s + p["s"]) / 1000
+    mapping = mapping.select("clip_id", "mapping", right.alias("_right"))
+    zero, seconds = F.lit(0), (F.col("till") - F.col("at")) / 1000
+    sums = speaker_counts(r, h).groupBy("clip_id").agg(
+        F.sum(F.greatest(F.col("n_h") - F.col("n_r"), zero) * seconds).alias("false_alarm"),
+        F.sum(F.greatest(F.col("n_r") - F.col("n_h"), zero) * seconds).alias("missed"),
+        F.sum(F.least("n_r", "n_h") * seconds).alias("_both"),
+        F.sum(F.col("n_r") * seconds).alias("total"),
     )
+    sums = sums.join(mapping, "clip_id", "left").withColumn("confusion", F.col("_both") - F.coalesce("_right", F.lit(0.0)))
+    sums = sums.select("clip_id", "false_alarm", "missed", F.round("confusion", 9).alias("confusion"), "total", "mapping")
     wrong = F.col("false_alarm") + F.col("missed") + F.col("confusion")
-    return sums.withColumn("error_rate", F.try_divide(wrong, "total")).join(mapping, "clip_id", "left")
+    return sums.withColumn("error_rate", F.try_divide(wrong, "total"))

@@ -89,12 +89,12 @@ def der_components(spark, d):
     return rounded(diarization.error_rate(own, other).select("clip_id", F.round("false_alarm", 3).alias("false_alarm"), F.round("missed", 3).alias("missed"), F.round("total", 3).alias("total")), ["clip_id"])
 
 
-_register(der_components, _LINES + """, u AS (SELECT clip_id, speaker, start_sec, end_sec FROM d WHERE speaker IS NOT NULL AND end_sec > start_sec),
-h AS (SELECT clip_id, CASE WHEN speaker = 'SPEAKER_01' THEN 'SPEAKER_00' ELSE speaker END AS speaker, start_sec + 0.25::DOUBLE AS start_sec, end_sec + 0.25::DOUBLE AS end_sec FROM u),
-z AS (SELECT *, 'r' AS side FROM u UNION ALL SELECT *, 'h' FROM h), t AS (SELECT DISTINCT clip_id, unnest([start_sec, end_sec]) AS a FROM z),
+_register(der_components, _LINES + """, u AS (SELECT clip_id, speaker, CAST(round(start_sec * 1000) AS BIGINT) AS a, CAST(round(end_sec * 1000) AS BIGINT) AS e FROM d WHERE speaker IS NOT NULL),
+h AS (SELECT clip_id, CASE WHEN speaker = 'SPEAKER_01' THEN 'SPEAKER_00' ELSE speaker END AS speaker, CAST(round((start_sec + 0.25) * 1000) AS BIGINT) AS a, CAST(round((end_sec + 0.25) * 1000) AS BIGINT) AS e FROM d WHERE speaker IS NOT NULL),
+z AS (SELECT *, 'r' AS side FROM u WHERE e > a UNION ALL SELECT *, 'h' FROM h WHERE e > a), t AS (SELECT DISTINCT clip_id, unnest([a, e]) AS a FROM z),
 b AS (SELECT clip_id, a, lead(a) OVER (PARTITION BY clip_id ORDER BY a) AS e FROM t),
-c AS (SELECT b.clip_id, a, e, count(DISTINCT CASE WHEN side = 'r' THEN speaker END) AS nr, count(DISTINCT CASE WHEN side = 'h' THEN speaker END) AS nh FROM b JOIN z ON z.clip_id = b.clip_id AND start_sec <= a AND end_sec >= e GROUP BY 1, 2, 3)
-SELECT clip_id, round(sum(greatest(nh - nr, 0) * (e - a)), 3) AS false_alarm, round(sum(greatest(nr - nh, 0) * (e - a)), 3) AS missed, round(sum(nr * (e - a)), 3) AS total FROM c GROUP BY 1""")
+c AS (SELECT b.clip_id, b.a, b.e, count(DISTINCT CASE WHEN side = 'r' THEN speaker END) AS nr, count(DISTINCT CASE WHEN side = 'h' THEN speaker END) AS nh FROM b JOIN z ON z.clip_id = b.clip_id AND z.a <= b.a AND z.e >= b.e GROUP BY 1, 2, 3)
+SELECT clip_id, round(sum(greatest(nh - nr, 0) * (e - a)) / 1000, 3) AS false_alarm, round(sum(greatest(nr - nh, 0) * (e - a)) / 1000, 3) AS missed, round(sum(nr * (e - a)) / 1000, 3) AS total FROM c GROUP BY 1""")
 
 
 # trees of script lines
