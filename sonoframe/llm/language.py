@@ -8,13 +8,19 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonoframe.llm.bytegru import ByteGru, encode
+from sonoframe.llm.bytegru import PAD, ByteGru, encode
 
 #: Labelled segments per language that the network is fitted on, at most, and characters of each.
 SAMPLE_SEGMENTS, SAMPLE_CHARS = 3000, 160
 
+#: Labelled documents per language that are added to the sample, at most, where there are documents.
+SAMPLE_DOCUMENTS = 500
+
 #: Training: steps before and after wrongly labelled samples are sorted out, sequences per step, bytes of each.
-STEPS, BATCH, WIDTH = (700, 1500), 96, 48
+STEPS, BATCH, WIDTH = (350, 2000), 96, 48
+
+#: Share of bytes that are hidden in training.
+BLANKED = 0.08
 
 #: Nats a character by which the network must prefer another language to hold a sample's label for wrong.
 WRONG = 1.2
@@ -22,8 +28,8 @@ WRONG = 1.2
 #: Bytes of a row when the network is applied.
 ROW = 96
 
-#: Nats per segment by which another language must beat the text's main one to count as a switch.
-SWITCH = 6.0
+#: Nats a character, and nats at most, by which another language must beat the text's main one to count as a switch.
+SWITCH, SWITCH_MOST = 1.5, 50.0
 
 NOTES = re.compile(r"\[[^\]]*\]|\([^)]*\)|\{[^}]*\}|<[^>]*>|[\d♪_]+")
 
@@ -61,6 +67,15 @@ def sample_segments(transcriptions: DataFrame, code: Column, per_language: int =
     return [(r.transcription_id, r.text, r.code) for r in rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).collect()]
 
 
+def sample_documents(documents: DataFrame, code: Column, per_language: int = SAMPLE_DOCUMENTS, pieces: int = 4) -> list[tuple[object, str, str]]:
+    """(key, text, code) of the first ``pieces`` stretches of SAMPLE_CHARS of at most ``per_language`` documents of each
+    label, by hash of their ids."""
+    order = Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")
+    rows = documents.select("doc_id", code.alias("code"), F.substring("text", 1, pieces * SAMPLE_CHARS).alias("text")).where("code IS NOT NULL AND text IS NOT NULL")
+    rows = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
+    return [(f"document {r.doc_id}", r.text[a : a + SAMPLE_CHARS], r.code) for r in rows.collect() for a in range(0, len(r.text), SAMPLE_CHARS)]
+
+
 class LanguageModel:
     """The fitted network and its classes."""
 
@@ -93,6 +108,7 @@ class LanguageModel:
                     labels.append(label)
                 kept = [i for i, t in enumerate(texts) if t]
                 rows, lengths, _ = encode([texts[i] for i in kept], WIDTH * 2)
+                rows[rng.random(rows.shape) < BLANKED] = PAD  # no single byte may decide
                 yield rows, lengths, np.array([labels[i] for i in kept])
 
         if pool:
@@ -145,7 +161,7 @@ def decide(scores, sizes) -> tuple[int, list[int], list[float]]:
             langs.append(-1)
             sure.append(0.0)
             continue
-        own = int(b) if s[b] - s[main] > SWITCH else main
+        own = int(b) if s[b] - s[main] > min(SWITCH * n, SWITCH_MOST) else main
         mean = s / max(n, 1)
         e = np.exp(mean - mean.max())
         langs.append(own)
@@ -160,17 +176,21 @@ def decide(scores, sizes) -> tuple[int, list[int], list[float]]:
     return main, langs, [confidence, *sure]
 
 
-def language_segments(transcriptions: DataFrame, languages: DataFrame, per_language: int = SAMPLE_SEGMENTS) -> DataFrame:
+def language_segments(transcriptions: DataFrame, languages: DataFrame, documents: DataFrame | None = None, per_language: int = SAMPLE_SEGMENTS) -> DataFrame:
     """transcription_id, seg_no, language_code, confidence, label_code, n_languages.
 
     seg_no 0 is the whole transcription, with the language that most characters of its segments are in; the others are
     its segments that have words, counted from 1. Transcriptions whose segments are null, empty or without words give
     no rows. label_code is what language_label denotes (null: nothing), n_languages how many languages the segments
     are in. The network is fitted on the driver to a bounded sample of labelled segments (``per_language`` of each
-    label) and applied to every byte of every text. A redelivered row counts once.
+    label) and, if there are any, of labelled ``documents`` (doc_id, text, lang; SAMPLE_DOCUMENTS of each label), and
+    applied to every byte of every text. A redelivered row counts once.
     """
     code = label_code(F.col("language_label"), languages)
-    model = LanguageModel.fit(sample_segments(transcriptions, code, per_language))
+    samples = sample_segments(transcriptions, code, per_language)
+    if documents is not None:
+        samples += sample_documents(documents, label_code(F.col("lang"), languages))
+    model = LanguageModel.fit(samples)
     shared = transcriptions.sparkSession.sparkContext.broadcast((model.net.p, model.codes))
 
     def batches(parts):

@@ -32,7 +32,7 @@ def p4_report(spark, d):
 
 
 def p5_segments(spark, d):
-    return language.language_segments(load(spark, d, "transcriptions"), load(spark, d, "languages"))
+    return language.language_segments(load(spark, d, "transcriptions"), load(spark, d, "languages"), load(spark, d, "documents"))
 
 
 def p5_found(spark, d):
