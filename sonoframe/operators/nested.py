@@ -8,8 +8,9 @@ one table.
 from __future__ import annotations
 
 import json
-import sys
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +38,77 @@ def latest_delivery(df: DataFrame, key: str, payload: list[str], at: str = "inge
     return df.groupBy(df[key].alias(key)).agg(F.max_by(value, order).alias("_row")).select(key, "_row.*")
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_PLAIN = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null")
+
+
+def read_deep(text: str) -> object:
+    """A JSON value nested as deeply as memory allows; the reader of the standard library gives up at some depth."""
+    at, root = 0, []
+    stack: list[tuple[object, str]] = [(root, "value")]  # containers that are open and what each waits for
+
+    def put(value: object) -> None:
+        holder, key = stack[-1][0], keys[-1]
+        if isinstance(holder, list):
+            holder.append(value)
+        else:
+            holder[key] = value
+
+    keys: list[str] = [""]
+    while True:
+        at = _SPACE.match(text, at).end()
+        holder, wait = stack[-1]
+        c = text[at : at + 1]
+        if holder is root and root:
+            if c:
+                raise ValueError("something follows the value")
+            return root[0]
+        if wait == "more":  # after an element
+            if c == ",":
+                stack[-1] = (holder, "value" if isinstance(holder, list) else "key")
+                at += 1
+                continue
+            wait = "end"
+        if c == ("]" if isinstance(holder, list) else "}") and wait in ("end", "first") and holder is not root:
+            at += 1
+            stack.pop()
+            keys.pop()
+            stack[-1] = (stack[-1][0], "more")
+        elif wait == "end" or not c:
+            raise ValueError("a container is not closed")
+        elif isinstance(holder, dict) and wait in ("first", "key"):
+            if c != '"':
+                raise ValueError("a name is missing")
+            keys[-1], at = scanstring(text, at + 1, True)
+            at = _SPACE.match(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError("a colon is missing")
+            at += 1
+            stack[-1] = (holder, "value")
+        elif c in "[{":
+            inner: object = [] if c == "[" else {}
+            put(inner)
+            stack.append((inner, "first"))
+            keys.append("")
+            at += 1
+        else:
+            if c == '"':
+                value, at = scanstring(text, at + 1, True)
+            elif found := _PLAIN.match(text, at):
+                value, at = json.loads(found[0]), found.end()
+            else:
+                raise ValueError("no value")
+            put(value)
+            stack[-1] = (holder, "more")
+
+
 def _decode(value: object) -> object:
     """What a text holds as JSON, however often it was written into a text again."""
     while isinstance(value, str):
-        value = json.loads(value)
+        try:
+            value = json.loads(value)
+        except RecursionError:
+            value = read_deep(value)
     return value
 
 
@@ -96,7 +164,6 @@ def shred(payload: str | None) -> Iterator[tuple]:
 def _shred_batches(batches):
     import pandas as pd
 
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # the JSON reader follows the nesting
     names = [c.split()[0] for c in NODE_COLUMNS.split(", ")]
     for batch in batches:
         rows = []

@@ -72,8 +72,21 @@ def test_shred_of_nothing(payload):
 
 def test_nulls_keep_their_place_and_depth_is_free():
     assert shredded('{"chunks": [null, {"chunks": {"chunks": [null, {}]}}, "word"]}') == [("chunk", "/1"), ("chunk", "/1/0"), ("chunk", "/1/0/1"), ("chunk", "/2")]
-    deep = '{"chunks":' * 300 + "[]" + "}" * 300
-    assert len(shredded(deep)) == 299
+    for depth in (300, 50_000):
+        assert sum(1 for _ in nested.shred('{"chunks":' * depth + "[]" + "}" * depth)) == depth - 1
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, {"b": null}], "c": "x\\u00e9\\""}', "[]", " {} ", "[[[]], {}]", "3", '"s"', "true", '{"a":1,"a":2}'])
+def test_deep_reader_reads_what_the_usual_one_reads(text):
+    assert nested.read_deep(text) == json.loads(text)
+
+
+@pytest.mark.parametrize("text", ["", "[", "[1,]", "[1 2]", '{"a"}', '{"a":}', '{"a":1,}', "[1]]", "{1:2}", "nul", '["x]', "01", "[}", "{]"])
+def test_deep_reader_refuses_what_the_usual_one_refuses(text):
+    with pytest.raises(ValueError):
+        json.loads(text)
+    with pytest.raises(ValueError):
+        nested.read_deep(text)
 
 
 def test_latest_delivery_counts(spark):
