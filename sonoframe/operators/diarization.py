@@ -11,6 +11,9 @@ from sonoframe.plans.durable import durable
 
 VOICE = "VOICE"
 
+#: Milliseconds of a time bucket; a clip with a third of all lines is as many tasks as it has buckets.
+BUCKET_MS = 60_000
+
 
 def speaker_ratio(lines: DataFrame) -> DataFrame:
     """clip_id, primary_speaker_ratio_metric: the longest speaker's share of all speaking time (overlaps count twice).
@@ -87,21 +90,21 @@ def speech_metrics(clips: DataFrame, lines: DataFrame, names: list[str]) -> Data
 
 
 def silence_gaps(lines: DataFrame) -> DataFrame:
-    """clip_id, gap_start, gap_end: the time before each line that no earlier line of the clip reaches."""
-    usable = lines.where("start_sec IS NOT NULL AND end_sec IS NOT NULL")
-    order = Window.partitionBy("clip_id").orderBy("start_sec", "end_sec")
-    reach = F.coalesce(F.max("end_sec").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rows = usable.select("clip_id", reach.alias("gap_start"), F.col("start_sec").alias("gap_end"))
-    return rows.where("gap_end > gap_start")
+    """clip_id, gap_start, gap_end: the time before each line that no earlier line of the clip reaches. Within a bucket
+    of time earlier lines are looked at; of the buckets before only the latest end goes through a window."""
+    usable = lines.where("start_sec IS NOT NULL AND end_sec IS NOT NULL").select("clip_id", "start_sec", "end_sec")
+    usable = usable.withColumn("_bucket", F.floor(F.col("start_sec") * 1000 / BUCKET_MS).cast("bigint"))
+    across = Window.partitionBy("clip_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = usable.groupBy("clip_id", "_bucket").agg(F.max("end_sec").alias("_end"))
+    ends = ends.select("clip_id", "_bucket", F.greatest(F.coalesce(F.max("_end").over(across), F.lit(0.0)), F.lit(0.0)).alias("_reach"))
+    order = Window.partitionBy("clip_id", "_bucket").orderBy("start_sec", "end_sec").rowsBetween(Window.unboundedPreceding, -1)
+    rows = usable.join(ends, ["clip_id", "_bucket"]).withColumn("gap_start", F.greatest("_reach", F.max("end_sec").over(order)))
+    return rows.select("clip_id", "gap_start", F.col("start_sec").alias("gap_end")).where("gap_end > gap_start")
 
 
 # diarization error rate
 
 
-#: Milliseconds of a time bucket; a clip with a third of all lines is as many tasks as it has buckets.
-BUCKET_MS = 60_000
-
-
 def speaking(lines: DataFrame) -> DataFrame:
     """clip_id, speaker, from_ms, to_ms: each speaker's lines joined where they overlap or touch, to the millisecond.
     Lines with a null, and lines that do not end after they start, are left out."""

@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 BUCKET_MS = 600_000
 
 
+#: Times from here on (28,000 years) count as missing, like infinite ones.
+MOST_SEC = 9e11
+
+
 def _millis(seconds: Column) -> Column:
-    finite = seconds.isNotNull() & ~F.isnan(seconds) & (F.abs(seconds) < 9e12)
+    finite = seconds.isNotNull() & ~F.isnan(seconds) & (F.abs(seconds) < MOST_SEC)
     return F.when(finite, F.round(seconds * 1000).cast("bigint"))
 
 
 def usable_intervals(lines: DataFrame, keys: list[Column], start: str = "start_sec", end: str = "end_sec") -> DataFrame:
     """``keys``, from_ms and to_ms of the rows that are intervals.
 
-    Times are rounded to whole milliseconds. A row with a null, NaN, infinite or negative time, or one that does
-    not end after it starts, is no interval. Rows with a null key stay, under the null key. Of extra columns
+    Times are rounded to whole milliseconds. A row with a null, NaN, negative or infinite time (MOST_SEC and
+    more), or one that does not end after it starts, is no interval. Rows with a null key stay, under the null key. Of extra columns
     none is looked at, whatever its name.
     """
     rows = lines.select(*keys, _millis(lines[start]).alias("from_ms"), _millis(lines[end]).alias("to_ms"), lines[start].alias("_raw"))

@@ -177,8 +177,8 @@ def forced_alignment(spark, d):
     rows = load(spark, d, "transcript_lines").dropDuplicates(["line_id"]).where("start_sec IS NOT NULL AND end_sec IS NOT NULL AND text IS NOT NULL")
     clean = alignment.clean_characters(F.col("text"), VOCABULARY)
     codes = F.transform(clean, lambda c: F.array_position(F.array(*[F.lit(v) for v in VOCABULARY]), c["char"]) - 1)
-    frame = lambda k, i: F.transform(F.sequence(F.lit(0), F.lit(len(VOCABULARY) - 1)), lambda v: F.when(v == F.when(i == 1, k).otherwise(0), -0.1).otherwise(-6.0))
-    emission = F.flatten(F.transform(codes, lambda k: F.array(*[frame(k, F.lit(i)) for i in range(3)])))
+    certain = F.array(*[F.array(*[F.lit(-0.1 if v == k else -6.0) for v in range(len(VOCABULARY))]) for k in range(len(VOCABULARY))])  # a row per character
+    emission = F.flatten(F.transform(codes, lambda k: F.array(F.get(certain, F.lit(0)), F.get(certain, k.cast("int")), F.get(certain, F.lit(0)))))
     segments = rows.select(F.col("clip_id").cast("string").alias("clip_id"), F.col("line_id").cast("int").alias("ord"), "text", "start_sec", "end_sec", emission.alias("emission"))
     return rounded(alignment.align(segments, VOCABULARY), [])
 

@@ -41,10 +41,10 @@ def test_periods_against_brute_force(spark, bucket):
 
 def test_lines_that_are_no_intervals(spark):
     nan = float("nan")
-    rows = [("a", " s ", 0.0, 1.0), ("a", "S", 1.0, 2.0), ("a", "S", 2.0004, 2.5), ("a", "S", 3.0, 3.0004), ("a", "S", None, 5.0), ("a", "S", -1.0, 9.0), ("a", "S", 8.0, 7.0), ("a", "S", nan, 9.0), ("a", "S", 1.0, float("inf")), (None, None, 1.0, 2.0)]
+    rows = [("a", " s ", 0.0, 1.0), ("a", "S", 1.0, 2.0), ("a", "S", 2.0004, 2.5), ("a", "S", 3.0, 3.0004), ("a", "S", None, 5.0), ("a", "S", -1.0, 9.0), ("a", "S", 8.0, 7.0), ("a", "S", nan, 9.0), ("a", "S", 1.0, float("inf")), ("b", "S", 0.0, 8.9e11), ("b", "S", 1.0, 1e300), (None, None, 1.0, 2.0)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], LINE + ", from_ms int, _bucket int")
     got = sorted((str(r.clip_id), str(r.speaker), r.kind, r.from_ms, r.to_ms) for r in intervals.speaking_periods(df).collect())
-    assert got == [("None", "None", "period", 1000, 2000), ("a", "S", "period", 0, 2500)]
+    assert got == [("None", "None", "period", 1000, 2000), ("a", "S", "period", 0, 2500), ("b", "S", "period", 0, 890_000_000_000_000)]
     assert intervals.speaking_periods(df.limit(0)).count() == 0
 
 
