@@ -83,4 +83,31 @@ QUERIES = {
         p8_found, p8_shared_parts, p8_without_repeats,
     )
 }
-SQL: dict[str, str] = {}
+
+def _id(column: str) -> str:
+    return f"lower(regexp_replace(regexp_replace({column}, '^\\s*\\{{?\\s*(urn:uuid:)?|\\}}?\\s*$', '', 'gi'), '[-_\\s]', '', 'g'))"
+
+
+_WINDOWS = """
+WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 300), i AS (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM d),
+w AS (SELECT doc_id, i, hash(substring(text, i, 300)) AS h FROM i), g AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), s AS (SELECT w.* FROM w JOIN g USING (h))
+"""
+
+SQL: dict[str, str] = {
+    "p4_found": f"""
+WITH RECURSIVE r AS (SELECT clip_id, {_id("participant_id")} AS p, {_id("session_id")} AS s FROM recordings),
+raw AS (SELECT p || 'p' AS a, s || 's' AS b FROM r UNION SELECT {_id("id")} || 'p', {_id("metadata['same_as']")} || 'p' FROM participants
+  UNION SELECT {_id("id")} || 's', {_id("metadata['continues']")} || 's' FROM sessions),
+e AS (SELECT a, b FROM raw WHERE regexp_matches(a, '^[0-9a-f]{{32}}.$') AND regexp_matches(b, '^[0-9a-f]{{32}}.$') AND a NOT LIKE repeat('0', 32) || '_' AND b NOT LIKE repeat('0', 32) || '_'),
+sides AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+n AS (SELECT clip_id, min(x) AS x FROM (SELECT clip_id, CASE WHEN regexp_matches(p, '^[0-9a-f]{{32}}$') AND p <> repeat('0', 32) THEN p || 'p' WHEN regexp_matches(s, '^[0-9a-f]{{32}}$') AND s <> repeat('0', 32) THEN s || 's' END AS x FROM r)
+  WHERE x IS NOT NULL GROUP BY 1),
+reach AS (SELECT a AS x, a AS y FROM sides UNION SELECT reach.x, sides.b FROM reach JOIN sides ON sides.a = reach.y),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY 1)
+SELECT clip_id, regexp_replace(coalesce(y, n.x)[1:32], '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS group_key FROM n LEFT JOIN least ON least.x = n.x""",
+    "p8_found": _WINDOWS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p8_shared_parts": _WINDOWS
+    + """, t AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM (SELECT DISTINCT doc_id, i FROM s)),
+c AS (SELECT doc_id, sum(least(300, coalesce(j - i, 300))) AS c, count(CASE WHEN j IS NULL OR j > i + 300 THEN 1 END) AS k FROM t GROUP BY 1)
+SELECT doc_id, length(text) AS n_chars, CAST(coalesce(c, 0) AS BIGINT) AS shared_chars, coalesce(c / nullif(length(text), 0), 0.0) AS shared_part, coalesce(k, 0) AS n_spans FROM documents LEFT JOIN c USING (doc_id)""",
+}
