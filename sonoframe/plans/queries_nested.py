@@ -100,7 +100,28 @@ people AS (SELECT image_id AS record_id, unnest(individuals) AS one, '/' || CAST
 marks AS (SELECT record_id, path, unnest(map_entries(one.normalized_landmarks)) AS e FROM people WHERE one IS NOT NULL)
 """
 
+
+
+def _time(field: str, at: int) -> str:
+    return f"""CASE WHEN json_type(node, '$.timestamps') = 'ARRAY' AND json_array_length(node, '$.timestamps') = 2 THEN TRY_CAST(json_extract_string(node, '$.timestamps[{at}]') AS DOUBLE)
+      ELSE TRY_CAST(json_extract_string(node, '$.{field}') AS DOUBLE) END AS {field}_sec"""
+
+
+_PLACE = "record_id, node_path, parent_path, regexp_extract(node_path, '[^/]*$') AS place, coalesce(json_extract_string(node, '$.text'), json_extract_string(node, '$.word')) AS text"
+_TIMES = f"{_time('start', 0)}, {_time('end', 1)}"
+
+#: Elements of raw records as a tree (SQL that follows gets ``tree``: clip_id, path, level, ord and values).
+TREE = (
+    _ELEMENTS
+    + f""", tree AS (SELECT CAST(record_id AS VARCHAR) AS clip_id, node_path, CAST(len(string_split(node_path, '/')) - 2 AS INT) AS level, CAST(regexp_extract(node_path, '[^/]*$') AS INT) AS ord,
+    json_extract_string(node, '$.text') AS text, json_extract_string(node, '$.speaker') AS speaker, {_TIMES} FROM nodes WHERE kind = 'chunk')
+"""
+)
+
 SQL = {
+    "p2_chunks": _ELEMENTS + f"SELECT {_PLACE}, json_extract_string(node, '$.speaker') AS speaker, {_TIMES} FROM nodes WHERE kind = 'chunk'",
+    "p2_segments": _ELEMENTS + f"SELECT {_PLACE}, {_TIMES} FROM nodes WHERE kind = 'segment'",
+    "p2_words": _ELEMENTS + f"SELECT {_PLACE}, {_TIMES}, TRY_CAST(json_extract_string(node, '$.score') AS DOUBLE) AS score FROM nodes WHERE kind = 'word'",
     "p3_found": _PERIODS + "SELECT * FROM found",
     "p3_totals": _PERIODS
     + """SELECT clip_id, speaker, CAST(sum(CASE WHEN kind = 'period' THEN to_ms - from_ms END) AS BIGINT) AS spoken_ms,

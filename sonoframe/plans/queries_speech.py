@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sonoframe.functions.text import character_error_rate, word_scores
 from sonoframe.operators import alignment, diarization, languages, models, pose, tree, workflows
 from sonoframe.operators.nested import latest_delivery, record_nodes
+from sonoframe.plans.queries_nested import TREE
 from sonoframe.plans.queries_signal import clips, rounded
 from sonoframe.sources import datasets, files
 from sonoframe.sources.tables import load
@@ -110,14 +111,18 @@ def script_tree_levels(spark, d):
     return nodes(spark, d).groupBy("level").agg(F.count("*").alias("n"), F.count("start_sec").alias("timed"))
 
 
-_register(script_tree_levels)
+_register(script_tree_levels, TREE + "SELECT level, count(*) AS n, count(start_sec) AS timed FROM tree GROUP BY 1")
 
 
 def script_tree_without_level(spark, d):
     return tree.remove_level(nodes(spark, d), 1)
 
 
-_register(script_tree_without_level)
+_register(script_tree_without_level, TREE + """, parts AS (SELECT *, list_transform(string_split(node_path, '/')[2:], lambda x: CAST(x AS INT)) AS n FROM tree),
+moved AS (SELECT clip_id, n, row_number() OVER (PARTITION BY clip_id, n[1] ORDER BY n[2], n[3]) - 1 AS place FROM parts WHERE level = 2),
+low AS (SELECT p.*, list_concat([p.n[1], m.place], p.n[4:]) AS k FROM parts p JOIN moved m ON p.clip_id = m.clip_id AND p.n[1:3] = m.n WHERE p.level >= 2)
+SELECT clip_id, node_path, level, ord, text, speaker, start_sec, end_sec FROM parts WHERE level = 0
+UNION ALL SELECT clip_id, '/' || array_to_string(k, '/'), level - 1, CAST(k[len(k)] AS INT), text, speaker, start_sec, end_sec FROM low""")
 
 
 def script_tree_words_only(spark, d):
@@ -131,7 +136,10 @@ def script_inherited_times(spark, d):
     return rounded(tree.inherited_times(nodes(spark, d)).select("clip_id", "node_path", "start_sec", "end_sec"), [])
 
 
-_register(script_inherited_times)
+_register(script_inherited_times, TREE + """, ups AS (SELECT clip_id, regexp_replace(node_path, '/[^/]*$', '') AS up, start_sec, end_sec, row_number() OVER (PARTITION BY clip_id, regexp_replace(node_path, '/[^/]*$', '') ORDER BY ord) AS a,
+row_number() OVER (PARTITION BY clip_id, regexp_replace(node_path, '/[^/]*$', '') ORDER BY ord DESC) AS z FROM tree WHERE level > 0),
+k AS (SELECT clip_id, up, max(CASE WHEN a = 1 THEN start_sec END) AS s, max(CASE WHEN z = 1 THEN end_sec END) AS e FROM ups GROUP BY 1, 2), j AS (SELECT t.*, s, e, t.start_sec IS NULL AND t.end_sec IS NULL AND s IS NOT NULL AND e IS NOT NULL AS take FROM tree t LEFT JOIN k ON k.clip_id = t.clip_id AND up = node_path)
+SELECT clip_id, node_path, round(CASE WHEN take THEN s ELSE start_sec END, 6) AS start_sec, round(CASE WHEN take THEN e ELSE end_sec END, 6) AS end_sec FROM j""")
 
 
 def script_format(spark, d):
@@ -169,7 +177,8 @@ def clean_characters(spark, d):
     return rows.select("line_id", F.array_join(F.transform(alignment.clean_characters(F.col("text"), VOCABULARY), lambda c: c["char"]), "").alias("clean"))
 
 
-_register(clean_characters)
+_register(clean_characters, """WITH t AS (SELECT DISTINCT line_id, text FROM transcript_lines), s AS (SELECT line_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM t)
+SELECT line_id, regexp_replace(replace(upper(x), ' ', '|'), '[^-|A-Z'']', '', 'g') AS clean FROM s""")
 
 
 def forced_alignment(spark, d):
@@ -253,7 +262,8 @@ def pose_confident(spark, d):
     return rows.select("image_id", "place", F.coalesce(F.size("m"), F.lit(0)).alias("n"))
 
 
-_register(pose_confident)
+_register(pose_confident, _LATEST_POSE + """SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY place) - 1 AS INT) AS place,
+CAST(coalesce(len(list_filter(map_entries(p.normalized_landmarks), lambda e: coalesce(e.value.confidence, e.value.visibility, 0) > 0.5)), 0) AS INT) AS n FROM p WHERE p IS NOT NULL""")
 
 
 # files
@@ -316,7 +326,10 @@ def model_energy_voice(spark, d):
     return rounded(models.energy_voice(clips(spark, d), frame_sec=0.125, threshold_db=-3.0), ["clip_id"])
 
 
-_register(model_energy_voice)
+_register(model_energy_voice, """WITH f AS (SELECT vec_id AS clip_id, unnest(range(0, 8)) AS f, embedding AS w FROM embeddings),
+l AS (SELECT clip_id, f, 10 * log10(list_avg(list_transform(w[f * 8 + 1 : f * 8 + 8], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) + 1e-12) AS l FROM f),
+v AS (SELECT *, l > max(l) OVER (PARTITION BY clip_id) - 3 AND l > -100 AS v FROM l), g AS (SELECT clip_id, f, f - row_number() OVER (PARTITION BY clip_id ORDER BY f) AS g FROM v WHERE v)
+SELECT clip_id, 'VOICE' AS speaker, CAST(min(f) * 8 / 64 AS DOUBLE) AS start_sec, CAST((max(f) + 1) * 8 / 64 AS DOUBLE) AS end_sec FROM g GROUP BY clip_id, g""")
 
 
 def model_augmented(spark, d):
