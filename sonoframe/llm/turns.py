@@ -135,13 +135,16 @@ def line_grammar(speakers: Speakers):
     return parse
 
 
-def clean_lines(lines: DataFrame, speaker_codes: DataFrame) -> DataFrame:
+def clean_lines(lines: DataFrame, speaker_codes: DataFrame, texts: bool = True) -> DataFrame:
     """A row per raw line: when it begins, the speaker that it names itself (or null), its words.
 
     ``lines`` has clip_id, line_id, text, speaker, start_sec and end_sec; ``speaker_codes``, a dimension of a few
     rows, speaker_code and role_name. A label in the text goes before the speaker field. A null, empty or blank text
-    has no words. Redelivered rows count once.
+    has no words. Redelivered rows count once. Without ``texts`` until_sec and utterance are left out.
     """
+    columns = LINE_COLUMNS.split(", ")
+    columns = columns if texts else [c for c in columns if not c.startswith(("until_sec", "utterance"))]
+    names = [c.split()[0] for c in columns]
     codes = {r.speaker_code: r.role_name for r in speaker_codes.select("speaker_code", "role_name").collect()}
 
     def batches(parts):
@@ -152,21 +155,22 @@ def clean_lines(lines: DataFrame, speaker_codes: DataFrame) -> DataFrame:
         for part in parts:
             parsed = [parse(t) for t in part["text"]]
             start = part["start_sec"]
-            yield pd.DataFrame(
+            made = pd.DataFrame(
                 {
                     "clip_id": part["clip_id"].astype("Int64"),
                     "line_id": part["line_id"].astype("Int64"),
                     "at_sec": start.where(start.notna(), pd.Series([p[1] for p in parsed], index=part.index, dtype="float64")),
-                    "until_sec": part["end_sec"],
+                    "until_sec": part["end_sec"] if texts else None,
                     "speaker": [p[0] or speakers.of_field(f) for p, f in zip(parsed, part["speaker"], strict=True)],
                     "n_words": pd.Series([len(p[2]) for p in parsed], index=part.index, dtype="int32"),
-                    "utterance": [" ".join(p[2]) for p in parsed],
+                    "utterance": [" ".join(p[2]) for p in parsed] if texts else None,
                 }
             )
+            yield made[names]
 
-    wanted = lines.select("clip_id", "line_id", "text", "speaker", "start_sec", "end_sec")
-    clean = wanted.mapInPandas(batches, LINE_COLUMNS)
-    return clean.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("at_sec", "until_sec")})
+    wanted = lines.select("clip_id", "line_id", "text", "speaker", "start_sec", *(["end_sec"] if texts else []))
+    clean = wanted.mapInPandas(batches, ", ".join(columns))
+    return clean.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("at_sec", "until_sec") if c in names})
 
 
 def speaker_turns(lines: DataFrame, speaker_codes: DataFrame, texts: bool = True) -> DataFrame:
@@ -183,7 +187,7 @@ def speaker_turns(lines: DataFrame, speaker_codes: DataFrame, texts: bool = True
     """
     columns = ["clip_id", "line_id", "at_sec", "speaker", "n_words", *(["until_sec", "utterance"] if texts else [])]
     bucket = F.coalesce(F.floor(F.col("at_sec") / BUCKET_SEC).cast("bigint"), F.lit(2**62))
-    rows = clean_lines(lines, speaker_codes).select(*columns).distinct().withColumn("_bucket", bucket)
+    rows = clean_lines(lines, speaker_codes, texts).select(*columns).distinct().withColumn("_bucket", bucket)
     place = F.struct(F.col("at_sec").isNull().alias("n"), F.col("at_sec").alias("a"), F.col("line_id").alias("l"))
     rows = rows.withColumn("_place", place)
     keys = ["clip_id", "_bucket"]
