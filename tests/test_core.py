@@ -275,7 +275,7 @@ def test_alignment(spark):
     assert rows["/0/0/0"].text == "ab" and rows["/0/0"].text == "ab a."
     assert [rows[f"/0/0/0/{i}"].text for i in range(2)] == ["a", "b"]
     assert rows["/0/0/0/0"].start_sec == pytest.approx(1.0, abs=0.03) and rows["/0/0/1"].end_sec == pytest.approx(1.14, abs=0.03)
-    assert [p for p in rows if p.startswith(("/1", "/2"))] == ["/1", "/2"]
+    assert sorted(p for p in rows if p.startswith(("/1", "/2"))) == ["/1", "/2"]
     assert alignment.sentences("Dr. A came. He left!") == [(0, 11), (12, 20)]
 
 
