@@ -151,30 +151,100 @@ def linear_alignment(rows: DataFrame, x: str = "x", y: str = "y", standardize: b
     return float(min(top / bottom, 1.0))
 
 
-def rbf_alignment(rows: DataFrame, x: str = "x", y: str = "y", standardize: bool = True, threshold: float = 1.0, reg: float = 1e-6, most: int = 5000) -> float:
+def _spread(rows: DataFrame, column: str):
+    """Mean and sample deviation of each position, a row per position on the driver."""
+    import numpy as np
+
+    each = rows.select(F.posexplode(column).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("s"))
+    got = sorted(each.collect())
+    return np.array([r.m for r in got]), np.array([r.s for r in got])
+
+
+def rbf_alignment(rows: DataFrame, x: str = "x", y: str = "y", standardize: bool = True, threshold: float = 1.0, reg: float = 1e-6, block_rows: int = 1024) -> float:
     """Centered kernel alignment with Gaussian kernels whose width is the median squared distance (the lower one of
-    two) times threshold squared. Needs the n x n distances on the driver: more than ``most`` samples raise."""
+    two) times threshold squared.
+
+    Samples are cut into blocks of about ``block_rows`` and each pair of blocks is one task. The median is found exactly
+    by four counting passes over the distances, 16 bits of the number each; the centered inner products follow from
+    sums over the blocks and over each sample's row. The driver sees at most 2 x 65536 counts a pass.
+    """
     import numpy as np
+    import pandas as pd
 
-    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y"))
-    got = pairs.limit(most + 1).collect()
-    if not got or len(got) > most:
-        raise ValueError(f"between 1 and {most} samples are needed")
-
-    def gram(m):
-        if standardize:
-            m = (m - m.mean(0)) / (m.std(0, ddof=1 if len(m) > 1 else 0) + 1e-8)
-        d = m @ m.T
-        q = np.diag(d)
-        d = q[:, None] + q[None, :] - 2 * d
-        flat = np.sort(d, axis=None)
-        k = np.exp(-d / (2 * threshold**2 * max(flat[(flat.size - 1) // 2], 1e-10)))
-        k = (k + k.T) / 2 + reg * np.eye(len(k))
-        h = np.eye(len(k)) - 1 / len(k)
-        return h @ k @ h
-
-    a, b = gram(np.array([r.x for r in got])), gram(np.array([r.y for r in got]))
-    return float(min((a * b).sum() / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-8), 1.0))
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.monotonically_increasing_id().alias("id"), F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y"))
+    pairs = durable(pairs)  # ids must be the same in each pass
+    n = pairs.count()
+    if not n:
+        raise ValueError("no samples")
+    scale = {c: _spread(pairs, c) if standardize else None for c in "xy"}
+    blocks = n // block_rows + 1
+    numbered = pairs.withColumn("b", F.pmod("id", F.lit(blocks)).cast("int")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # a block meets itself once: its rows then come in one copy
+    met = numbered.select("id", "x", "y", "b", F.least("b", "_k").alias("i"), F.greatest("b", "_k").alias("j")).repartition(min(blocks * (blocks + 1) // 2, 2000), "i", "j")
+
+    def distances(key, pdf, c):
+        """Ids of both sides and the squared distances between them."""
+        pdf = pdf.sort_values("id")
+        p, q = pdf[pdf["b"] == key[0]], pdf[pdf["b"] == key[1]]
+        if not len(p) or not len(q):
+            return p["id"].to_numpy(), q["id"].to_numpy(), np.zeros((len(p), len(q)))
+        m, o = np.stack(p[c].to_list()), np.stack(q[c].to_list())
+        if scale[c] is not None:
+            mean, s = scale[c]
+            m, o = (m - mean) / (s + 1e-8), (o - mean) / (s + 1e-8)
+        d = np.maximum((m * m).sum(1)[:, None] + (o * o).sum(1)[None, :] - 2 * (m @ o.T), 0)
+        if key[0] == key[1]:
+            np.fill_diagonal(d, np.where(np.isnan(np.diag(d)), np.nan, 0))
+        d[np.isnan(d)] = np.nan
+        return p["id"].to_numpy(), q["id"].to_numpy(), d
+
+    known = {"x": 0, "y": 0}  # the median's leading bits; numbers from 0 up have the order of their bits
+    rank = {"x": (n * n - 1) // 2, "y": (n * n - 1) // 2}
+
+    def counter(shift, known):
+        def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            parts = []
+            for c in "xy":
+                bits = (distances(key, pdf, c)[2] + 0.0).view(np.int64).ravel()
+                if shift < 48:
+                    bits = bits[bits >> (shift + 16) == known[c]]
+                v = np.bincount((bits >> shift) & 0xFFFF, minlength=1)
+                at = np.flatnonzero(v)
+                parts.append(pd.DataFrame({"side": c, "bin": at.astype("int32"), "v": v[at].astype("int64") * (1 if key[0] == key[1] else 2)}))
+            return pd.concat(parts)
+
+        return count
+
+    for shift in (48, 32, 16, 0):
+        counts = met.groupBy("i", "j").applyInPandas(counter(shift, dict(known)), "side string, bin int, v bigint").groupBy("side", "bin").agg(F.sum("v").alias("v")).collect()
+        for c in "xy":
+            got = sorted((r.bin, r.v) for r in counts if r.side == c)
+            total = np.cumsum([v for _, v in got])
+            k = min(int(np.searchsorted(total, rank[c], side="right")), len(got) - 1)
+            rank[c] -= int(total[k - 1]) if k else 0
+            known[c] = known[c] << 16 | got[k][0]
+    width = {c: 2 * threshold**2 * max(float(np.int64(known[c]).view(np.float64)), 1e-10) for c in "xy"}
+    middle = float(np.exp(-1 / (2 * threshold**2)))
+
+    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        k = {}
+        for c in "xy":
+            p, q, d = distances(key, pdf, c)
+            k[c] = np.exp(-d / width[c]) - middle  # centering takes any constant away; this one keeps the sums small
+            if key[0] == key[1]:
+                k[c] += reg * np.eye(len(p))
+        times = 1 if key[0] == key[1] else 2
+        parts = [pd.DataFrame({"id": p, "r": k["x"].sum(1), "s": k["y"].sum(1), "xx": 0.0, "xy": 0.0, "yy": 0.0})]
+        if times == 2:
+            parts.append(pd.DataFrame({"id": q, "r": k["x"].sum(0), "s": k["y"].sum(0), "xx": 0.0, "xy": 0.0, "yy": 0.0}))
+        parts.append(pd.DataFrame({"id": [-1], "r": 0.0, "s": 0.0, "xx": times * (k["x"] ** 2).sum(), "xy": times * (k["x"] * k["y"]).sum(), "yy": times * (k["y"] ** 2).sum()}))
+        return pd.concat(parts)
+
+    each = met.groupBy("i", "j").applyInPandas(sums, "id bigint, r double, s double, xx double, xy double, yy double").groupBy("id").agg(*[F.sum(c).alias(c) for c in ("r", "s", "xx", "xy", "yy")])
+    t = each.agg(*[F.sum(c).alias(c) for c in ("r", "s", "xx", "xy", "yy")], *[F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in ("rr", "rs", "ss")]).first()
+    inner = lambda whole, by_row, a, b: whole - 2 / n * by_row + a * b / n**2
+    top, a, b = inner(t.xy, t.rs, t.r, t.s), inner(t.xx, t.rr, t.r, t.r), inner(t.yy, t.ss, t.s, t.s)
+    return float(min(top / (np.sqrt(max(a, 0)) * np.sqrt(max(b, 0)) + 1e-8), 1.0))
 
 
 def principal_components(rows: DataFrame, column: str, n_components: int = 2) -> DataFrame:

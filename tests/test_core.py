@@ -205,6 +205,37 @@ def test_linear_alignment_is_the_kernel_form(spark):
     assert similarity.linear_alignment(df, standardize=False) == pytest.approx((a * b).sum() / np.linalg.norm(a) / np.linalg.norm(b), rel=1e-6)
 
 
+def whole_rbf_alignment(x, y, threshold=1.0, reg=1e-6):
+    def gram(m):
+        m = (m - m.mean(0)) / (m.std(0, ddof=1) + 1e-8)
+        d = ((m[:, None, :] - m[None, :, :]) ** 2).sum(2)
+        flat = np.sort(d, axis=None)
+        k = np.exp(-d / (2 * threshold**2 * max(flat[(flat.size - 1) // 2], 1e-10))) + reg * np.eye(len(m))
+        h = np.eye(len(m)) - 1 / len(m)
+        return h @ k @ h
+
+    a, b = gram(x), gram(y)
+    return (a * b).sum() / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-8)
+
+
+@pytest.mark.parametrize("n, block_rows", [(61, 16), (60, 1000), (2, 1)])
+def test_rbf_alignment_in_blocks(spark, n, block_rows):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(n, 4)), rng.normal(size=(n, 3)) ** 3
+    x[: n // 4], y[: n // 3] = x[0], y[0]  # samples that are alike
+    y[:, 0] += x[:, 0]
+    df = spark.createDataFrame([(p.tolist(), q.tolist()) for p, q in zip(x, y)], "x array<double>, y array<double>").repartition(3)
+    for threshold in (1.0, 0.5):
+        assert similarity.rbf_alignment(df, threshold=threshold, block_rows=block_rows) == pytest.approx(whole_rbf_alignment(x, y, threshold), rel=1e-9)
+
+
+def test_rbf_alignment_of_more_than_5000(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5003, 2))
+    df = spark.createDataFrame([(p.tolist(), q.tolist()) for p, q in zip(x, 3 * x + 1)], "x array<double>, y array<double>")
+    assert similarity.rbf_alignment(df) == pytest.approx(1, abs=1e-6)
+
+
 def test_equal_error_rate(spark):
     pos = spark.createDataFrame([(v,) for v in (0.6, 0.7, 0.8, 0.5)], "score double")
     neg = spark.createDataFrame([(v,) for v in (0.4, 0.3, 0.2, 0.1)], "score double")
