@@ -11,11 +11,40 @@ from sonoframe.operators import frames
 from sonoframe.operators.features import voice_features
 
 
-def conversation_segments(clips: DataFrame, lines: DataFrame) -> DataFrame:
+def conversation_segments(clips: DataFrame, lines: DataFrame, bucket_sec: float = 10.0) -> DataFrame:
     """A row per line with both times: clip_id, ord, speaker, start_sec, end_sec, sampling_rate and the channels of
-    that stretch. A line's own number goes along, so lines that fall out shift nothing."""
-    usable = lines.where("start_sec IS NOT NULL AND end_sec IS NOT NULL")
-    return frames.extract_segments(clips.select("clip_id", "path", "sampling_rate", "channels"), usable.select("clip_id", "ord", "speaker", "start_sec", "end_sec"))
+    that stretch. A line's own number goes along, so lines that fall out shift nothing. Lines outside their clip raise.
+
+    A clip is first cut into stretches that hold the lines beginning in the same ``bucket_sec``, each sample about once,
+    so that a clip of many lines is neither repeated for each of them nor left to one task.
+    """
+    usable = lines.where("start_sec IS NOT NULL AND end_sec IS NOT NULL").select("clip_id", "ord", "speaker", "start_sec", "end_sec", F.floor(F.col("start_sec") / bucket_sec).alias("_b"))
+    spans = usable.groupBy("clip_id", "_b").agg(F.min("start_sec").alias("s"), F.max("end_sec").alias("e"))
+    spans = spans.groupBy("clip_id").agg(F.collect_list("_b").alias("_bs"), F.collect_list("s").alias("_starts"), F.collect_list("e").alias("_ends"))  # a stretch of the clip each
+    rows = clips.select("clip_id", "path", "sampling_rate", "channels")
+    kinds = dict(rows.dtypes)
+
+    def stretches(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                bs, starts, ends, channels = r[4], r[5], r[6], r[3]
+                n = len(channels[0]) if len(channels) else 0
+                for at in range(0, len(bs), 1000):
+                    part = []
+                    for b, s, e in zip(bs[at : at + 1000], starts[at : at + 1000], ends[at : at + 1000], strict=True):
+                        first = max(int(s * r[2]), 0)
+                        part.append((r[0], r[1], r[2], n, b, first, [c[first : max(int(e * r[2]), first)] for c in channels]))
+                    yield pd.DataFrame(part, columns=["clip_id", "path", "sampling_rate", "_n", "_b", "_first", "channels"])
+
+    schema = f"clip_id {kinds['clip_id']}, path {kinds['path']}, sampling_rate {kinds['sampling_rate']}, _n bigint, _b bigint, _first bigint, channels {kinds['channels']}"
+    found = rows.join(spans, "clip_id").mapInPandas(stretches, schema).join(usable, ["clip_id", "_b"])
+    rate = F.col("sampling_rate")
+    fine = F.assert_true((F.col("start_sec") >= 0) & (F.col("end_sec") <= F.col("_n") / rate), F.lit("segment outside its clip")).isNull()
+    first = (F.col("start_sec") * rate).cast("int")
+    size = F.greatest((F.col("end_sec") * rate).cast("int") - first, F.lit(0))
+    return found.withColumn("channels", F.when(fine, frames.cut(F.col("channels"), (first - F.col("_first")).cast("int"), size))).drop("_n", "_b", "_first")
 
 
 def explore_conversation(

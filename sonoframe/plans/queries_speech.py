@@ -341,11 +341,15 @@ _register(model_augmented, "SELECT vec_id AS clip_id, CAST(generate_subscripts(e
 
 
 def conversation_report(spark, d):
-    """Segments of clips by their lines within the clip's second, with a stand-in embedding, as JSON per file."""
-    own = clips(spark, d).withColumn("path", F.concat(F.lit("clip "), F.col("clip_id").cast("string")))
-    some = lines(spark, d).where("end_sec <= 1").withColumn("ord", F.lit(0))
+    """Every segment of clips by their lines, with a stand-in embedding, as JSON. A clip's vector is repeated until the
+    clip is as long as its lines need."""
+    some = lines(spark, d).withColumn("ord", F.lit(0))
+    seconds = some.groupBy("clip_id").agg(F.ceil(F.max("end_sec")).cast("int").alias("_s"))
+    own = clips(spark, d).join(seconds, "clip_id").withColumn("channels", F.array(F.flatten(F.array_repeat(F.get("channels", F.lit(0)), F.greatest("_s", F.lit(1)))))).drop("_s")
+    own = own.withColumn("path", F.concat(F.lit("clip "), F.col("clip_id").cast("string")))
     embed = lambda s: models.apply_model(s.withColumn("sampling_rate", F.lit(16000)), "speaker_embedding", _stand_in, models.ModelRef("stand-in")).withColumn("sampling_rate", F.lit(64))
-    return workflows.explore_conversation(own, some, speaker_embedders={"stand-in": embed}).select("original_file", F.size("segments").alias("n"), F.get("segments", F.lit(0)).alias("first"))
+    found = workflows.explore_conversation(own, some, speaker_embedders={"stand-in": embed})
+    return found.select("original_file", F.size("segments").alias("n"), F.posexplode("segments").alias("pos", "segment"))
 
 
 _register(conversation_report)

@@ -442,3 +442,33 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
         x = np.concatenate([r[2] for r in rows if r[0] == f"c{c}"])
         assert got[f"c{c}"].n == 20 and got[f"c{c}"].mean_square == pytest.approx((x * x).mean())
         assert got[f"c{c}"].zero_crossing_rate == pytest.approx((np.sign(x[1:]) * np.sign(x[:-1]) < 0).mean())
+
+
+# whole analyses
+
+
+def test_conversation_report_has_every_line(spark, tmp_path):
+    from sonoframe.plans.queries_speech import conversation_report
+
+    vectors = {1: [i / 64 for i in range(64)], 2: [-0.5] * 64, 3: [0.1] * 64}
+    spark.createDataFrame([(k, 0, v) for k, v in vectors.items()], "vec_id bigint, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rng = random.Random(5)
+    spans = [(1, 0.0, 0.5), (1, 9.5, 23.25), (1, 3.0, 3.0), (2, 0.2, 1.7), (4, 0.0, 0.5)] + [(1, s, s + rng.random() * 9) for s in (rng.random() * 900 for _ in range(300))]
+    rows = [(i, c, " a", s, e) for i, (c, s, e) in enumerate(spans)]
+    spark.createDataFrame([*rows, rows[0]], "line_id bigint, clip_id bigint, speaker string, start_sec double, end_sec double").write.parquet(str(tmp_path / "diar_lines.parquet"))
+    got = [(r.original_file, r.n, r.pos, json.loads(r.segment)) for r in conversation_report(spark, str(tmp_path)).collect()]
+    wanted = sorted(s for s in spans if s[0] in vectors)
+    assert [(c, j["start"], j["end"]) for c, _, _, j in sorted(got, key=lambda x: (x[0], x[2]))] == wanted
+    assert {(c, n) for c, n, _, _ in got} == {(1, 303), (2, 1)}
+    for c, _, _, j in got:
+        x = np.tile(np.array(vectors[c], dtype="float32").astype(float), 1000)[int(j["start"] * 64) : int(j["end"] * 64)]
+        assert j["speaker_embeddings"]["stand-in"] == pytest.approx([x.mean(), np.abs(x).max()] if len(x) else [0, 0])
+
+
+def test_conversation_segments_outside_their_clip_raise(spark):
+    from sonoframe.operators import workflows
+
+    clips = spark.createDataFrame([("a", "p", 4, [[0.0] * 8])], "clip_id string, path string, sampling_rate int, channels array<array<double>>")
+    for s, e in ((1.0, 2.5), (-1.0, 1.0)):
+        with pytest.raises(Exception, match="outside its clip"):
+            workflows.conversation_segments(clips, spark.createDataFrame([("a", 0, "x", s, e)], "clip_id string, ord int, speaker string, start_sec double, end_sec double")).collect()
