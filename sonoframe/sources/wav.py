@@ -19,6 +19,8 @@ def parse_header(content: bytes) -> dict | None:
     while at + 8 <= len(content):
         kind, size = struct.unpack_from("<4sI", content, at)
         if kind == b"fmt ":
+            if at + 24 > len(content) or (size >= 40 and at + 34 > len(content)):
+                return None
             code, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", content, at + 8)
             if code == 0xFFFE and size >= 40:
                 code = struct.unpack_from("<H", content, at + 32)[0]
@@ -78,19 +80,25 @@ def encode(channels, rate: int, bits: int = 16) -> bytes:
 
 
 def read_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, sampling_rate, n_channels, duration_sec; null for files that are no WAV files. Samples are not decoded."""
+    """path, sampling_rate, n_channels, duration_sec; null for files that are no WAV files. Samples are not decoded;
+    a file's whole content is looked at only where its first 4096 bytes are of a WAV file and don't reach the samples."""
     import pandas as pd
 
-    def run(head: pd.Series, size: pd.Series) -> pd.DataFrame:
+    def run(head: pd.Series, size: pd.Series, whole: pd.Series) -> pd.DataFrame:
         rows = []
-        for c, n in zip(head, size, strict=True):
-            h = parse_header(bytes(c))
+        for c, n, w in zip(head, size, whole, strict=True):
+            h = parse_header(bytes(c)) or (parse_header(w) if w is not None else None)
             rows.append((None, None, None) if h is None else (h["rate"], h["channels"], min(h["size"], n - h["start"]) / (h["rate"] * h["channels"] * h["bits"] / 8)))
         return pd.DataFrame(rows, columns=["sampling_rate", "n_channels", "duration_sec"])
 
-    run.__annotations__ = {"head": pd.Series, "size": pd.Series, "return": pd.DataFrame}
-    rows = spark.read.format("binaryFile").load(paths).select(plain_path(F.col("path")).alias("path"), F.substring("content", 1, 4096).alias("_h"), F.col("length").alias("_n"))
-    info = F.pandas_udf(run, "sampling_rate int, n_channels int, duration_sec double")("_h", "_n")
+    def reached(head: pd.Series) -> pd.Series:
+        return pd.Series([bytes(c[:4]) != b"RIFF" or bytes(c[8:12]) != b"WAVE" or parse_header(bytes(c)) is not None for c in head], dtype=bool)
+
+    run.__annotations__ = {"head": pd.Series, "size": pd.Series, "whole": pd.Series, "return": pd.DataFrame}
+    reached.__annotations__ = {"head": pd.Series, "return": pd.Series}
+    rows = spark.read.format("binaryFile").load(paths).select(plain_path(F.col("path")).alias("path"), F.substring("content", 1, 4096).alias("_h"), F.col("length").alias("_n"), "content")
+    rows = rows.withColumn("_w", F.when((F.col("_n") > 4096) & ~F.pandas_udf(reached, "boolean")("_h"), F.col("content"))).drop("content")
+    info = F.pandas_udf(run, "sampling_rate int, n_channels int, duration_sec double")("_h", "_n", "_w")
     return rows.select("path", info.alias("_i")).select("path", "_i.*")
 
 

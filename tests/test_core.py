@@ -472,3 +472,23 @@ def test_conversation_segments_outside_their_clip_raise(spark):
     for s, e in ((1.0, 2.5), (-1.0, 1.0)):
         with pytest.raises(Exception, match="outside its clip"):
             workflows.conversation_segments(clips, spark.createDataFrame([("a", 0, "x", s, e)], "clip_id string, ord int, speaker string, start_sec double, end_sec double")).collect()
+
+
+# headers of WAV files
+
+
+@pytest.mark.parametrize("before", ["fmt ", "data"])
+@pytest.mark.parametrize("size", [4040, 4056, 4058, 4066, 4070, 9000])
+def test_headers_beyond_4096_bytes(spark, tmp_path, before, size):
+    import struct
+
+    body = wav.encode([[0.5] * 12000], 8000)
+    at = body.index(before.encode())
+    chunk = b"LIST" + struct.pack("<I", size) + b"\0" * size
+    (tmp_path / "a.wav").write_bytes(body[:at] + chunk + body[at:])
+    (tmp_path / "b.wav").write_bytes(b"RIFF" + b"\0" * 9000)
+    (tmp_path / "c.wav").write_bytes(body[:12] + chunk)
+    got = {r.path[-5:]: tuple(r)[1:] for r in wav.read_headers(spark, str(tmp_path)).collect()}
+    assert got == {"a.wav": (8000, 1, 1.5), "b.wav": (None, None, None), "c.wav": (None, None, None)}
+    clip = wav.read_clips(spark, str(tmp_path / "a.wav")).first()
+    assert clip.sampling_rate == 8000 and len(clip.channels[0]) == 12000
