@@ -351,6 +351,15 @@ def unbatch(spark, d):
 _register(unbatch, "SELECT vec_id, CAST(generate_subscripts(embedding[1:3], 1) - 1 AS INT) AS ord, round(CAST(unnest(embedding[1:3]) AS DOUBLE), 6) AS item FROM embeddings")
 
 
+def unbatch_whole(spark, d):
+    """Every element; ``unbatch``, whose SQL is fixed, has three of a row."""
+    rows = load(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("items"))
+    return frames.unbatch(rows).select("vec_id", "ord", F.round(F.col("item").cast("double"), 6).alias("item"))
+
+
+_register(unbatch_whole, "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS ord, round(CAST(unnest(embedding) AS DOUBLE), 6) AS item FROM embeddings")
+
+
 def resample(spark, d):
     return frames.resample(clips(spark, d), 48).select("clip_id", "sampling_rate", F.size(F.get("channels", F.lit(0))).alias("n"))
 
@@ -441,6 +450,15 @@ i AS (SELECT a_id, unnest(range(0, 16)) AS i, u, v FROM p), j AS (SELECT a_id, i
 SELECT a_id, CAST(i - j + 7 AS INT) AS lag, round(sum(u[i + 1] * v[j + 1] / sqrt(list_dot_product(u, u) * list_dot_product(v, v))), 6) AS r FROM j GROUP BY 1, 2""")
 
 
+def xcorr_whole(spark, d):
+    """All lags of whole vectors; ``xcorr``, whose SQL is fixed, correlates their first samples."""
+    rows = _neighbours(spark, d).select("a_id", F.posexplode(cross_correlation(F.col("vector_a"), F.col("vector_b"))).alias("lag", "r"))
+    return rows.withColumn("r", F.round("r", 6))
+
+
+_register(xcorr_whole)
+
+
 def nearest(spark, d):
     e = load(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("clip_id"), F.col("embedding").alias("vector"))
     found = similarity.nearest(e.where(F.col("clip_id").cast("bigint") % 20 == 0).withColumnRenamed("clip_id", "query_id"), e, 5)

@@ -492,3 +492,18 @@ def test_headers_beyond_4096_bytes(spark, tmp_path, before, size):
     assert got == {"a.wav": (8000, 1, 1.5), "b.wav": (None, None, None), "c.wav": (None, None, None)}
     clip = wav.read_clips(spark, str(tmp_path / "a.wav")).first()
     assert clip.sampling_rate == 8000 and len(clip.channels[0]) == 12000
+
+
+def test_whole_vectors_in_queries(spark, tmp_path):
+    from sonoframe.plans import registry
+
+    rng = np.random.default_rng(6)
+    vectors = [rng.normal(size=64).astype("float32") for _ in range(4)]
+    spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.a_id, r.lag): r.r for r in registry.queries()["xcorr_whole"](spark, str(tmp_path)).collect()}
+    assert len(got) == 3 * 127
+    for k, (a, b) in enumerate(zip(vectors, vectors[1:])):
+        a, b = a.astype(float), b.astype(float)
+        assert [got[k, i] for i in range(127)] == pytest.approx(list(np.correlate(a, b, "full") / np.sqrt((a @ a) * (b @ b))), abs=1e-6)
+    items = {(r.vec_id, r.ord): r.item for r in registry.queries()["unbatch_whole"](spark, str(tmp_path)).collect()}
+    assert items == {(k, i): pytest.approx(float(x), abs=1e-6) for k, v in enumerate(vectors) for i, x in enumerate(v)}
