@@ -48,7 +48,7 @@ def remove_level(nodes: DataFrame, level: int, keep_lower: bool = True) -> DataF
     under = Window.partitionBy("clip_id", F.slice("_numbers", 1, level)).orderBy("_numbers")
     moved = moved.select("clip_id", F.col("_numbers").alias("_head"), (F.row_number().over(under) - 1).alias("_place"))
     low = rows.where(F.col("level") > level).withColumn("_head", F.slice("_numbers", 1, level + 2)).join(moved, ["clip_id", "_head"])
-    fresh = F.concat(F.slice("_head", 1, level), F.array("_place"), F.slice("_numbers", level + 3, 1000))
+    fresh = F.concat(F.slice("_head", 1, level), F.array("_place"), F.slice("_numbers", F.lit(level + 3), F.size("_numbers")))
     low = low.withColumn("node_path", F.concat(F.lit("/"), F.array_join(fresh.cast("array<string>"), "/"))).withColumn("level", F.col("level") - 1).withColumn("ord", F.element_at(fresh, -1))
     return rows.where(F.col("level") < level).select(*nodes.columns).unionByName(low.select(*nodes.columns))
 

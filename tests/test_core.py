@@ -507,3 +507,14 @@ def test_whole_vectors_in_queries(spark, tmp_path):
         assert [got[k, i] for i in range(127)] == pytest.approx(list(np.correlate(a, b, "full") / np.sqrt((a @ a) * (b @ b))), abs=1e-6)
     items = {(r.vec_id, r.ord): r.item for r in registry.queries()["unbatch_whole"](spark, str(tmp_path)).collect()}
     assert items == {(k, i): pytest.approx(float(x), abs=1e-6) for k, v in enumerate(vectors) for i, x in enumerate(v)}
+
+
+def test_remove_level_of_a_deep_tree(spark):
+    depth = 1100
+    rows = [("c", "/" + "/".join(["0"] * (k + 1)), k, 0) for k in range(depth)]
+    rows.append(("c", "/" + "/".join(["0"] * (depth - 1) + ["1"]), depth - 1, 1))
+    nodes = spark.createDataFrame(rows, "clip_id string, node_path string, level int, ord int")
+    got = tree.remove_level(nodes, 1).collect()
+    assert len(got) == depth
+    deepest = sorted((r.node_path, r.ord) for r in got if r.level == depth - 2)
+    assert deepest == [("/" + "/".join(["0"] * (depth - 1)), 0), ("/" + "/".join(["0"] * (depth - 2) + ["1"]), 1)]
