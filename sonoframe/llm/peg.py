@@ -93,18 +93,32 @@ def node(name: str, part: Parser, where: Callable[[str], bool] | None = None) ->
     return parse
 
 
-class Rule:
-    """A name for an expression that is defined later, for recursion. Nesting deeper than ``limit`` fails to match."""
+def nested(pairs: dict[str, str], leaf: Parser) -> Parser:
+    """Text in brackets (``pairs``: opening to closing) that may hold brackets, of any depth, and ``leaf`` between them.
+    Open brackets are kept on a stack. Those still open where matching fails would fail there too, so they are not tried again."""
+    seen: list = [None, set()]
 
-    def __init__(self, limit: int = 60) -> None:
-        self.body: Parser | None = None
-        self.depth, self.limit = 0, limit
-
-    def __call__(self, text: str, at: int):
-        if self.depth >= self.limit:
+    def parse(text: str, at: int):
+        if at >= len(text) or text[at] not in pairs:
+            return None
+        if seen[0] is not text:
+            seen[:] = [text, set()]
+        if at in seen[1]:
             return None
-        self.depth += 1
-        try:
-            return self.body(text, at)
-        finally:
-            self.depth -= 1
+        open_at = [at]
+        at += 1
+        while open_at:
+            if at < len(text) and text[at] in pairs:
+                open_at.append(at)
+                at += 1
+            elif at < len(text) and (got := leaf(text, at)) is not None and got[0] > at:
+                at = got[0]
+            elif at < len(text) and text[at] == pairs[text[open_at[-1]]]:
+                open_at.pop()
+                at += 1
+            else:
+                seen[1].update(open_at)
+                return None
+        return at, ()
+
+    return parse

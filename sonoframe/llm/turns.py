@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonoframe.llm.peg import Rule, but, choice, many, maybe, node, seq, term
+from sonoframe.llm.peg import but, choice, many, maybe, nested, node, seq, term
 
 #: Seconds of one time bucket of a clip; see :func:`speaker_turns`.
 BUCKET_SEC = 600
@@ -88,17 +88,8 @@ def line_grammar(speakers: Speakers):
         seq(term(r"<\s*"), choice(clock, spelled, node("seconds", term(r"\d+(?:\.\d+)?"))), term(r"\s*>")),
         seq(three, maybe(arrow)),
     )
-    note = Rule()
-    inner = lambda closing: many(choice(note, term(rf"[^\[\](){{}}<>{closing}]+")))
-    note.body = choice(
-        seq(term(r"\["), inner("*"), term(r"\]")),
-        seq(term(r"\("), inner("*"), term(r"\)")),
-        seq(term(r"\{"), inner("*"), term(r"\}")),
-        seq(term(r"<"), inner("*"), term(r">")),
-        term(r"\*(?=\w)[^*\n]{1,80}\*"),
-        term(r"♪[^♪]*♪|[♪♫]+"),
-        term(r"&\S+"),
-    )
+    flat = choice(term(r"\*(?=\w)[^*\n]+\*"), term(r"♪[^♪]*♪|[♪♫]+"), term(r"&\S+"))
+    note = choice(nested({"[": "]", "(": ")", "{": "}", "<": ">"}, choice(flat, term(r"[^\[\](){}<>*]+"))), flat)
     plain = r"[^\s\[\](){}<>♪\x15]"
     word = node("token", seq(
         but(term(r"[&*]")),

@@ -445,3 +445,13 @@ def test_no_documents(spark):
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("p5")))
 def test_query_runs(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
+
+
+def test_deep_and_long_notes_are_not_spoken():
+    parse = turns.line_grammar(turns.Speakers(CODES))
+    for depth in (3, 61, 5000):
+        assert parse("so " + "[a (b {c <d " * depth + "> } ) ] " * depth + "then")[2] == ["so", "then"]
+    assert parse("so *" + "laughs loudly " * 20 + "x* then")[2] == ["so", "then"]
+    assert parse("so *laughs then")[2] == ["so", "laughs", "then"]
+    assert parse("[" * 20_000 + " so")[2] == ["so"]
+    assert parse("[a (b] so [c] then")[2] == ["a", "b", "so", "then"]
