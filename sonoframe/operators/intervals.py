@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 BUCKET_MS = 600_000
 
 
-#: Times from here on (28,000 years) count as missing, like infinite ones.
-MOST_SEC = 9e11
+#: From here on a bigint of milliseconds can't hold a time in seconds.
+MOST_SEC = 9.2e15
 
 
 def _millis(seconds: Column) -> Column:
@@ -22,9 +22,9 @@ def _millis(seconds: Column) -> Column:
 def usable_intervals(lines: DataFrame, keys: list[Column], start: str = "start_sec", end: str = "end_sec") -> DataFrame:
     """``keys``, from_ms and to_ms of the rows that are intervals.
 
-    Times are rounded to whole milliseconds. A row with a null, NaN, negative or infinite time (MOST_SEC and
-    more), or one that does not end after it starts, is no interval. Rows with a null key stay, under the null key. Of extra columns
-    none is looked at, whatever its name.
+    Times are rounded to whole milliseconds. A row with a null, NaN, negative or infinite time (or one that no bigint of
+    milliseconds can hold), or one that does not end after it starts, is no interval. Rows with a null key stay, under the
+    null key. Of extra columns none is looked at, whatever its name.
     """
     rows = lines.select(*keys, _millis(lines[start]).alias("from_ms"), _millis(lines[end]).alias("to_ms"), lines[start].alias("_raw"))
     return rows.where((F.col("_raw") >= 0) & (F.col("from_ms") >= 0) & (F.col("to_ms") > F.col("from_ms"))).drop("_raw")
@@ -34,21 +34,24 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], bucket_ms: int = BUC
     """``keys``, kind, from_ms, to_ms: the periods (kind ``period``) covered by the intervals of each key, touching
     intervals joined, and the gaps (kind ``gap``) between one period and the next.
 
-    ``intervals`` has the keys (texts or numbers, null is a key of its own) and bigint columns from_ms < to_ms. Within a
-    time bucket session windows whose duration is each row's own length merge what overlaps (partly before the shuffle),
-    and sessions that touch become one piece. Of each bucket only its latest end and the start of its last piece go
+    ``intervals`` has the keys (texts or numbers, null is a key of its own) and bigint columns from_ms < to_ms, from_ms
+    not negative. Within a time bucket session windows whose duration is each row's own length merge what overlaps (partly
+    before the shuffle), and sessions that touch become one piece. Sessions count time from the start of their bucket and end with it
+    at the latest, as nothing begins in the bucket after that; so times may be as large as a bigint holds. Of each bucket only its latest end and the start of its last piece go
     through a window over the key, so no task ever holds all intervals of a key. Repeated rows change nothing; a key
     with one period has no gap; no rows give none.
     """
     plain, back, names = _without_nulls(intervals, keys)
-    length = F.make_interval(secs=(F.col("to_ms") - F.col("from_ms")).cast("decimal(18,3)") / F.lit(1000).cast("decimal(18,3)"))
-    bucket = F.coalesce(F.floor(F.col("from_ms") / F.lit(bucket_ms)).cast("bigint"), F.lit(0))  # never null: all reads stay alike
+    bucket = F.coalesce(F.expr(f"from_ms div {bucket_ms}"), F.lit(0))  # never null: all reads stay alike
+    base = F.col("_bucket") * F.lit(bucket_ms)
+    inside = F.least(F.col("to_ms") - F.col("from_ms"), F.lit(bucket_ms) - F.pmod(F.col("from_ms"), F.lit(bucket_ms)))
+    length = F.make_interval(secs=inside.cast("decimal(18,3)") / F.lit(1000).cast("decimal(18,3)"))
     local = [*names, "_bucket"]
     merged = (
-        plain.select(*names, "to_ms", bucket.alias("_bucket"), F.timestamp_millis("from_ms").alias("_at"), length.alias("_length"))
+        plain.select(*names, "to_ms", bucket.alias("_bucket"), F.timestamp_millis(F.pmod(F.col("from_ms"), F.lit(bucket_ms))).alias("_at"), length.alias("_length"))
         .groupBy(*local, F.session_window("_at", F.col("_length")).alias("_session"))
         .agg(F.max("to_ms").alias("to_ms"))
-        .select(*local, F.unix_millis(F.col("_session.start")).alias("from_ms"), "to_ms")
+        .select(*local, (F.unix_millis(F.col("_session.start")) + base).alias("from_ms"), "to_ms")
     )
     order = Window.partitionBy(*local).orderBy("from_ms")
     upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)

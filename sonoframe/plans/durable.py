@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,11 +12,17 @@ from pyspark.sql import DataFrame
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there.
 
-    The folder is ``spark.checkpoint.dir``; only where the session names none (tests on one machine)
-    is a temporary folder of this machine used.
+    The folder is ``spark.checkpoint.dir``. Where the session names none, a temporary folder of this machine is used if
+    all work is done on it (master ``local``), and removed when Python ends; on a cluster that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sonoframe-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="sonoframe-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
