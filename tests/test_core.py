@@ -518,3 +518,27 @@ def test_remove_level_of_a_deep_tree(spark):
     assert len(got) == depth
     deepest = sorted((r.node_path, r.ord) for r in got if r.level == depth - 2)
     assert deepest == [("/" + "/".join(["0"] * (depth - 1)), 0), ("/" + "/".join(["0"] * (depth - 2) + ["1"]), 1)]
+
+
+def test_join_on_hot_keys(spark):
+    from sonoframe.plans.skew import join_one
+
+    left = spark.createDataFrame([(i, "hot" if i % 2 else None if i % 5 == 0 else f"k{i % 7}") for i in range(100)], "i int, k string")
+    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k3", 3), (None, 4)], "k string, v int")
+    for how in ("inner", "left"):
+        want = sorted(map(str, left.join(right, "k", how).collect()))
+        for most in (3, 30, 1000):
+            assert sorted(map(str, join_one(left, right, "k", how, hot_rows=most).collect())) == want
+    assert join_one(left.limit(0), right, "k", hot_rows=0).count() == 0
+
+
+def test_intervals_of_any_size(spark):
+    from sonoframe.operators.intervals import speaking_periods
+
+    rows = [(1, "a", 0.0, 9e15), (1, "a", 5.0, 6.0), (2, "a", 1e12, 2e12), (2, "a", 1.5e12, 1e13), (2, "a", 1e13, 3e13), (2, "a", 5e13, 5e13 + 1), (3, "a", 0.0, float("inf")), (3, "a", 599.0, 600.0), (3, "a", 600.0, 1300.5), (3, "a", 1300.501, 1301.0)]
+    df = spark.createDataFrame(rows, "clip_id bigint, speaker string, start_sec double, end_sec double")
+    got = sorted((r.clip_id, r.kind, r.from_ms, r.to_ms) for r in speaking_periods(df).collect())
+    assert got == [
+        (1, "period", 0, 9 * 10**18), (2, "gap", 3 * 10**16, 5 * 10**16), (2, "period", 10**15, 3 * 10**16), (2, "period", 5 * 10**16, 5 * 10**16 + 1000),
+        (3, "gap", 1300500, 1300501), (3, "period", 599000, 1300500), (3, "period", 1300501, 1301000),
+    ]
