@@ -8,19 +8,6 @@ from pyspark.sql import functions as F
 from sonoframe.llm.tokens import VOCABULARY, token_count
 from sonoframe.plans.durable import durable
 
-#: Domain of a source, the first level of the budget tree; a source that isn't named is a domain of its own.
-DOMAINS = {
-    "session_notes": "clinical",
-    "clinic_letters": "clinical",
-    "consent_forms": "clinical",
-    "field_diaries": "personal",
-    "forum_threads": "public",
-    "tutorial_pages": "public",
-    "task_protocols": "technical",
-    "qc_reports": "technical",
-    "asr_output": "technical",
-}
-
 #: Ranges of an epoch's order, see :func:`mix_sources`.
 RANGES = 4096
 
@@ -61,12 +48,6 @@ def spread_budget(amount: float, leaves: list[tuple[tuple[str, ...], float, floa
     return given
 
 
-def full_total(shares: dict[str, float], rooms: dict[str, float]) -> float:
-    """The largest total at which every source that has tokens reaches its share."""
-    reach = [rooms[s] / w for s, w in shares.items() if w > 0 and rooms.get(s, 0) > 0]
-    return min(reach, default=0.0)
-
-
 def sized_documents(documents: DataFrame, languages: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, source, language, n_tokens of the documents whose source some mix names; language is the code of the
     ``lang`` label, ``und`` without a known one."""
@@ -80,14 +61,43 @@ def sized_documents(documents: DataFrame, languages: DataFrame, targets: DataFra
     return durable(rows.select("doc_id", "source", F.coalesce("language", F.lit("und")).alias("language"), size.cast("bigint").alias("n_tokens")))
 
 
-def mix_sources(sized: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, domains: dict[str, str] = DOMAINS) -> DataFrame:
+def _mixes(targets: DataFrame) -> dict[str, dict[str, tuple[float, int]]]:
+    """mix -> source -> (share, repeats); a few rows. A null share, or one below 0, is 0, null repeats are 1."""
+    mixes: dict[str, dict[str, tuple[float, int]]] = {}
+    for r in targets.select("mix_name", plain_source(F.col("source")).alias("source"), "target_share", "max_repeats").collect():
+        mixes.setdefault(r.mix_name, {})[r.source] = max(float(r.target_share or 0), 0.0), max(int(1 if r.max_repeats is None else r.max_repeats), 0)
+    return mixes
+
+
+def _domains(domains: DataFrame | None) -> dict[str, str]:
+    """source -> domain; a few rows."""
+    return {} if domains is None else {r[0]: r[1] for r in domains.select(plain_source(F.col("source")), "domain").collect() if r[0] and r[1]}
+
+
+def budget_leaves(sources: dict[str, tuple[float, int]], have: dict[tuple[str, str], int], domain: dict[str, str]) -> list[tuple[tuple[str, str, str], float, float]]:
+    """The leaves (domain, language, source), weight, room of a mix's tree. A source's weight is split over its languages
+    as its tokens (``have``) are; a source without tokens is a leaf of language ``und`` without room, so that its
+    siblings get its share."""
+    leaves = []
+    for source, (share, repeats) in sources.items():
+        own = {lang: n for (s, lang), n in have.items() if s == source and n > 0}
+        whole = sum(own.values())
+        leaves += [((domain.get(source, source), lang, source), share * n / whole, float(n * repeats)) for lang, n in own.items()]
+        if not own:
+            leaves.append(((domain.get(source, source), "und", source), share, 0.0))
+    return leaves
+
+
+def mix_sources(sized: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, domains: DataFrame | None = None) -> DataFrame:
     """mix_name, source, language, doc_id, epoch, tokens_used: the documents that make up each mix.
 
     ``targets`` (mix_name, source, target_share, max_repeats; a few rows) names the sources of a mix; ``sized`` is
-    :func:`sized_documents`. The budget of a mix (``total`` tokens, or the largest with which all shares are reached)
+    :func:`sized_documents`; ``domains`` (source, domain; a few rows) is the first level of the tree, a source that it
+    does not name is a domain of its own. The budget of a mix (``total`` tokens, or all tokens of its sources once)
     goes down a tree domain > language > source, where a source's weight is split over its languages as its tokens
-    are; a leaf holds its tokens max_repeats times. A leaf's tokens come from epochs, each an order of its documents
-    by a seeded hash: whole epochs first, then a prefix of the next, whose last document is cut.
+    are; a leaf holds its tokens max_repeats times. What a source is short of goes to its siblings, and only what they
+    can't hold to other domains. A leaf's tokens come from epochs, each an order of its documents by a seeded hash:
+    whole epochs first, then a prefix of the next, whose last document is cut.
 
     An epoch's order is cut into RANGES ranges of the hash; sums per range say in which one the prefix ends, and only
     the documents of that range are put in order, so that a source with most of the rows never meets in one task.
@@ -96,18 +106,15 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total: int | None = None,
     """
     spark = sized.sparkSession
     have = {(r.source, r.language): int(r.n) for r in sized.groupBy("source", "language").agg(F.sum("n_tokens").alias("n")).collect()}
-    mixes: dict[str, dict[str, list]] = {}
-    for r in targets.select("mix_name", plain_source(F.col("source")).alias("source"), "target_share", "max_repeats").collect():
-        mixes.setdefault(r.mix_name, {})[r.source] = [float(r.target_share or 0), int(1 if r.max_repeats is None else r.max_repeats)]
+    domain = _domains(domains)
     rows = []
-    for mix, sources in mixes.items():
+    for mix, sources in _mixes(targets).items():
         own = {k: n for k, n in have.items() if k[0] in sources and n > 0}
-        sums = {s: sum(n for (x, _), n in own.items() if x == s) for s in sources}
-        budget = total if total is not None else full_total({s: w for s, (w, _) in sources.items()}, {s: sums[s] * sources[s][1] for s in sources})
-        leaves = [((domains.get(s, s), lang, s), sources[s][0] * n / sums[s], float(n * sources[s][1])) for (s, lang), n in own.items()]
-        for (_, lang, s), amount in spread_budget(float(budget), leaves).items():
-            tokens = min(int(amount + 1e-6), own[s, lang] * sources[s][1])
-            rows.append((mix, s, lang, tokens // own[s, lang], tokens % own[s, lang]))
+        budget = total if total is not None else sum(own.values())
+        for (_, lang, s), amount in spread_budget(float(budget), budget_leaves(sources, own, domain)).items():
+            if n := own.get((s, lang)):
+                tokens = min(int(amount + 1e-6), n * sources[s][1])
+                rows.append((mix, s, lang, tokens // n, tokens % n))
     plan = spark.createDataFrame(rows, "mix_name string, source string, language string, _whole bigint, _rest bigint")
     # at most a row per mix, source and language
     members = sized.where("n_tokens > 0").join(F.broadcast(plan), ["source", "language"])
@@ -132,15 +139,31 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total: int | None = None,
     return whole.select(*columns).unionByName(easy.select(*leaf, "doc_id", epoch, "tokens_used")).unionByName(edge.select(*leaf, "doc_id", epoch, "tokens_used"))
 
 
-def mix_report(mixed: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """mix_name, source, target_share, actual_share, tokens_used, available_tokens, repeats, max_repeats."""
+def mix_report(mixed: DataFrame, sized: DataFrame, targets: DataFrame, total: int | None = None, domains: DataFrame | None = None) -> DataFrame:
+    """A row per mix and source: mix_name, domain, source, target_share, actual_share, wanted_tokens (the share of the
+    budget), tokens_used, short_tokens, from_siblings and from_ancestors (tokens beyond the share that other sources of
+    the domain, or other domains, were short of), available_tokens, repeats, max_repeats.
+
+    ``total`` and ``domains`` as for :func:`mix_sources`. Everything but the sums over documents is a few rows.
+    """
     used = mixed.groupBy("mix_name", "source").agg(F.sum("tokens_used").alias("tokens_used"))
     have = sized.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
-    rows = targets.select("mix_name", plain_source(F.col("source")).alias("source"), "target_share", "max_repeats")
+    domain = _domains(domains)
+    known = F.create_map(*[F.lit(x) for pair in domain.items() for x in pair]) if domain else F.create_map().cast("map<string,string>")
+    rows = targets.select("mix_name", plain_source(F.col("source")).alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("target_share"), "max_repeats")
     rows = rows.join(used, ["mix_name", "source"], "left").join(have, "source", "left").na.fill(0, ["tokens_used", "available_tokens"])
-    whole = Window.partitionBy("mix_name")  # a row per source
-    return rows.select(
-        "mix_name", "source", "target_share",
-        F.try_divide("tokens_used", F.sum("tokens_used").over(whole)).alias("actual_share"),
-        "tokens_used", "available_tokens", F.try_divide("tokens_used", "available_tokens").alias("repeats"), "max_repeats",
+    rows = rows.withColumn("domain", F.coalesce(F.try_element_at(known, F.col("source")), F.col("source")))
+    mix, within = Window.partitionBy("mix_name"), Window.partitionBy("mix_name", "domain")
+    budget = F.sum("available_tokens").over(mix) if total is None else F.lit(total)
+    wanted = F.coalesce(F.try_divide(budget * F.col("target_share"), F.sum("target_share").over(mix)), F.lit(0.0))
+    rows = rows.withColumn("wanted_tokens", F.round(wanted).cast("bigint"))
+    more = F.col("tokens_used") - F.col("wanted_tokens")
+    rows = rows.withColumn("_more", F.greatest(more, F.lit(0))).withColumn("short_tokens", F.greatest(-more, F.lit(0)))
+    outside = F.greatest(F.sum("tokens_used").over(within) - F.sum("wanted_tokens").over(within), F.lit(0))
+    outside = F.round(F.coalesce(F.try_divide(F.col("_more") * outside, F.sum("_more").over(within)), F.lit(0.0))).cast("bigint")
+    return rows.withColumn("from_ancestors", outside).select(
+        "mix_name", "domain", "source", "target_share",
+        F.try_divide("tokens_used", F.sum("tokens_used").over(mix)).alias("actual_share"),
+        "wanted_tokens", "tokens_used", "short_tokens", (F.col("_more") - F.col("from_ancestors")).alias("from_siblings"), "from_ancestors",
+        "available_tokens", F.try_divide("tokens_used", "available_tokens").alias("repeats"), "max_repeats",
     )

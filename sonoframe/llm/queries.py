@@ -7,8 +7,7 @@ from sonoframe.sources.tables import load
 
 
 def p1_found(spark, d):
-    found = turns.speaker_turns(load(spark, d, "transcript_lines"), load(spark, d, "speaker_codes"), texts=False)
-    return found.select("clip_id", "turn_no", "speaker", "first_line_id", "last_line_id", "n_words")
+    return p1_turn_texts(spark, d).select("clip_id", "turn_no", "speaker", "first_line_id", "last_line_id", "n_words")
 
 
 def p1_turn_texts(spark, d):
@@ -51,13 +50,31 @@ def _sized(spark, d):
     return mixing.sized_documents(load(spark, d, "documents"), load(spark, d, "languages"), load(spark, d, "mix_targets"))
 
 
+#: Domain of each source of the mixes, the first level of the budget tree.
+DOMAINS = [
+    ("session_notes", "clinical"),
+    ("clinic_letters", "clinical"),
+    ("consent_forms", "clinical"),
+    ("field_diaries", "personal"),
+    ("forum_threads", "public"),
+    ("tutorial_pages", "public"),
+    ("task_protocols", "technical"),
+    ("qc_reports", "technical"),
+    ("asr_output", "technical"),
+]
+
+
+def _domains(spark):
+    return spark.createDataFrame(DOMAINS, "source string, domain string")
+
+
 def p7_mixes(spark, d):
-    return mixing.mix_sources(_sized(spark, d), load(spark, d, "mix_targets"))
+    return mixing.mix_sources(_sized(spark, d), load(spark, d, "mix_targets"), domains=_domains(spark))
 
 
 def p7_report(spark, d):
-    sized, targets = _sized(spark, d), load(spark, d, "mix_targets")
-    return mixing.mix_report(mixing.mix_sources(sized, targets), sized, targets)
+    sized, targets, domains = _sized(spark, d), load(spark, d, "mix_targets"), _domains(spark)
+    return mixing.mix_report(mixing.mix_sources(sized, targets, domains=domains), sized, targets, domains=domains)
 
 
 def _spans(spark, d):
@@ -93,8 +110,7 @@ WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 300), i AS (
 w AS (SELECT doc_id, i, hash(substring(text, i, 300)) AS h FROM i), g AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), s AS (SELECT w.* FROM w JOIN g USING (h))
 """
 
-SQL: dict[str, str] = {
-    "p4_found": f"""
+_GROUPS = f"""
 WITH RECURSIVE r AS (SELECT clip_id, {_id("participant_id")} AS p, {_id("session_id")} AS s FROM recordings),
 raw AS (SELECT p || 'p' AS a, s || 's' AS b FROM r UNION SELECT {_id("id")} || 'p', {_id("metadata['same_as']")} || 'p' FROM participants
   UNION SELECT {_id("id")} || 's', {_id("metadata['continues']")} || 's' FROM sessions),
@@ -103,8 +119,26 @@ sides AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 n AS (SELECT clip_id, min(x) AS x FROM (SELECT clip_id, CASE WHEN regexp_matches(p, '^[0-9a-f]{{32}}$') AND p <> repeat('0', 32) THEN p || 'p' WHEN regexp_matches(s, '^[0-9a-f]{{32}}$') AND s <> repeat('0', 32) THEN s || 's' END AS x FROM r)
   WHERE x IS NOT NULL GROUP BY 1),
 reach AS (SELECT a AS x, a AS y FROM sides UNION SELECT reach.x, sides.b FROM reach JOIN sides ON sides.a = reach.y),
-least AS (SELECT x, min(y) AS y FROM reach GROUP BY 1)
-SELECT clip_id, regexp_replace(coalesce(y, n.x)[1:32], '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS group_key FROM n LEFT JOIN least ON least.x = n.x""",
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY 1), groups AS (SELECT clip_id, regexp_replace(coalesce(y, n.x)[1:32], '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS group_key FROM n LEFT JOIN least ON least.x = n.x)
+"""
+
+#: Groups one by one, largest first, each to the split that lacks most; then groups of one size in order of their MD5.
+_SPLITS = _GROUPS + """, k AS (SELECT clip_id, coalesce(group_key, 'clip ' || coalesce(CAST(clip_id AS VARCHAR), '')) AS key FROM (SELECT DISTINCT clip_id FROM recordings) LEFT JOIN groups USING (clip_id)),
+z AS (SELECT key, count(*) AS size FROM k GROUP BY 1), o AS (SELECT size, row_number() OVER (ORDER BY size DESC) AS no FROM z),
+t AS (SELECT list(split_name ORDER BY split_name) AS names, list(CAST(round(target_share * 1000000) AS HUGEINT) ORDER BY split_name) AS parts, (SELECT CAST(sum(size) AS HUGEINT) FROM z) AS total FROM split_targets),
+greedy AS (SELECT CAST(0 AS BIGINT) AS no, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS pick, list_transform(parts, lambda x: x * total) AS lacks FROM t
+  UNION ALL SELECT o.no, o.size, CAST(list_position(lacks, list_max(lacks)) AS BIGINT), list_transform(lacks, lambda x, i: x - CASE WHEN i = list_position(lacks, list_max(lacks)) THEN o.size * list_sum(parts) ELSE 0 END)
+  FROM greedy JOIN o ON o.no = greedy.no + 1, t),
+q AS (SELECT size, pick, count(*) AS c FROM greedy WHERE no > 0 GROUP BY 1, 2), w AS (SELECT *, sum(c) OVER (PARTITION BY size ORDER BY pick) - c AS low FROM q),
+x AS (SELECT key, size, row_number() OVER (PARTITION BY size ORDER BY md5(key)) - 1 AS rank FROM z),
+placed AS (SELECT clip_id, names[pick] AS split_name FROM k JOIN x USING (key) JOIN w ON w.size = x.size AND rank >= low AND rank < low + c, t)
+"""
+
+SQL: dict[str, str] = {
+    "p4_found": _GROUPS + "SELECT * FROM groups",
+    "p4_splits": _SPLITS + "SELECT * FROM placed",
+    "p4_report": _SPLITS + """SELECT split_name, target_share, coalesce(n, 0) AS n_clips, coalesce(n, 0) / (SELECT count(*) FROM placed) AS actual_share
+FROM split_targets LEFT JOIN (SELECT split_name, count(*) AS n FROM placed GROUP BY 1) USING (split_name)""",
     "p8_found": _WINDOWS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id",
     "p8_shared_parts": _WINDOWS
     + """, t AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM (SELECT DISTINCT doc_id, i FROM s)),

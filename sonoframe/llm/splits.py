@@ -8,16 +8,20 @@ links, ever lies on the driver or in one task as a whole.
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import ceil, lcm, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sonoframe.plans.durable import durable
+from sonoframe.plans.skew import join_one
 
 EDGE = "child string, root string"
 
-#: Hash buckets in which groups of one size are counted, so that no window holds all groups of a size.
-RANK_BUCKETS = 1024
+#: Groups that a rank bucket of one size holds, about; there are as many buckets as the groups need.
+RANK_ROWS = 50_000
 
 
 def plain_id(raw: Column) -> Column:
@@ -54,14 +58,17 @@ def _forest(batches):
         yield pd.DataFrame({"child": part, "root": [find(x) for x in part]}, dtype="object")
 
 
-def connected(edges: DataFrame, limit: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """child, root: for each node of ``edges`` (child string, root string) that isn't the smallest of its component,
     the smallest. Null ends and loops are ignored; repeated edges change nothing; no edges give no rows.
+
+    Each round lowers some node's root or changes nothing, which ends it; a chain is halved by a round at least. A root
+    may have a third of all nodes: its children meet its smallest neighbour without being brought together.
     """
     found = edges.where("child IS NOT NULL AND root IS NOT NULL AND child <> root").select("child", "root")
     found = durable(found.mapInPandas(_forest, EDGE))
     seen = None
-    for _ in range(limit):
+    while True:
         merged = found.repartition("child").mapInPandas(_forest, EDGE)
         merged = durable(merged.distinct())
         both = merged.select(F.col("child").alias("node"), F.col("root").alias("near")).unionByName(
@@ -69,13 +76,12 @@ def connected(edges: DataFrame, limit: int = 60) -> DataFrame:
         )
         least = both.groupBy("node").agg(F.min("near").alias("least")).select("node", F.least("node", "least").alias("least"))
         # every larger neighbour of a node goes under the smallest neighbour of that node
-        hung = merged.join(least, merged["root"] == least["node"]).select("child", F.col("least").alias("root"))
+        hung = join_one(merged, least.withColumnRenamed("node", "root"), "root").select("child", F.col("least").alias("root"))
         found = durable(hung.distinct())
         state = found.agg(F.count("*"), F.sum(F.xxhash64("child", "root").cast("decimal(38,0)"))).first()
         if state == seen:
             return found
         seen = state
-    raise RuntimeError(f"components did not settle in {limit} rounds")
 
 
 def id_ties(recordings: DataFrame, participants: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -99,39 +105,36 @@ def related_groups(recordings: DataFrame, participants: DataFrame, sessions: Dat
     roots = connected(id_ties(recordings, participants, sessions))
     own = F.coalesce(F.concat(plain_id(F.col("participant_id")), F.lit("p")), F.concat(plain_id(F.col("session_id")), F.lit("s")))
     clips = recordings.select("clip_id", own.alias("node")).groupBy("clip_id").agg(F.min("node").alias("node"))
-    placed = clips.join(roots, clips["node"] == roots["child"], "left")
+    placed = join_one(clips, roots.withColumnRenamed("child", "node"), "node", "left")
     return placed.select("clip_id", F.substring(F.coalesce("root", "node"), 1, 36).alias("group_key"))
 
 
 def greedy_quotas(sizes: list[tuple[int, int]], shares: list[float]) -> list[tuple[int, int, int]]:
-    """(size, split, groups) in order of placing: groups, largest first, each to the split furthest below its target.
+    """(size, split, groups) in order of placing: groups, largest first, each to the split furthest below its target
+    (the first of those as far below).
 
-    ``sizes`` is the histogram (size, number of groups) of the groups. Equal groups are placed in bulk down to the
-    level at which the splits draw even, and one by one from there, which gives what placing each alone gives.
+    ``sizes`` is the histogram (size, number of groups) of the groups. Groups of one size are placed together: what a
+    split lacks falls by the same step with each of them, so placing one by one takes the highest of these falling
+    levels, and the level at which they run out is found by bisection. All arithmetic is in whole numbers.
     """
-    total = sum(s * n for s, n in sizes)
-    weight = sum(shares)
-    short = [total * x / weight for x in shares]
+    exact = [Fraction(repr(float(x))) for x in shares]
+    scale = lcm(*(x.denominator for x in exact))
+    parts = [int(x * scale) for x in exact]
+    weight, total = sum(parts), sum(s * n for s, n in sizes)
+    lacks = [total * x for x in parts]  # in units of 1 / weight
     placed: list[tuple[int, int, int]] = []
     for size, count in sorted(sizes, reverse=True):
-        given = [0] * len(shares)
-        if count > 8 * len(shares):
-            low, high = min(short) - size * count, max(short)
-            for _ in range(100):
-                level = (low + high) / 2
-                if sum(max(0, int((x - level) // size)) for x in short) > count:
-                    low = level
-                else:
-                    high = level
-            given = [max(0, int((x - high) // size)) for x in short]
-            while sum(given) > count:
-                given[given.index(max(given))] -= 1
-        left = [x - g * size for x, g in zip(short, given, strict=True)]
-        for _ in range(count - sum(given)):
-            i = max(range(len(left)), key=lambda k: (left[k], -k))
+        step = size * weight
+        above = lambda level: [max(0, -((level - x) // step)) for x in lacks]  # noqa: E731, B023 - groups placed from above it
+        low, high = min(lacks) - step * (count + 1), max(lacks)
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (low, middle) if sum(above(middle)) <= count else (middle, high)
+        given = above(high)
+        level = [i for i, x in enumerate(lacks) if x >= high and (x - high) % step == 0]
+        for i in level[: count - sum(given)]:
             given[i] += 1
-            left[i] -= size
-        short = left
+        lacks = [x - g * step for x, g in zip(lacks, given, strict=True)]
         placed += [(size, i, n) for i, n in enumerate(given) if n]
     return placed
 
@@ -141,14 +144,16 @@ def assign_splits(groups: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``targets`` (split_name, target_share; a few rows) gives the splits; shares are scaled to add up to 1, a null one
     is 0. The driver sees the histogram of group sizes only (n records have at most sqrt(2n) sizes), and decides how
-    many groups of each size a split gets; which ones follows from their rank among groups of that size, by hash.
+    many groups of each size a split gets; which ones follows from their rank among groups of that size, in order of
+    the MD5 of their keys.
     """
     splits = [(r.split_name, float(r.target_share or 0)) for r in targets.select("split_name", "target_share").orderBy("split_name").collect()]
     if not splits or sum(s for _, s in splits) <= 0:
         raise ValueError("no split has a share")
     keyed = durable(groups.select("clip_id", F.coalesce(F.col("group_key"), F.concat(F.lit("clip "), F.coalesce(F.col("clip_id").cast("string"), F.lit("")))).alias("_key")))
-    sized = keyed.groupBy("_key").agg(F.count("*").alias("_size")).withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(RANK_BUCKETS)))
-    sized = durable(sized)
+    sized = durable(keyed.groupBy("_key").agg(F.count("*").alias("_size")).withColumn("_mark", F.md5("_key")))
+    digits = max(1, ceil(log(sized.count() / RANK_ROWS + 1, 16)))
+    sized = sized.withColumn("_bucket", F.substring("_mark", 1, digits))
     counts = sized.groupBy("_size", "_bucket").agg(F.count("*").alias("_n"))
     histogram = [(r._size, r.n) for r in counts.groupBy("_size").agg(F.sum("_n").alias("n")).collect()]
     ranges, reached = [], {}
@@ -160,11 +165,12 @@ def assign_splits(groups: DataFrame, targets: DataFrame) -> DataFrame:
     ranges = spark.createDataFrame(ranges, "_size bigint, split_name string, _low bigint, _high bigint")
     before = Window.partitionBy("_size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_size", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_size", "_bucket").orderBy("_key")
+    inside = Window.partitionBy("_size", "_bucket").orderBy("_mark", "_key")
     ranked = sized.withColumn("_at", F.row_number().over(inside) - 1).join(offsets, ["_size", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_at"))
-    chosen = ranked.join(ranges, "_size").where("_rank >= _low AND _rank < _high").select("_key", "split_name")
-    return keyed.join(chosen, "_key").select("clip_id", "split_name")
+    # at most a row per size and split
+    chosen = ranked.join(F.broadcast(ranges), "_size").where("_rank >= _low AND _rank < _high").select("_key", "split_name")
+    return join_one(keyed, chosen, "_key").select("clip_id", "split_name")
 
 
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:

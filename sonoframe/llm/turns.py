@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from sonoframe.llm.peg import but, choice, many, maybe, nested, node, seq, term
 
-#: Seconds of one time bucket of a clip; see :func:`speaker_turns`.
-BUCKET_SEC = 600
+#: Seconds of one time bucket of a clip, and line ids of one bucket of its lines without time; see :func:`speaker_turns`.
+BUCKET_SEC, BUCKET_IDS = 600, 10_000
 
 #: Hesitation sounds, each letter as often as one likes.
 HESITATION = re.compile(r"(?:u+h+m*|u+m+|e+r+m*|h+m+|m{2,}|a+h+m*|e+h+)")
@@ -61,7 +61,8 @@ def line_grammar(speakers: Speakers):
 
         line       <- blank (mark arrow?)* label? item* end
         label      <- '<v' name '>' / '*' name ':' / '>>' name ':' / '[' name ']' / name ':'
-        item       <- mark / word / note / token / blank / any
+        item       <- run / mark / word / note / token / blank / any
+        run        <- (letters mark* blank)+, plain words at once
         mark       <- bullet / '[' clock ']' / '(' clock ')' / '<' seconds '>' / clock of three parts
         note       <- '[' inner* ']' / '(' inner* ')' / '{' inner* '}' / '<' inner* '>' / '*' words '*' / music / '&' token
         inner      <- note / not a bracket
@@ -95,7 +96,8 @@ def line_grammar(speakers: Speakers):
         but(term(r"[&*]")),
         term(rf"{plain}*\w\(\w+\)(?:{plain}|\(\w+\))*|\(\w+\)(?=\w)(?:{plain}|\(\w+\))+|{plain}+"),
     ))
-    item = choice(term(r"\s+"), mark, word, note, term(r"."))
+    run = node("run", term(r"(?:[^\W\d_]+(?:['’-][^\W\d_]+)*[.,!?;]*(?:\s+|\Z))+"))  # what word gives one by one
+    item = choice(run, term(r"\s+"), mark, word, note, term(r"."))
     line = seq(blank, many(seq(mark, maybe(arrow), blank)), maybe(label), many(item))
 
     def seconds(kind: str, text: str) -> float:
@@ -108,6 +110,11 @@ def line_grammar(speakers: Speakers):
             total = total * 60 + float(part)
         return total
 
+    @lru_cache(100_000)
+    def spoken(token: str) -> bool:
+        core = re.sub(r"^\W+|[\W_]+$", "", token)
+        return bool(core) and not HESITATION.fullmatch(core.lower())
+
     def parse(text: str | None) -> tuple[str | None, float | None, list[str]]:
         """The line's speaker, the seconds of its first time mark, and its words."""
         speaker, at, words = None, None, []
@@ -115,9 +122,10 @@ def line_grammar(speakers: Speakers):
             part = text[start:end]
             if kind == "speaker":
                 speaker = speakers.known(part)
+            elif kind == "run":
+                words += filter(spoken, part.split())
             elif kind == "token":
-                core = re.sub(r"^\W+|[\W_]+$", "", part)
-                if core and not HESITATION.fullmatch(core.lower()):
+                if spoken(part):
                     words.append(part)
             elif at is None:
                 at = seconds(kind, part)
@@ -126,16 +134,13 @@ def line_grammar(speakers: Speakers):
     return parse
 
 
-def clean_lines(lines: DataFrame, speaker_codes: DataFrame, texts: bool = True) -> DataFrame:
+def clean_lines(lines: DataFrame, speaker_codes: DataFrame) -> DataFrame:
     """A row per raw line: when it begins, the speaker that it names itself (or null), its words.
 
     ``lines`` has clip_id, line_id, text, speaker, start_sec and end_sec; ``speaker_codes``, a dimension of a few
     rows, speaker_code and role_name. A label in the text goes before the speaker field. A null, empty or blank text
-    has no words. Redelivered rows count once. Without ``texts`` until_sec and utterance are left out.
+    has no words. Redelivered rows count once.
     """
-    columns = LINE_COLUMNS.split(", ")
-    columns = columns if texts else [c for c in columns if not c.startswith(("until_sec", "utterance"))]
-    names = [c.split()[0] for c in columns]
     codes = {r.speaker_code: r.role_name for r in speaker_codes.select("speaker_code", "role_name").collect()}
 
     def batches(parts):
@@ -146,39 +151,39 @@ def clean_lines(lines: DataFrame, speaker_codes: DataFrame, texts: bool = True)
         for part in parts:
             parsed = [parse(t) for t in part["text"]]
             start = part["start_sec"]
-            made = pd.DataFrame(
+            yield pd.DataFrame(
                 {
                     "clip_id": part["clip_id"].astype("Int64"),
                     "line_id": part["line_id"].astype("Int64"),
                     "at_sec": start.where(start.notna(), pd.Series([p[1] for p in parsed], index=part.index, dtype="float64")),
-                    "until_sec": part["end_sec"] if texts else None,
+                    "until_sec": part["end_sec"],
                     "speaker": [p[0] or speakers.of_field(f) for p, f in zip(parsed, part["speaker"], strict=True)],
                     "n_words": pd.Series([len(p[2]) for p in parsed], index=part.index, dtype="int32"),
-                    "utterance": [" ".join(p[2]) for p in parsed] if texts else None,
+                    "utterance": [" ".join(p[2]) for p in parsed],
                 }
             )
-            yield made[names]
 
-    wanted = lines.select("clip_id", "line_id", "text", "speaker", "start_sec", *(["end_sec"] if texts else []))
-    clean = wanted.mapInPandas(batches, ", ".join(columns))
-    return clean.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("at_sec", "until_sec") if c in names})
+    wanted = lines.select("clip_id", "line_id", "text", "speaker", "start_sec", "end_sec")
+    clean = wanted.mapInPandas(batches, LINE_COLUMNS)
+    return clean.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("at_sec", "until_sec")})
 
 
-def speaker_turns(lines: DataFrame, speaker_codes: DataFrame, texts: bool = True) -> DataFrame:
-    """clip_id, turn_no (from 1), speaker, first_line_id, last_line_id, n_words and, with ``texts``, start_sec, end_sec
-    and text: the turns of each clip.
+def speaker_turns(lines: DataFrame, speaker_codes: DataFrame) -> DataFrame:
+    """clip_id, turn_no (from 1), speaker, first_line_id, last_line_id, n_words, start_sec, end_sec and text: the turns
+    of each clip.
 
     Lines are ordered by begin; those that begin together by line_id; those without any time follow in order of
     line_id. A line that names no speaker has the one of the line before, wordless lines included; before the first
     label the speaker is null. Lines without words are then dropped, and a longest run of lines of one speaker is a
     turn.
 
-    A clip may hold a third of all rows, so its lines are spread over buckets of BUCKET_SEC; only one row per bucket
-    (its last speaker, its number of turns) goes through a window over the whole clip.
+    A clip may hold a third of all rows, so its lines are spread over buckets of BUCKET_SEC, those without time over
+    buckets of BUCKET_IDS line ids; only one row per bucket (its last speaker, its number of turns) goes through a
+    window over the whole clip. Times so far off that buckets can't be told apart share one.
     """
-    columns = ["clip_id", "line_id", "at_sec", "speaker", "n_words", *(["until_sec", "utterance"] if texts else [])]
-    bucket = F.coalesce(F.floor(F.col("at_sec") / BUCKET_SEC).cast("bigint"), F.lit(2**62))
-    rows = clean_lines(lines, speaker_codes, texts).select(*columns).distinct().withColumn("_bucket", bucket)
+    timed = F.when(F.col("at_sec").isNotNull(), F.floor(F.least(F.greatest(F.col("at_sec") / BUCKET_SEC, F.lit(-2e18)), F.lit(2e18))).cast("bigint"))
+    bucket = F.coalesce(timed, F.lit(2**62) + F.expr(f"line_id div {BUCKET_IDS}"), F.lit(2**62 - 10**15))
+    rows = clean_lines(lines, speaker_codes).distinct().withColumn("_bucket", bucket)
     place = F.struct(F.col("at_sec").isNull().alias("n"), F.col("at_sec").alias("a"), F.col("line_id").alias("l"))
     rows = rows.withColumn("_place", place)
     keys = ["clip_id", "_bucket"]
@@ -205,21 +210,14 @@ def speaker_turns(lines: DataFrame, speaker_codes: DataFrame, texts: bool = True
     rows = _with(rows, buckets.select(*keys, before.alias("_before")), keys)
     running = F.sum("_change").over(local.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("turn_no", (F.col("_before") + running).cast("int"))
-    more = (
-        [
-            F.min("at_sec").alias("start_sec"),
-            F.max(F.greatest("until_sec", "at_sec")).alias("end_sec"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "utterance"))), lambda x: x["utterance"]), " ").alias("text"),
-        ]
-        if texts
-        else []
-    )
     return rows.groupBy("clip_id", "turn_no").agg(
         F.max("speaker").alias("speaker"),
         F.min_by("line_id", "_place").alias("first_line_id"),
         F.max_by("line_id", "_place").alias("last_line_id"),
         F.sum("n_words").cast("int").alias("n_words"),
-        *more,
+        F.min("at_sec").alias("start_sec"),
+        F.max(F.greatest("until_sec", "at_sec")).alias("end_sec"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "utterance"))), lambda x: x["utterance"]), " ").alias("text"),
     )
 
 

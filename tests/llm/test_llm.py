@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -83,11 +84,12 @@ def brute_turns(rows, parse):
 @pytest.mark.parametrize("bucket", [3, 600])
 def test_turns_against_brute_force(spark, parse, monkeypatch, bucket):
     monkeypatch.setattr(turns, "BUCKET_SEC", bucket)
+    monkeypatch.setattr(turns, "BUCKET_IDS", bucket * 7)
     rng = random.Random(bucket)
     rows = []
     for i in range(300):
         text = rng.choice(["hello", "um", None, "", "*CHI:\tyes", "MOT: uh", "<v PAR 2> a b", "[00:00:0%d] x" % rng.randint(0, 9), "z"])
-        rows.append((i, rng.choice([1, 1, 1, 2, None]), text, rng.choice([None, None, "INV", "[Child]"]), rng.choice([None, float(rng.randint(0, 20))]), None, "x", 0))
+        rows.append((i, rng.choice([1, 1, 1, 2, None]), text, rng.choice([None, None, "INV", "[Child]"]), rng.choice([None, float(rng.randint(0, 20)), rng.choice([-5.0, 1e300, float("inf")])]), None, "x", 0))
     rows += rows[:9]
     codes = spark.createDataFrame(list(CODES.items()), "speaker_code string, role_name string")
     df = spark.createDataFrame(rows, TURN_LINES)
@@ -155,22 +157,43 @@ def test_groups_and_splits(spark):
         splits.assign_splits(groups, targets.limit(0))
 
 
+def one_by_one(sizes, shares):
+    exact = [Fraction(repr(x)) for x in shares]
+    total = sum(s * n for s, n in sizes)
+    short, placed = [total * x / sum(exact) for x in exact], defaultdict(int)
+    for s, n in sorted(sizes, reverse=True):
+        for _ in range(n):
+            i = max(range(len(short)), key=lambda k: (short[k], -k))
+            short[i] -= s
+            placed[s, i] += 1
+    return dict(placed)
+
+
 def test_bulk_greedy_equals_one_by_one():
     rng = random.Random(0)
-    for _ in range(40):
-        sizes = [(s, rng.randint(1, 200)) for s in rng.sample(range(1, 50), rng.randint(1, 6))]
-        shares = [rng.random() + 0.05 for _ in range(3)]
-        total = sum(s * n for s, n in sizes)
-        short = [total * x / sum(shares) for x in shares]
-        for s, n in sorted(sizes, reverse=True):
-            for _ in range(n):
-                i = max(range(3), key=lambda k: (short[k], -k))
-                short[i] -= s
-        got = [total * x / sum(shares) for x in shares]
-        for s, i, n in splits.greedy_quotas(sizes, shares):
-            got[i] -= s * n
-        assert sum(n for _, _, n in splits.greedy_quotas(sizes, shares)) == sum(n for _, n in sizes)
-        assert max(map(abs, got)) <= max(map(abs, short)) + max(s for s, _ in sizes)
+    for k in range(300):
+        sizes = [(s, rng.choice([1, 2, 3, rng.randint(1, 200)])) for s in rng.sample(range(1, 50), rng.randint(1, 6))]
+        shares = rng.choice([[0.8, 0.1, 0.1], [1 / 3, 1 / 3, 1 / 3], [0.5, 0.0, 0.5], [rng.random() + 0.05 for _ in range(3)]])
+        got = splits.greedy_quotas(sizes, shares)
+        assert {(s, i): n for s, i, n in got} == one_by_one(sizes, shares), (sizes, shares)
+    assert splits.greedy_quotas([], [1.0]) == []
+    assert sum(n for *_, n in splits.greedy_quotas([(1, 10**12), (7, 3)], [0.8, 0.2])) == 10**12 + 3
+
+
+def test_splits_with_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr("sonoframe.plans.skew.HOT_ROWS", 5)
+    rows = [(i, "hot" if i % 2 else f"g{i % 7}" if i % 3 else None) for i in range(60)]
+    groups = spark.createDataFrame(rows, "clip_id bigint, group_key string")
+    targets = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split_name string, target_share double")
+    got = {r.clip_id: r.split_name for r in splits.assign_splits(groups, targets).collect()}
+    assert len(got) == 60
+    by = defaultdict(set)
+    for i, g in rows:
+        by[g or i].add(got[i])
+    assert all(len(x) == 1 for x in by.values()) and sorted(np.unique(list(got.values()), return_counts=True)[1]) == [30, 30]
+    star = [("hub", f"s{i:03}") for i in range(80)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(90)]
+    df = spark.createDataFrame(star, "child string, root string").repartition(7)
+    assert {r.child: r.root for r in splits.connected(df).collect()} == brute_components(star)
 
 
 # p5
@@ -335,19 +358,41 @@ def mix_tables(spark):
 
 def test_mix_reaches_its_shares(spark):
     docs, sized, targets = mix_tables(spark)
-    mixed = mixing.mix_sources(sized, targets)
     size = {d[0]: d[3] for d in docs}
+    rooms = {s: sum(d[3] for d in docs if d[1] == s) for s in ("notes", "forum", "rare")}
+    total = min(int(rooms[s] * k / w) for s, k, w in (("notes", 2, 0.5), ("forum", 2, 0.3), ("rare", 3, 0.2)))
+    mixed = mixing.mix_sources(sized, targets, total)
     rows = mixed.collect()
     assert len({(r.doc_id, r.epoch) for r in rows}) == len(rows)
     assert all(0 < r.tokens_used <= size[r.doc_id] for r in rows)
     cut = [r for r in rows if r.tokens_used < size[r.doc_id]]
     assert len(cut) <= 4  # at most one per source and language
-    for r in mixing.mix_report(mixed, sized, targets).collect():
+    for r in mixing.mix_report(mixed, sized, targets, total).collect():
         assert r.actual_share == pytest.approx(r.target_share, abs=0.002)
-        assert (r.repeats or 0) <= r.max_repeats + 1e-9
-    again = mixing.mix_sources(sized.repartition(7), targets).collect()
+        assert (r.repeats or 0) <= r.max_repeats + 1e-9 and r.short_tokens <= 4 and r.from_siblings == 0 and r.from_ancestors <= 4
+    again = mixing.mix_sources(sized.repartition(7), targets, total).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
-    assert {r.epoch for r in rows if r.source == "rare"} == {0, 1, 2} or max(r.epoch for r in rows) >= 1
+    assert max(r.epoch for r in rows) >= 1
+
+
+def test_shortages_of_a_mix_go_to_siblings_before_ancestors(spark):
+    docs = [(i, "A 1", "eng", 10) for i in range(40)] + [(100 + i, "a-2", "eng", 10) for i in range(5)] + [(200 + i, "b", "eng", 10) for i in range(55)]
+    sized = spark.createDataFrame([(d, s.lower().replace(" ", "_").replace("-", "_"), lang, n) for d, s, lang, n in docs], "doc_id bigint, source string, language string, n_tokens bigint")
+    kind = "mix_name string, source string, target_share double, max_repeats int"
+    domains = spark.createDataFrame([("a 1", "A"), ("A_2", "A"), ("a_3", "A"), ("b", "B"), (None, "C"), ("c", None)], "source string, domain string")
+    # of 1000 tokens a_1 should have 250, a_2 150 (has 50), a_3 100 (has none), b 500
+    targets = spark.createDataFrame([("m", "a 1", 0.25, 1), ("m", "a_2", 0.15, 1), ("m", "a_3", 0.1, 5), ("m", "b", 0.5, 2)], kind)
+    mixed = mixing.mix_sources(sized, targets, domains=domains)
+    assert {r.source: r.t for r in mixed.groupBy("source").agg(F.sum("tokens_used").alias("t")).collect()} == {"a_1": 400, "a_2": 50, "b": 550}
+    got = {r.source: r for r in mixing.mix_report(mixed, sized, targets, domains=domains).collect()}
+    assert [(got[s].wanted_tokens, got[s].tokens_used, got[s].short_tokens, got[s].from_siblings, got[s].from_ancestors) for s in ("a_1", "a_2", "a_3", "b")] == [
+        (250, 400, 0, 150, 0), (150, 50, 100, 0, 0), (100, 0, 100, 0, 0), (500, 550, 0, 0, 50),
+    ]
+    # a source without documents in a domain of its own gives to all; in its domain to its siblings
+    for tree, want in ((domains, {"a_1": 200, "b": 200}), (None, {"a_1": 150, "b": 250})):
+        targets = spark.createDataFrame([("m", "a_1", 0.3, 2), ("m", "a_3", 0.2, 1), ("m", "b", 0.5, 2)], kind)
+        mixed = mixing.mix_sources(sized, targets, total=400, domains=tree)
+        assert {r.source: r.t for r in mixed.groupBy("source").agg(F.sum("tokens_used").alias("t")).collect()} == want
 
 
 def test_mix_with_a_given_total_and_without_rows(spark):
