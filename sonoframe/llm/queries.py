@@ -85,6 +85,10 @@ def p8_found(spark, d):
     return _spans(spark, d).pairs()
 
 
+def p8_classes(spark, d):
+    return _spans(spark, d).links()
+
+
 def p8_shared_parts(spark, d):
     return shared.shared_parts(_spans(spark, d))
 
@@ -97,7 +101,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_turn_texts, p4_found, p4_splits, p4_report, p5_found, p5_segments, p6_packing, p6_report, p7_mixes, p7_report,
-        p8_found, p8_shared_parts, p8_without_repeats,
+        p8_found, p8_classes, p8_shared_parts, p8_without_repeats,
     )
 }
 
@@ -140,6 +144,16 @@ SQL: dict[str, str] = {
     "p4_report": _SPLITS + """SELECT split_name, target_share, coalesce(n, 0) AS n_clips, coalesce(n, 0) / (SELECT count(*) FROM placed) AS actual_share
 FROM split_targets LEFT JOIN (SELECT split_name, count(*) AS n FROM placed GROUP BY 1) USING (split_name)""",
     "p8_found": _WINDOWS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p8_classes": _WINDOWS
+    + """, p AS (SELECT a.doc_id, count(DISTINCT b.doc_id) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS n FROM d)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n, 1) AS n_copies, coalesce(k, 0) AS n_links FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id)""",
+    "p8_without_repeats": _WINDOWS
+    + """, m AS (SELECT h, min(doc_id) AS m FROM s GROUP BY 1), e AS (SELECT DISTINCT doc_id, i FROM s JOIN m USING (h) WHERE m < doc_id),
+f AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 300 THEN 0 ELSE 1 END AS f FROM e), o AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM f),
+r AS (SELECT doc_id, g, min(i) AS a, max(i) + 300 AS b FROM o GROUP BY 1, 2), k AS (SELECT doc_id, g, a, b, lag(b, 1, 1) OVER (PARTITION BY doc_id ORDER BY g) AS z FROM r),
+t AS (SELECT doc_id, string_agg(substring(text, z, a - z), '' ORDER BY g) || substring(any_value(text), max(b)) AS kept FROM k JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, coalesce(kept, text) AS text, coalesce(length(text) - length(kept), 0) AS removed_chars FROM documents LEFT JOIN t USING (doc_id)""",
     "p8_shared_parts": _WINDOWS
     + """, t AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM (SELECT DISTINCT doc_id, i FROM s)),
 c AS (SELECT doc_id, sum(least(300, coalesce(j - i, 300))) AS c, count(CASE WHEN j IS NULL OR j > i + 300 THEN 1 END) AS k FROM t GROUP BY 1)

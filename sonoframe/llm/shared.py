@@ -2,9 +2,14 @@
 
 Any run of SPAN characters contains a k-gram that is the smallest, by hash, among its k-grams; the same run selects
 the same k-gram wherever it stands. So a document is cut into pieces, one per selected k-gram, each holding all runs
-that select it, and only pieces with the same k-gram can share a run. The pieces of one k-gram are the reference
-shard: a suffix automaton is built of them, and the pieces are streamed through it. Shards are put together by a
-shuffle rather than broadcast to all documents, which would read every document once per shard.
+that select it, and only pieces with the same k-gram can share a run. K-grams of one document only are dropped; they
+route, and decide nothing. What is shared is found by suffix automata: the pieces of a k-gram are reference text, put
+into shards, an automaton is built of each shard, and pieces are streamed through it for their matching statistics.
+
+The texts of the k-grams that most documents have make up the broadcast reference, REFERENCE_CHARS at most: its shards'
+automata go to every executor, and all documents' pieces are streamed through them where they lie, so that no text
+that a third of all documents holds is ever brought together. Shards beyond that bound meet their pieces by a shuffle, a
+k-gram each, as broadcasting all of them would send the whole collection to every executor.
 """
 
 from __future__ import annotations
@@ -12,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonoframe.llm.automaton import SuffixAutomaton
 from sonoframe.plans.durable import durable
+from sonoframe.plans.skew import join_one
 
 #: Least number of common characters.
 SPAN = 300
@@ -20,6 +27,9 @@ SPAN = 300
 #: Characters of a k-gram, as a part of the span: longer ones meet by chance less often, shorter ones are fewer.
 GRAM_PART = 3
 
+#: Characters of the reference that is broadcast, at most, and of one of its shards, about.
+REFERENCE_CHARS, SHARD_CHARS = 200_000, 25_000
+
 #: Different pieces of one k-gram that go into one automaton; more are split into blocks that meet in pairs.
 BLOCK_PIECES = 1000
 
@@ -32,15 +42,18 @@ STRETCH = 1 << 20
 _POSITION_BITS = 24
 
 
-def pieces_of(text: str, span: int = SPAN) -> list[tuple[int, int, int]]:
-    """(k-gram hash, from, to) of each piece of ``text``: every run of ``span`` characters lies in the piece of the
+def pieces_of(text: str, span: int = SPAN):
+    """Arrays of k-gram hash, from, to of the pieces of ``text``: every run of ``span`` characters lies in the piece of the
     k-gram it selects. Shorter texts have none."""
-    found: list[tuple[int, int, int]] = []
+    import numpy as np
+
+    found = [(np.zeros(0, "int64"),) * 3]
     for at in range(0, max(len(text) - span + 1, 0), STRETCH - span + 1):
         part = text[at : at + STRETCH]
         if len(part) >= span:
-            found += [(f, at + a, at + b) for f, a, b in _stretch(part, span)]
-    return found
+            f, lo, hi = _stretch(part, span)
+            found.append((f, lo + at, hi + at))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _powers(n: int, base: int, known: dict = {}):  # noqa: B006 - kept between calls
@@ -53,7 +66,7 @@ def _powers(n: int, base: int, known: dict = {}):  # noqa: B006 - kept between c
     return known[base][:n]
 
 
-def _stretch(text: str, span: int) -> list[tuple[int, int, int]]:
+def _stretch(text: str, span: int):
     import numpy as np
 
     base = 0x9E3779B97F4A7C15
@@ -79,30 +92,113 @@ def _stretch(text: str, span: int) -> list[tuple[int, int, int]]:
     first = np.concatenate([[0], edges])
     last = np.concatenate([edges, [count]]) - 1
     at = (mask - (least[first] & mask)).astype(np.int64)
-    hashes = grams[at].astype(np.int64)
-    return list(zip(hashes.tolist(), first.tolist(), (last + span).tolist(), strict=True))
+    return grams[at].astype(np.int64), first.astype(np.int64), (last + span).astype(np.int64)
 
 
 def _fingerprints(documents: DataFrame, span: int) -> DataFrame:
-    """f, doc_id, mark, lo, hi: the pieces of each text, which pass on its mark."""
+    """doc_id, sha, f, lo, hi: the SHA-256 of each text and its pieces, as arrays."""
 
     def batches(parts):
+        import hashlib
+
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         for part in parts:
-            ids, rows = [], []
-            for doc, text in zip(part["doc_id"], part["text"], strict=True):
-                own = pieces_of(text, span)
-                rows += own
-                ids.append((doc, len(own)))
-            table = np.array(rows, dtype="int64").reshape(-1, 3)
-            times = [n for _, n in ids]
-            docs = np.repeat(np.array([d for d, _ in ids], dtype="int64"), times)
-            marks = np.repeat(part["mark"].to_numpy(dtype="int64"), times)
-            yield pd.DataFrame({"f": table[:, 0], "doc_id": docs, "mark": marks, "lo": table[:, 1].astype("int32"), "hi": table[:, 2].astype("int32")})
+            texts = part.column("text").to_pylist()
+            own = [pieces_of(t, span) for t in texts]
+            ends = pa.array(np.cumsum([0, *(len(f) for f, _, _ in own)]), pa.int32())
+            column = lambda k, kind: pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, "int64"), *(x[k] for x in own)]).astype(kind)))  # noqa: E731, B023
+            shas = pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), shas, column(0, "int64"), column(1, "int32"), column(2, "int32")], ["doc_id", "sha", "f", "lo", "hi"])
+
+    return documents.select("doc_id", "text").mapInArrow(batches, "doc_id bigint, sha binary, f array<bigint>, lo array<int>, hi array<int>")
+
+
+#: A piece of reference text: its text, the smallest and the largest id of the documents that hold it.
+Member = tuple[str, int, int]
+
+
+def _holders(rows: list[list[int]], members: list[Member], alone: bool = True) -> dict[int, tuple[int, tuple[int, ...]]]:
+    """Automaton state -> smallest document and pieces (numbers in ``members``) that hold its run, for runs that more
+    than one document holds. ``rows`` are the states of the members' windows. Unless ``alone``, those of more than one piece."""
+    where: dict[int, list[int]] = {}
+    for i, row in enumerate(rows):
+        for state in set(row):
+            if state >= 0:
+                where.setdefault(state, []).append(i)
+    found = {}
+    for state, own in where.items():
+        least = min(members[i][1] for i in own)
+        if any(members[i][2] != least for i in own) and (alone or len(own) > 1):
+            found[state] = (least, tuple(own))
+    return found
+
 
-    return documents.select("doc_id", "text", "mark").mapInPandas(batches, "f bigint, doc_id bigint, mark bigint, lo int, hi int")
+def _spans(row: list[int], holder_of, span: int):
+    """from, to, holder: the maximal stretches of windows with the same smallest holder in one piece."""
+    start, end, holder = 0, 0, None
+    for at, state in enumerate(row):
+        now = holder_of(state)
+        if now is not None and now == holder and at + 1 - span <= end:
+            end = at + 1
+        elif now is not None:
+            if holder is not None:
+                yield start, end, holder
+            start, end, holder = at + 1 - span, at + 1, now
+    if holder is not None:
+        yield start, end, holder
+
+
+class Reference:
+    """Automata of the shards of a reference, each state marked with the class of documents that hold its run."""
+
+    def __init__(self, grams: dict[int, list[Member]], span: int) -> None:
+        self.span = span
+        self.shard_of: dict[int, int] = {}
+        self.shards: list[tuple[SuffixAutomaton, dict[int, tuple[int, int]]]] = []
+        held: list[int] = []
+        size = 0
+        for f in sorted(grams):
+            held.append(f)
+            size += sum(len(t) for t, _, _ in grams[f])
+            if size >= SHARD_CHARS:
+                self._add(held, grams)
+                held, size = [], 0
+        if held:
+            self._add(held, grams)
+
+    def _add(self, held: list[int], grams: dict[int, list[Member]]) -> None:
+        automaton, members = SuffixAutomaton(), [m for f in held for m in grams[f]]
+        for text, _, _ in members:
+            automaton.add(text)
+        classes: dict[tuple[int, ...], int] = {}
+        marks = {}
+        for state, (least, own) in _holders([automaton.windows(t, self.span) for t, _, _ in members], members).items():
+            marks[state] = (classes.setdefault(own, len(classes)), least)
+        self.shard_of |= dict.fromkeys(held, len(self.shards))
+        self.shards.append((automaton, marks))
+
+    def match(self, f: int, text: str) -> tuple[set[str], list[tuple[int, int, int]]]:
+        """The classes that hold a run of ``text``, a piece of k-gram ``f``, and its shared spans."""
+        shard = self.shard_of[f]
+        automaton, marks = self.shards[shard]
+        row = automaton.windows(text, self.span)
+        classes = {marks[s][0] for s in set(row) if s in marks}
+        return {f"{shard}:{c}" for c in classes}, list(_spans(row, lambda s: marks[s][1] if s in marks else None, self.span))
+
+
+def _streamed(parts, reference: Reference):
+    """doc_id, class | from_at, to_at, holder: documents' pieces through the broadcast reference."""
+    import pandas as pd
+
+    for part in parts:
+        rows: list[tuple] = []
+        for doc, f, lo, text in part[["doc_id", "f", "lo", "text"]].itertuples(index=False):
+            classes, spans = reference.match(f, text)
+            rows += [(doc, c, None, None, None) for c in classes]
+            rows += [(doc, None, lo + a, lo + b, holder) for a, b, holder in spans]
+        yield pd.DataFrame(rows, columns=["doc_id", "class", "from_at", "to_at", "holder"]).astype({"doc_id": "int64", "from_at": "Int32", "to_at": "Int32", "holder": "Int64"})
 
 
 def _matched(parts, span: int):
@@ -110,60 +206,42 @@ def _matched(parts, span: int):
     the automaton of its reference block. Gives, for pieces that share a run, their classes and their shared spans."""
     import pandas as pd
 
-    from sonoframe.llm.automaton import SuffixAutomaton
-
     columns = ["f", "piece", "class", "from_at", "to_at", "holder"]
     rows: list[tuple] = []
 
-    def match(key: tuple, members: list[tuple]) -> None:
-        automaton = SuffixAutomaton()
-        for _, text, _, _, reference in members:
+    def match(key: tuple, pieces: list[tuple]) -> None:
+        automaton, members = SuffixAutomaton(), [m for _, m, _ in pieces]
+        for _, (text, _, _), reference in pieces:
             if reference:
                 automaton.add(text)
-        states = [automaton.windows(text, span) for _, text, _, _, _ in members]
-        holders: dict[int, list[int]] = {}
-        for i, row in enumerate(states):
-            for state in set(row):
-                if state >= 0:
-                    holders.setdefault(state, []).append(i)
+        states = [automaton.windows(text, span) for text, _, _ in members]
+        # a piece that several documents hold is told once, by the block it lies in
+        held = _holders(states, members, alone=key[1] == key[2])
         classes: dict[tuple, int] = {}
-        for own in holders.values():
-            if len(own) > 1:
-                classes.setdefault(tuple(own), len(classes))
+        for _, own in held.values():
+            classes.setdefault(own, len(classes))
         for own, number in classes.items():
-            rows.extend((key[0], members[i][0], f"{key[0]}/{key[1]}/{key[2]}/{number}", None, None, None) for i in own)
-        least = {s: min(members[i][2] for i in own) for s, own in holders.items() if len(own) > 1}
-        least = {s: x for s, x in least.items() if any(members[i][3] != x for i in holders[s])}  # not within one document
+            rows.extend((key[0], pieces[i][0], f"{key[0]}/{key[1]}/{key[2]}/{number}", None, None, None) for i in own)
         for i, row in enumerate(states):
-            start, end, holder = 0, 0, None
-            for at, state in enumerate(row):
-                now = least.get(state)
-                if now is not None and now == holder and at + 1 - span <= end:
-                    end = at + 1
-                elif now is not None:
-                    if holder is not None:
-                        rows.append((key[0], members[i][0], None, start, end, holder))
-                    start, end, holder = at + 1 - span, at + 1, now
-            if holder is not None:
-                rows.append((key[0], members[i][0], None, start, end, holder))
+            rows.extend((key[0], pieces[i][0], None, *found) for found in _spans(row, lambda s: held[s][0] if s in held else None, span))
 
     def frame():
         table = pd.DataFrame(rows, columns=columns)
         rows.clear()
         return table.astype({"f": "int64", "from_at": "Int32", "to_at": "Int32", "holder": "Int64"})
 
-    key, members = None, []
+    key, pieces = None, []
     for part in parts:
         for f, i, j, piece, text, least, most, reference in part[["f", "i", "j", "piece", "text", "least", "most", "reference"]].itertuples(index=False):
             if (f, i, j) != key:
-                if len(members) > 1:
-                    match(key, members)
-                key, members = (f, i, j), []
-            members.append((piece, text, least, most, reference))
+                if pieces:
+                    match(key, pieces)
+                key, pieces = (f, i, j), []
+            pieces.append((piece, (text, least, most), reference))
         if len(rows) > 50_000:
             yield frame()
-    if len(members) > 1:
-        match(key, members)
+    if pieces:
+        match(key, pieces)
     yield frame()
 
 
@@ -178,46 +256,69 @@ class SharedSpans:
         self.span = span
         self.documents = documents.select(documents["doc_id"].cast("bigint").alias("doc_id"), documents["text"].alias("text"))
         long = self.documents.where(F.length("text") >= span)
-        named = long.select("doc_id", F.sha2("text", 256).alias("sha"))
-        firsts = named.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+        prints = durable(_fingerprints(long, span))
+        firsts = prints.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
         #: least, doc_id, n: each long document under the smallest id with the same text
-        self.copies = durable(named.join(firsts, "sha").select("least", "doc_id", "n"))
-        self._find(long)
+        self.copies = durable(join_one(prints.select("doc_id", "sha"), firsts, "sha").select("least", "doc_id", "n"))
+        self._find(long, prints)
 
-    def _find(self, long: DataFrame) -> None:
-        prints = _fingerprints(long.withColumn("mark", F.xxhash64("text")), self.span)
-        different = F.min("mark") != F.max("mark")  # k-grams of one text and its copies are no use
-        often = durable(prints.groupBy("f").agg(different.alias("several")).where("several").select("f"))
+    def _find(self, long: DataFrame, prints: DataFrame) -> None:
         later = self.copies.where("doc_id <> least").select("doc_id")
-        own = prints.select("f", "doc_id", "lo", "hi").join(often, "f").join(later, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("f", "lo", "hi")).alias("own"))  # bounded by the text
+        grams = prints.join(later, "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("f", "lo", "hi")).alias("p")).select("doc_id", "p.*")
+        often = grams.groupBy("f").agg(F.count("*").alias("_n"), (F.min("doc_id") != F.max("doc_id")).alias("several")).where("several").drop("several")
+        often = durable(often)
+        own = join_one(grams, often.select("f"), "f", sizes=often).groupBy("doc_id").agg(F.collect_list(F.struct("f", "lo", "hi")).alias("own"))  # bounded by the text
         cut = F.transform("own", lambda p: F.struct(p["f"].alias("f"), p["lo"].alias("lo"), F.substring(F.col("text"), p["lo"] + 1, p["hi"] - p["lo"]).alias("text")))
         pieces = long.join(own, "doc_id").select("doc_id", F.explode(cut).alias("p")).select("doc_id", "p.*")
         pieces = durable(pieces.withColumn("piece", F.md5("text")))
-        #: f, piece, doc_id, lo: where each piece stands
-        self.places = pieces.select("f", "piece", "doc_id", "lo", F.length("text").alias("size"))
-        distinct = pieces.groupBy("f", "piece").agg(F.first("text").alias("text"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-        several = distinct.groupBy("f").agg(F.count("*").alias("n")).where("n > 1")
+        # equal pieces of a k-gram are reference text once
+        distinct = pieces.groupBy("f", "piece").agg(F.first("text").alias("text"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("held"))
+        sizes = durable(distinct.groupBy("f").agg(F.count("*").alias("n"), F.sum("held").alias("held"), F.sum(F.length("text")).alias("chars")))
+        near = self._broadcast(pieces, distinct, sizes)
+        far, places = (distinct, pieces) if near is None else (distinct.join(F.broadcast(near), "f", "left_anti"), pieces.join(F.broadcast(near), "f", "left_anti"))
+        #: f, piece, doc_id, lo: where each piece beyond the broadcast reference stands
+        self.places = places.select("f", "piece", "doc_id", "lo")
         blocks = F.ceil(F.col("n") / BLOCK_PIECES).cast("int")
-        split = distinct.join(several, "f").withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("piece"), F.col("blocks")).cast("int"))
+        split = far.join(sizes.select("f", blocks.alias("blocks")), "f").withColumn("b", F.pmod(F.xxhash64("piece"), F.col("blocks")).cast("int"))
         # block b is reference for itself and the blocks after it, and is streamed against those before it
         meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("b"), o).alias("i"), F.greatest(F.col("b"), o).alias("j")))
         routed = split.select("f", "piece", "text", "least", "most", "b", F.explode(meets).alias("m")).select("f", "m.i", "m.j", "piece", "text", "least", "most", (F.col("b") == F.col("m.i")).alias("reference"))
         span = self.span
         routed = routed.repartition("f", "i", "j").sortWithinPartitions("f", "i", "j", "piece")
-        #: f, piece, class | from_at, to_at, holder: what the automata found
+        #: f, piece, class | from_at, to_at, holder: what the automata beyond the broadcast ones found
         self.matches = durable(routed.mapInPandas(lambda parts: _matched(parts, span), "f bigint, piece string, class string, from_at int, to_at int, holder bigint"))
 
+    def _broadcast(self, pieces: DataFrame, distinct: DataFrame, sizes: DataFrame) -> DataFrame | None:
+        """The k-grams whose pieces the broadcast reference took (null: none), and ``self.streamed``: doc_id, class |
+        from_at, to_at, holder. Those that most documents hold come first, as far as REFERENCE_CHARS go."""
+        spark, left, taken = pieces.sparkSession, REFERENCE_CHARS, []
+        most = sizes.where(F.col("chars") <= REFERENCE_CHARS).orderBy(F.desc("held"), "f").limit(REFERENCE_CHARS // self.span + 1)
+        for r in most.collect():  # a k-gram has a piece at least, and a piece span characters
+            if r.chars <= left:
+                left -= r.chars
+                taken.append((r.f,))
+        if not taken:
+            self.streamed = spark.createDataFrame([], "doc_id bigint, class string, from_at int, to_at int, holder bigint")
+            return None
+        near = spark.createDataFrame(taken, "f bigint")
+        grams: dict[int, list[Member]] = {}
+        for r in distinct.join(F.broadcast(near), "f", "left_semi").collect():  # REFERENCE_CHARS at most
+            grams.setdefault(r.f, []).append((r.text, r.least, r.most))
+        shared = spark.sparkContext.broadcast(Reference(grams, self.span))
+        found = pieces.join(F.broadcast(near), "f", "left_semi").select("doc_id", "f", "lo", "text")
+        self.streamed = durable(found.mapInPandas(lambda parts: _streamed(parts, shared.value), "doc_id bigint, class string, from_at int, to_at int, holder bigint"))
+        return near
+
     def classes(self) -> DataFrame:
         """class, doc_id: documents that have a run in common, copies left to :attr:`copies`. Of classes with the
         same documents one is kept."""
-        same = self.places.groupBy("f", "piece").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("f", "piece")
-        whole = self.places.join(same, ["f", "piece"]).select(F.concat_ws("/", "f", "piece").alias("class"), "doc_id")
-        partly = self.matches.where("class IS NOT NULL").select("f", "piece", "class").join(self.places, ["f", "piece"]).select("class", "doc_id")
-        members = durable(whole.unionByName(partly).distinct())
+        near = self.streamed.where("class IS NOT NULL").select("class", "doc_id")
+        far = self.matches.where("class IS NOT NULL").select("f", "piece", "class").join(self.places, ["f", "piece"]).select("class", "doc_id")
+        members = durable(near.unionByName(far).distinct())
         wide = lambda seed: F.sum(F.xxhash64("doc_id", F.lit(seed)).cast("decimal(38,0)"))
         marks = members.groupBy("class").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), wide(1).alias("x"), wide(2).alias("y"))
         kept = marks.where("n > 1").groupBy("n", "a", "b", "x", "y").agg(F.min("class").alias("class")).select("class")
-        return members.join(kept, "class")
+        return join_one(members, kept, "class")
 
     def pairs(self) -> DataFrame:
         """doc_id_a, doc_id_b: each pair of documents, the smaller id first, with a common run."""
@@ -225,14 +326,25 @@ class SharedSpans:
         alike = self.copies.where("n > 1").select(F.concat(F.lit("="), F.col("least").cast("string")).alias("class"), "doc_id")
         return _pairs_within(reached.unionByName(alike))
 
+    def links(self) -> DataFrame:
+        """doc_id, class_id, n_copies, n_links: of every document the smallest id with the same text, how many have this
+        text (itself included), and how many other documents have a common run with it. Shorter and null texts are
+        alone. Pairs are formed of different texts only."""
+        own = self.copies.groupBy("least").agg(F.first("n").alias("n"))
+        pairs = _pairs_within(self.classes())
+        both = pairs.select(F.col("doc_id_a").alias("least"), F.col("doc_id_b").alias("other")).unionByName(pairs.select(F.col("doc_id_b").alias("least"), F.col("doc_id_a").alias("other")))
+        far = both.join(own.select(F.col("least").alias("other"), "n"), "other").groupBy("least").agg(F.sum("n").alias("k"))
+        per = own.join(far, "least", "left").select("least", (F.col("n") - 1 + F.coalesce("k", F.lit(0))).alias("k"))
+        long = join_one(self.copies, per, "least").select("doc_id", F.col("least").alias("class_id"), F.col("n").alias("n_copies"), F.col("k").alias("n_links"))
+        rows = self.documents.select("doc_id").join(long, "doc_id", "left")
+        return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
     def spans(self) -> DataFrame:
         """doc_id, from_at, to_at (characters, counted from 0, end exclusive), holder: where a text stands elsewhere,
         and the smallest id of the documents that hold it. Spans may overlap."""
-        same = self.places.groupBy("f", "piece").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("b")).where("holder <> b").drop("b")
-        whole = self.places.join(same, ["f", "piece"]).select("doc_id", F.col("lo").alias("from_at"), (F.col("lo") + F.col("size")).alias("to_at"), "holder")
+        near = self.streamed.where("class IS NULL").select("doc_id", "from_at", "to_at", "holder")
         found = self.matches.where("class IS NULL").join(self.places, ["f", "piece"])
-        partly = found.select("doc_id", (F.col("lo") + F.col("from_at")).alias("from_at"), (F.col("lo") + F.col("to_at")).alias("to_at"), "holder")
-        return whole.unionByName(partly)
+        return near.unionByName(found.select("doc_id", (F.col("lo") + F.col("from_at")).alias("from_at"), (F.col("lo") + F.col("to_at")).alias("to_at"), "holder"))
 
 
 def _pairs_within(members: DataFrame) -> DataFrame:
@@ -240,7 +352,7 @@ def _pairs_within(members: DataFrame) -> DataFrame:
     key of its own, so that no task meets more than BLOCK_DOCUMENTS squared pairs of one key."""
     members = durable(members)
     sizes = members.groupBy("class").agg(F.ceil(F.count("*") / BLOCK_DOCUMENTS).cast("int").alias("blocks"))
-    rows = members.join(sizes, "class").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = join_one(members, sizes, "class").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     a = rows.select("class", F.col("doc_id").alias("doc_id_a"), F.col("own").alias("i"), other).withColumnRenamed("other", "j")
     b = rows.select("class", F.col("doc_id").alias("doc_id_b"), F.col("own").alias("j"), other).withColumnRenamed("other", "i")

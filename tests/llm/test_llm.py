@@ -461,8 +461,11 @@ def some_documents(seed, span):
     return docs
 
 
-@pytest.mark.parametrize("seed, block", [(0, 1000), (1, 1000), (2, 3)])
-def test_shared_spans_against_brute_force(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed, block, reference", [(0, 1000, 200_000), (1, 1000, 0), (2, 3, 0), (3, 3, 700), (4, 1000, 3000)])
+def test_shared_spans_against_brute_force(spark, monkeypatch, seed, block, reference):
+    monkeypatch.setattr(shared, "REFERENCE_CHARS", reference)
+    monkeypatch.setattr(shared, "SHARD_CHARS", 300)
+    monkeypatch.setattr("sonoframe.plans.skew.HOT_ROWS", 4 if block == 3 else 1_000_000)
     monkeypatch.setattr(shared, "BLOCK_PIECES", block)
     monkeypatch.setattr(shared, "BLOCK_DOCUMENTS", block)
     monkeypatch.setattr(shared, "STRETCH", 150 if seed == 1 else 1 << 20)
@@ -473,6 +476,10 @@ def test_shared_spans_against_brute_force(spark, monkeypatch, seed, block):
     pairs, chars = brute_shared(docs, span)
     assert {(r.doc_id_a, r.doc_id_b) for r in found.pairs().collect()} == pairs
     assert {r.doc_id: r.shared_chars for r in shared.shared_parts(found).collect()} == chars
+    text = dict(docs)
+    links = {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in found.links().collect()}
+    same = lambda d: [x for x, t in docs if t == text[d] and t is not None and len(t) >= span] or [d]
+    assert links == {d: (min(same(d)), len(same(d)), sum(d in p for p in pairs)) for d, _ in docs}
     cleaned = {r.doc_id: (r.text, r.removed_chars) for r in shared.without_repeats(found).collect()}
     assert cleaned[200] == (None, 0) and cleaned[0][1] == 0 and cleaned[100][0] == ""
     assert set(cleaned) == {d for d, _ in docs}
@@ -481,7 +488,7 @@ def test_shared_spans_against_brute_force(spark, monkeypatch, seed, block):
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     found = shared.SharedSpans(df)
-    assert found.pairs().count() == 0 and shared.shared_parts(found).count() == 0 and shared.without_repeats(found).count() == 0
+    assert found.pairs().count() == 0 and found.links().count() == 0 and shared.shared_parts(found).count() == 0 and shared.without_repeats(found).count() == 0
 
 
 # all queries run
