@@ -101,8 +101,11 @@ class ByteGru:
         out = np.stack([d.transpose(1, 0, 2), d_back.transpose(1, 0, 2)], axis=1)  # steps, 2, rows, classes
         grads = {k: np.zeros_like(x) for k, x in self.p.items()}
         grads["c"] = d.sum(axis=(0, 1))
-        grads["v"] = np.einsum("tdrh,tdrc->dhc", states[1:], out, optimize=True)
-        through = np.einsum("tdrc,dhc->tdrh", out, v, optimize=True)
+        through = np.empty_like(states[1:])
+        for k in (0, 1):
+            own = out[:, k].reshape(-1, out.shape[-1])
+            grads["v"][k] = states[1:, k].reshape(-1, h).T @ own
+            through[:, k] = (own @ v[k].T).reshape(steps, rows, h)
         d_state = np.zeros((2, rows, h), dtype=np.float32)
         d_x = np.empty((steps, 2, rows, 3 * h), dtype=np.float32)
         for t in range(steps - 1, -1, -1):

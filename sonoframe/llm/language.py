@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonoframe.llm.bytegru import PAD, ByteGru, encode
 
-#: Labelled segments per language that the network is fitted on, at most, and characters of each.
+#: Labelled segments per language that the network is fitted on, at most, and characters of the stretch of each, which
+#: begins anywhere in the text.
 SAMPLE_SEGMENTS, SAMPLE_CHARS = 3000, 160
 
-#: Labelled documents per language that are added to the sample, at most, where there are documents.
-SAMPLE_DOCUMENTS = 500
+#: Labelled documents per language that are added to the sample, at most, where there are documents, and stretches of each.
+SAMPLE_DOCUMENTS, DOCUMENT_PIECES = 500, 4
 
 #: Training: steps before and after wrongly labelled samples are sorted out, sequences per step, bytes of each.
 STEPS, BATCH, WIDTH = (350, 2000), 96, 48
@@ -58,22 +60,29 @@ def label_code(label: Column, languages: DataFrame) -> Column:
     return F.coalesce(F.try_element_at(names, text), F.try_element_at(names, F.regexp_replace(text, r"[-_].*$", "")))
 
 
+def _stretch(text: Column, *seed: Column) -> Column:
+    """SAMPLE_CHARS characters of a text from a place that the hash of ``seed`` gives; a shorter text whole."""
+    places = F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1))
+    return F.substring(text, (F.pmod(F.xxhash64(*seed), places) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+
+
 def sample_segments(transcriptions: DataFrame, code: Column, per_language: int = SAMPLE_SEGMENTS) -> list[tuple[object, str, str]]:
     """(transcription_id, text, code) of at most ``per_language`` segments of each label, whole transcriptions first
-    by hash of their ids; the only rows that the driver sees."""
+    by hash of their ids; the only rows that the driver sees. Of a long segment one stretch, from anywhere in it."""
     rows = transcriptions.select("transcription_id", code.alias("code"), F.posexplode("segments").alias("at", "s")).where("code IS NOT NULL AND s.text IS NOT NULL")
-    rows = rows.select("transcription_id", "at", "code", F.substring("s.text", 1, SAMPLE_CHARS).alias("text")).where(F.length("text") > 8)
+    rows = rows.select("transcription_id", "at", "code", _stretch(F.col("s.text"), F.col("transcription_id"), F.col("at")).alias("text")).where(F.length("text") > 0)
     order = Window.partitionBy("code").orderBy(F.xxhash64("transcription_id"), "transcription_id", "at", "text")
     return [(r.transcription_id, r.text, r.code) for r in rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).collect()]
 
 
-def sample_documents(documents: DataFrame, code: Column, per_language: int = SAMPLE_DOCUMENTS, pieces: int = 4) -> list[tuple[object, str, str]]:
-    """(key, text, code) of the first ``pieces`` stretches of SAMPLE_CHARS of at most ``per_language`` documents of each
-    label, by hash of their ids."""
+def sample_documents(documents: DataFrame, code: Column, per_language: int = SAMPLE_DOCUMENTS) -> list[tuple[object, str, str]]:
+    """(key, text, code) of DOCUMENT_PIECES stretches, from anywhere in the text, of at most ``per_language`` documents of
+    each label, by hash of their ids."""
     order = Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = documents.select("doc_id", code.alias("code"), F.substring("text", 1, pieces * SAMPLE_CHARS).alias("text")).where("code IS NOT NULL AND text IS NOT NULL")
+    pieces = F.array_distinct(F.array(*[_stretch(F.col("text"), F.col("doc_id"), F.lit(i)) for i in range(DOCUMENT_PIECES)]))
+    rows = documents.select("doc_id", code.alias("code"), pieces.alias("pieces")).where("code IS NOT NULL AND text IS NOT NULL AND text <> ''")
     rows = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
-    return [(f"document {r.doc_id}", r.text[a : a + SAMPLE_CHARS], r.code) for r in rows.collect() for a in range(0, len(r.text), SAMPLE_CHARS)]
+    return [(f"document {r.doc_id}", t, r.code) for r in rows.orderBy("code", "k").collect() for t in r.pieces]
 
 
 class LanguageModel:
@@ -91,7 +100,8 @@ class LanguageModel:
 
         codes = sorted({c for *_, c in samples}) or ["und"]
         pool = sorted({(str(k), plain(t), codes.index(c)) for k, t, c in samples})
-        pool = [x for x in pool if len(x[1]) > 8]
+        pool = [x for x in pool if x[1]]
+        without = {x[1]: bare(x[1]) for x in pool}
         model = cls(ByteGru(len(codes), seed=seed), codes)
         rng = np.random.default_rng(seed)
 
@@ -100,7 +110,7 @@ class LanguageModel:
                 texts, labels = [], []
                 for i in rng.integers(len(pool), size=BATCH):
                     _, text, label = pool[i]
-                    text = bare(text) if rng.random() < 0.4 else text
+                    text = without[text] if rng.random() < 0.4 else text
                     raw = text.encode()
                     size = int(rng.integers(14, WIDTH + 1))
                     at = int(rng.integers(max(len(raw) - size, 0) + 1))
@@ -125,6 +135,23 @@ class LanguageModel:
             model.net.train(batches(STEPS[1], clean or pool), rate=0.005, steps=STEPS[1])
         return model
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The fitted model as a table of a few rows: name, shape, numbers; the classes' codes have names alone."""
+        rows = [(f"code {i}", [c], None) for i, c in enumerate(self.codes)]
+        rows += [(k, [str(n) for n in x.shape], [float(v) for v in x.ravel()]) for k, x in self.net.p.items()]
+        return spark.createDataFrame(rows, "name string, shape array<string>, numbers array<float>")
+
+    @classmethod
+    def of_table(cls, table: DataFrame) -> LanguageModel:
+        """What :meth:`table` gave."""
+        import numpy as np
+
+        rows = {r.name: r for r in table.collect()}
+        codes = [rows[f"code {i}"].shape[0] for i in range(sum(n.startswith("code ") for n in rows))]
+        net = ByteGru(1, hidden=1)
+        net.p = {k: np.array(r.numbers, dtype=np.float32).reshape([int(n) for n in r.shape]) for k, r in rows.items() if r.numbers is not None}
+        return cls(net, codes)
+
     def scores(self, texts: list[str]):
         """(texts, classes): the positions' log-probabilities, those of one text added up; no position counts less
         than one in twenty, so that no single one decides."""
@@ -176,21 +203,37 @@ def decide(scores, sizes) -> tuple[int, list[int], list[float]]:
     return main, langs, [confidence, *sure]
 
 
-def language_segments(transcriptions: DataFrame, languages: DataFrame, documents: DataFrame | None = None, per_language: int = SAMPLE_SEGMENTS) -> DataFrame:
+_fitted: dict[str, LanguageModel] = {}
+
+
+def fit_language_model(transcriptions: DataFrame, languages: DataFrame, documents: DataFrame | None = None, per_language: int = SAMPLE_SEGMENTS) -> LanguageModel:
+    """The network fitted on the driver to a bounded sample of labelled segments (``per_language`` of each label, one
+    stretch of SAMPLE_CHARS of each) and, if there are any, of labelled ``documents`` (doc_id, text, lang;
+    SAMPLE_DOCUMENTS of each label, DOCUMENT_PIECES stretches of each).
+
+    The same sample gives the same network, so it is fitted once in a session. :meth:`LanguageModel.table` is the way to
+    keep it longer.
+    """
+    samples = sample_segments(transcriptions, label_code(F.col("language_label"), languages), per_language)
+    if documents is not None:
+        samples += sample_documents(documents, label_code(F.col("lang"), languages))
+    key = sha256(repr((STEPS, BATCH, WIDTH, sorted(map(str, samples)))).encode("utf-8", "surrogatepass")).hexdigest()
+    if key not in _fitted:
+        _fitted[key] = LanguageModel.fit(samples)
+        for old in list(_fitted)[:-4]:
+            del _fitted[old]
+    return _fitted[key]
+
+
+def language_segments(transcriptions: DataFrame, languages: DataFrame, model: LanguageModel) -> DataFrame:
     """transcription_id, seg_no, language_code, confidence, label_code, n_languages.
 
     seg_no 0 is the whole transcription, with the language that most characters of its segments are in; the others are
     its segments that have words, counted from 1. Transcriptions whose segments are null, empty or without words give
     no rows. label_code is what language_label denotes (null: nothing), n_languages how many languages the segments
-    are in. The network is fitted on the driver to a bounded sample of labelled segments (``per_language`` of each
-    label) and, if there are any, of labelled ``documents`` (doc_id, text, lang; SAMPLE_DOCUMENTS of each label), and
-    applied to every byte of every text. A redelivered row counts once.
+    are in. ``model`` (:func:`fit_language_model`) is applied to every byte of every text. A redelivered row counts once.
     """
     code = label_code(F.col("language_label"), languages)
-    samples = sample_segments(transcriptions, code, per_language)
-    if documents is not None:
-        samples += sample_documents(documents, label_code(F.col("lang"), languages))
-    model = LanguageModel.fit(samples)
     shared = transcriptions.sparkSession.sparkContext.broadcast((model.net.p, model.codes))
 
     def batches(parts):

@@ -31,7 +31,9 @@ def p4_report(spark, d):
 
 
 def p5_segments(spark, d):
-    return language.language_segments(load(spark, d, "transcriptions"), load(spark, d, "languages"), load(spark, d, "documents"))
+    transcriptions, languages = load(spark, d, "transcriptions"), load(spark, d, "languages")
+    model = language.fit_language_model(transcriptions, languages, load(spark, d, "documents"))
+    return language.language_segments(transcriptions, languages, model)
 
 
 def p5_found(spark, d):

@@ -276,12 +276,17 @@ def test_language_rows(spark, small_training):
     kind = "transcription_id bigint, language_label string, segments array<struct<start_sec:double,end_sec:double,text:string>>, label_code string"
     df = spark.createDataFrame([(*r, "x") for r in rows + odd + odd[:3]], kind)
     table = spark.createDataFrame([("eng", "en", "English"), ("deu", "de", "German"), ("tur", "tr", "Turkish"), ("csb", None, "Kashubian")], "language_code string, alpha_2 string, language_name string")
-    found = language.language_segments(df, table)
+    model = language.fit_language_model(df, table)
+    assert language.fit_language_model(df.repartition(3), table) is model  # fitted once
+    kept = language.LanguageModel.of_table(model.table(spark))
+    assert kept.codes == model.codes and all((kept.net.p[k] == x).all() for k, x in model.net.p.items())
+    found = language.language_segments(df, table, kept)
     got = {(r.transcription_id, r.seg_no): r.language_code for r in language.corrected_languages(found).collect()}
     assert {k: v for k, v in got.items() if k[0] is None or k[0] >= 900} == {(900, 0): "deu", (901, 0): "tur", (902, 1): "deu", (902, 4): "eng", (None, 0): "eng"}
     assert not [k for k in got if k[0] is not None and k[0] < 900]
     assert all(0 <= r.confidence <= 1 for r in found.collect())
-    assert language.language_segments(df.limit(0), table).count() == 0
+    assert language.language_segments(df.limit(0), table, model).count() == 0
+    assert language.language_segments(df, table, language.fit_language_model(df.limit(0), table)).count() > 0
 
 
 # p6
