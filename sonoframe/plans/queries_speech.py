@@ -184,9 +184,10 @@ SELECT line_id, regexp_replace(replace(upper(x), ' ', '|'), '[^-|A-Z'']', '', 'g
 def forced_alignment(spark, d):
     """Lines aligned to emissions of a stand-in model that says each character for three frames."""
     rows = load(spark, d, "transcript_lines").dropDuplicates(["line_id"]).where("start_sec IS NOT NULL AND end_sec IS NOT NULL AND text IS NOT NULL")
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "line_id")  # emissions are much larger than lines
     clean = alignment.clean_characters(F.col("text"), VOCABULARY)
     codes = F.transform(clean, lambda c: F.array_position(F.array(*[F.lit(v) for v in VOCABULARY]), c["char"]) - 1)
-    certain = F.array(*[F.array(*[F.lit(-0.1 if v == k else -6.0) for v in range(len(VOCABULARY))]) for k in range(len(VOCABULARY))])  # a row per character
+    certain = F.array(*[F.array(*[F.lit(-0.1 if v == k else -6.0).cast("float") for v in range(len(VOCABULARY))]) for k in range(len(VOCABULARY))])  # a row per character
     emission = F.flatten(F.transform(codes, lambda k: F.array(F.get(certain, F.lit(0)), F.get(certain, k.cast("int")), F.get(certain, F.lit(0)))))
     segments = rows.select(F.col("clip_id").cast("string").alias("clip_id"), F.col("line_id").cast("int").alias("ord"), "text", "start_sec", "end_sec", emission.alias("emission"))
     return rounded(alignment.align(segments, VOCABULARY), [])

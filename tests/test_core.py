@@ -1,3 +1,4 @@
+import itertools
 import json
 import os
 import random
@@ -310,6 +311,45 @@ def test_alignment(spark):
     assert alignment.sentences("Dr. A came. He left!") == [(0, 11), (12, 20)]
 
 
+def every_path(emission, tokens, blank=0):
+    """All monotone paths, one by one: the best one's frames of each token."""
+    best, frames = (-np.inf, None), len(emission)
+    for moves in itertools.combinations(range(frames), len(tokens)):
+        total, j, spans = 0.0, 0, []
+        for t in range(moves[-1] + 1):
+            moving = t in moves
+            total += emission[t][tokens[j] if moving else blank]
+            if moving:
+                spans.append([t, t + 1])
+                j += 1
+            elif j:
+                spans[-1][1] = t + 1
+        best = max(best, (total, spans), key=lambda x: x[0])
+    return best[1]
+
+
+def test_best_paths_against_all_paths(monkeypatch):
+    monkeypatch.setattr(alignment, "BATCH_CELLS", 300)
+    rng = np.random.default_rng(3)
+    emissions = [np.log(rng.dirichlet(np.ones(5), int(rng.integers(1, 9)))) for _ in range(60)]
+    tokens = [rng.integers(1, 5, int(rng.integers(1, len(e) + 1))).tolist() for e in emissions]
+    for e, t, got in zip(emissions, tokens, alignment.best_paths(emissions, tokens), strict=True):
+        assert [list(x) for x in zip(got.first, got.end, strict=True)] == every_path(e, t)
+        assert all(0 < x <= 1 for x in got.score)
+    assert alignment.best_paths([np.zeros((2, 3))], [[1, 1, 2]]) == [None] and alignment.best_paths([], []) == []
+    assert alignment.best_paths([np.full((3, 2), -np.inf)], [[1]]) == [None]
+
+
+def test_segments_beyond_the_audio(spark):
+    emission = [[-0.05 if v == k else -5.0 for v in range(3)] for k in (1, 2)]
+    rows = [("c", 0, "ab", 1.0, 2.0, emission, 1.5), ("c", 1, "ab", 1.5, 2.0, emission, 1.5), ("c", 2, None, 0.0, 1.0, emission, None), ("c", 3, "ab", None, None, None, 9.0), ("c", 4, "", 0.0, float("nan"), [], 9.0)]
+    df = spark.createDataFrame(rows, "clip_id string, ord int, text string, start_sec double, end_sec double, emission array<array<double>>, audio_sec double")
+    paths = sorted(r.node_path for r in alignment.align(df, ["-", "A", "B"]).collect())
+    assert paths == ["/0", "/0/0", "/0/0/0", "/0/0/0/0", "/0/0/0/1", "/1", "/2", "/3", "/4"]
+    texts = spark.createDataFrame([("Dr. A came. He left!",), (None,), ("",), ("  no mark ",)], "t string")
+    assert [r[0] if r[0] is None else [tuple(x) for x in r[0]] for r in texts.select(alignment.sentence_spans(F.col("t"))).collect()] == [[(0, 11), (12, 20)], None, [], [(0, 9)]]
+
+
 # labels
 
 
