@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonoframe.functions.arrow import arrow_column, signals
-from sonoframe.operators.intervals import periods_and_gaps, usable_intervals
+from sonoframe.operators.intervals import usable_intervals
 from sonoframe.plans.durable import durable
+from sonoframe.plans.skew import join_one
 
 VOICE = "VOICE"
 
@@ -105,41 +106,108 @@ def silence_gaps(lines: DataFrame) -> DataFrame:
 # diarization error rate
 
 
-def speaking(lines: DataFrame) -> DataFrame:
-    """clip_id, speaker, from_ms, to_ms: each speaker's lines joined where they overlap or touch, to the millisecond.
-    Lines with a null, and lines that do not end after they start, are left out."""
-    rows = usable_intervals(lines.where("speaker IS NOT NULL"), [F.col("clip_id"), F.col("speaker")])
-    return periods_and_gaps(rows, ["clip_id", "speaker"]).where("kind = 'period'").drop("kind")
+def running_sums(rows: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
+    """``keys``, ``at``, the sums of ``values`` of the rows at each moment, and ``{value}_upto``, their running sums.
+
+    Sums run within buckets of time and start from what the buckets before add up to, of which there is one row each in
+    the window over a key; only buckets in which something happens exist.
+    """
+    local = [*keys, "_bucket"]
+    rows = rows.select(*keys, at, *values, F.expr(f"{at} div {BUCKET_MS}").alias("_bucket")).repartition(*local)
+    rows = rows.groupBy(*local, at).agg(*[F.sum(v).alias(v) for v in values])
+    across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*local).agg(*[F.sum(v).alias(v) for v in values])
+    sums = sums.select(*local, *[F.coalesce(F.sum(v).over(across), F.lit(0)).alias(f"_{v}") for v in values])
+    upto = Window.partitionBy(*local).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumns({f"{v}_upto": F.sum(v).over(upto) for v in values}).join(sums, local)
+    return found.select(*keys, at, *values, *[(F.col(f"{v}_upto") + F.col(f"_{v}")).alias(f"{v}_upto") for v in values])
+
+
+def boundaries(lines: DataFrame) -> DataFrame:
+    """clip_id, speaker, at, step: when each speaker begins (1) and stops (-1) speaking, to the millisecond; lines that
+    overlap or touch are one. Lines with a null, and lines that do not end after they start, are left out."""
+    rows = usable_intervals(lines.where("clip_id IS NOT NULL AND speaker IS NOT NULL"), [F.col("clip_id"), F.col("speaker")])
+    ends = F.array(F.struct(F.col("from_ms").alias("at"), F.lit(1).alias("n")), F.struct(F.col("to_ms").alias("at"), F.lit(-1).alias("n")))
+    events = running_sums(rows.select("clip_id", "speaker", F.explode(ends).alias("e")).select("clip_id", "speaker", "e.*"), ["clip_id", "speaker"], "at", ["n"])
+    step = F.when(F.col("n_upto") == F.col("n"), F.lit(1)).when(F.col("n_upto") == 0, F.lit(-1))
+    return events.where("n <> 0").select("clip_id", "speaker", "at", step.alias("step")).where("step IS NOT NULL")
 
 
-def _bucket(c: Column) -> Column:
-    return F.floor(c / BUCKET_MS).cast("bigint")
+#: Speakers whose activity one whole number holds, a bit each.
+WORD = 62
 
+#: Rows of a clip in a batch from which its pairs of speakers are multiplied out as matrices.
+MATRIX_ROWS = 200
 
-def common_time(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
-    """clip_id, r, h, ms: how long each pair of speakers speaks at the same time. Periods meet in the buckets they
-    reach, and a meeting counts in the bucket in which it begins."""
-    each = lambda d, n: d.select("clip_id", F.col("speaker").alias(n), F.col("from_ms").alias(f"{n}a"), F.col("to_ms").alias(f"{n}b"), F.explode(F.sequence(_bucket(F.col("from_ms")), _bucket(F.col("to_ms")))).alias("bucket"))
-    met = each(reference, "r").join(each(hypothesis, "h"), ["clip_id", "bucket"])
-    begin, end = F.greatest("ra", "ha"), F.least("rb", "hb")
-    met = met.where((begin < end) & (_bucket(begin) == F.col("bucket")))
-    return met.groupBy("clip_id", "r", "h").agg(F.sum(end - begin).alias("ms"))
 
+def speaking_together(reference: DataFrame, hypothesis: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For how long exactly which speakers of the two sides speak at the same time in a clip; both sides are
+    :func:`boundaries`. A table clip_id, r, h, ms, whose sets are arrays of whole numbers with a bit for each speaker, and
+    one clip_id, rs, hs of the speakers of a clip in the order of the bits, which are few.
+
+    One stream of moments of both sides: each speaker of a clip is a bit, so the running sum of what begins and stops is
+    the set of those who speak. As many numbers are summed as the clip with most speakers needs.
+    """
+    both = reference.withColumn("side", F.lit("r")).unionByName(hypothesis.withColumn("side", F.lit("h")))
+    of = lambda side: F.array_sort(F.collect_set(F.when(F.col("side") == side, F.col("speaker")))).alias(f"_{side}")
+    names = both.groupBy("clip_id").agg(of("r"), of("h"))  # the speakers of a clip are few
+    most = names.agg(F.max(F.greatest(F.size("_r"), F.size("_h")))).first()[0] or 1
+    words = [(side, w) for side in "rh" for w in range(-(-most // WORD))]
+    place = F.array_position(F.when(F.col("side") == "r", F.col("_r")).otherwise(F.col("_h")), F.col("speaker")) - 1
+    events = join_one(both, names, "clip_id").withColumn("_place", place)
+    bit = F.expr(f"step * shiftleft(1L, int(_place % {WORD}))")
+    here = lambda side, w: (F.col("side") == side) & (F.floor(F.col("_place") / WORD) == w)
+    columns = [f"{side}{w}" for side, w in words]
+    events = events.select("clip_id", "at", *[F.when(here(side, w), bit).otherwise(F.lit(0).cast("bigint")).alias(f"{side}{w}") for side, w in words])
+    rows = running_sums(events, ["clip_id"], "at", columns).withColumn("_bucket", F.expr(f"at div {BUCKET_MS}"))
+    firsts = rows.groupBy("clip_id", "_bucket").agg(F.min("at").alias("_first"))
+    firsts = firsts.select("clip_id", "_bucket", F.lead("_first").over(Window.partitionBy("clip_id").orderBy("_bucket")).alias("_next"))
+    local = Window.partitionBy("clip_id", "_bucket").orderBy("at")
+    rows = rows.join(firsts, ["clip_id", "_bucket"]).withColumn("_till", F.coalesce(F.lead("at").over(local), F.col("_next")))
+    sets = rows.groupBy("clip_id", *[f"{c}_upto" for c in columns]).agg(F.sum(F.col("_till") - F.col("at")).alias("ms")).where("ms > 0")
+
+    masks = lambda side: F.array(*[F.col(f"{s}{w}_upto") for s, w in words if s == side])
+    return sets.select("clip_id", masks("r").alias("r"), masks("h").alias("h"), "ms"), names.select("clip_id", F.col("_r").alias("rs"), F.col("_h").alias("hs"))
+
+
+def common_time(sets: DataFrame, names: DataFrame) -> DataFrame:
+    """clip_id, r, h, ms: how long each pair of speakers of a clip speaks at the same time; of what
+    :func:`speaking_together` gave. Pairs are added up batch by batch, and the sets of a clip with many rows are multiplied
+    out as matrices, so that many speakers at the same time make no rows of their own."""
+    kind = dict(sets.dtypes)["clip_id"]
+
+    def products(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def speaker_counts(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
-    """clip_id, at, till, n_r, n_h: the stretches between neighbouring boundaries and how many speak in each. Running
-    counts start in every bucket from what the buckets before add up to."""
-    of = lambda d, r, h: d.select("clip_id", F.explode(F.array(F.struct(F.col("from_ms").alias("at"), F.lit(r).alias("r"), F.lit(h).alias("h")), F.struct(F.col("to_ms").alias("at"), F.lit(-r).alias("r"), F.lit(-h).alias("h")))).alias("e")).select("clip_id", "e.*")
-    events = of(reference, 1, 0).unionByName(of(hypothesis, 0, 1)).groupBy("clip_id", "at").agg(F.sum("r").alias("r"), F.sum("h").alias("h")).withColumn("bucket", _bucket(F.col("at")))
-    across = Window.partitionBy("clip_id").orderBy("bucket")  # a row per bucket
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    sums = events.groupBy("clip_id", "bucket").agg(F.sum("r").alias("r"), F.sum("h").alias("h"), F.min("at").alias("first"))
-    sums = sums.select("clip_id", "bucket", F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"), F.coalesce(F.sum("h").over(before), F.lit(0)).alias("h0"), F.lead("first").over(across).alias("next"))
-    local = Window.partitionBy("clip_id", "bucket").orderBy("at")
-    upto = local.rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.join(sums, ["clip_id", "bucket"])
-    rows = rows.select("clip_id", "at", F.coalesce(F.lead("at").over(local), F.col("next")).alias("till"), (F.col("r0") + F.sum("r").over(upto)).alias("n_r"), (F.col("h0") + F.sum("h").over(upto)).alias("n_h"))
-    return rows.where("till IS NOT NULL")
+        bits = lambda words: (words[:, :, None] >> np.arange(WORD) & 1).reshape(len(words), -1).astype("float64")
+        for batch in batches:
+            clips = batch.column("clip_id").dictionary_encode()
+            key = clips.indices.to_numpy()
+            r, h = (batch.column(c).flatten().to_numpy().reshape(len(key), -1) for c in ("r", "h"))
+            ms = batch.column("ms").to_numpy().astype("float64")
+            speak, heard, sizes = bits(r), bits(h), np.bincount(key, minlength=len(clips.dictionary))
+            found: list[tuple] = []
+            for clip in np.flatnonzero(sizes > MATRIX_ROWS):
+                own = key == clip
+                together = (speak[own] * ms[own, None]).T @ heard[own]
+                i, j = np.nonzero(together)
+                found.append((np.full(len(i), clip), i, j, together[i, j]))
+            # clips of few rows, together: each pair of bits of a row, added up by clip and pair
+            few = np.flatnonzero(sizes[key] <= MATRIX_ROWS)
+            row, i = np.nonzero(speak[few])
+            times = heard[few].sum(axis=1).astype("int64")[row]
+            at, j = np.nonzero(heard[few])
+            start = np.searchsorted(at, row)
+            row, i, j = np.repeat(few[row], times), np.repeat(i, times), j[np.repeat(start - np.cumsum(times) + times, times) + np.arange(times.sum())]
+            pair, where = np.unique(np.stack([key[row], i, j]), axis=1, return_inverse=True)
+            found.append((*pair, np.bincount(where.ravel(), weights=ms[row], minlength=pair.shape[1])))
+            k, i, j, t = (np.concatenate(x) for x in zip(*found, strict=True))
+            columns = [clips.dictionary.take(pa.array(k.astype("int64"))), pa.array(i.astype("int32")), pa.array(j.astype("int32")), pa.array(t.astype("int64"))]
+            yield pa.RecordBatch.from_arrays(columns, ["clip_id", "i", "j", "ms"])
+
+    pairs = sets.mapInArrow(products, f"clip_id {kind}, i int, j int, ms bigint").groupBy("clip_id", "i", "j").agg(F.sum("ms").alias("ms"))
+    return pairs.join(names, "clip_id").select("clip_id", F.get("rs", F.col("i")).alias("r"), F.get("hs", F.col("j")).alias("h"), "ms")
 
 
 def _assignment(overlap, names_r: list[str], names_h: list[str], greedy: bool) -> dict[str, str]:
@@ -189,9 +257,10 @@ def error_rate(reference: DataFrame, hypothesis: DataFrame, greedy: bool = False
     """
     import pandas as pd
 
-    r, h = durable(speaking(reference)), durable(speaking(hypothesis))  # each is read twice
-    common = common_time(r, h)
-    pairs = common.groupBy("clip_id").agg(F.collect_list(F.struct("r", "h", F.col("ms").cast("double").alias("s"))).alias("pairs"))
+    sets, names = speaking_together(durable(boundaries(reference)), durable(boundaries(hypothesis)))
+    sets = durable(sets)
+    common = common_time(sets, names).select("clip_id", "r", "h", F.col("ms").cast("double").alias("s"))
+    pairs = common.groupBy("clip_id").agg(F.collect_list(F.struct("r", "h", "s")).alias("pairs"))
 
     def maps(rows: pd.Series) -> pd.Series:
         import numpy as np
@@ -210,12 +279,13 @@ def error_rate(reference: DataFrame, hypothesis: DataFrame, greedy: bool = False
     mapped = F.filter("pairs", lambda p: F.coalesce(F.try_element_at(F.col("mapping"), p["h"]) == p["r"], F.lit(False)))
     right = F.aggregate(mapped, F.lit(0.0), lambda s, p: s + p["s"]) / 1000
     mapping = mapping.select("clip_id", "mapping", right.alias("_right"))
-    zero, seconds = F.lit(0), (F.col("till") - F.col("at")) / 1000
-    sums = speaker_counts(r, h).groupBy("clip_id").agg(
-        F.sum(F.greatest(F.col("n_h") - F.col("n_r"), zero) * seconds).alias("false_alarm"),
-        F.sum(F.greatest(F.col("n_r") - F.col("n_h"), zero) * seconds).alias("missed"),
-        F.sum(F.least("n_r", "n_h") * seconds).alias("_both"),
-        F.sum(F.col("n_r") * seconds).alias("total"),
+    size = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.bit_count(x))
+    zero, seconds, n_r, n_h = F.lit(0), F.col("ms") / 1000, size("r"), size("h")
+    sums = sets.groupBy("clip_id").agg(
+        F.sum(F.greatest(n_h - n_r, zero) * seconds).alias("false_alarm"),
+        F.sum(F.greatest(n_r - n_h, zero) * seconds).alias("missed"),
+        F.sum(F.least(n_r, n_h) * seconds).alias("_both"),
+        F.sum(n_r * seconds).alias("total"),
     )
     sums = sums.join(mapping, "clip_id", "left").withColumn("confusion", F.col("_both") - F.coalesce("_right", F.lit(0.0)))
     sums = sums.select("clip_id", "false_alarm", "missed", F.round("confusion", 9).alias("confusion"), "total", "mapping")

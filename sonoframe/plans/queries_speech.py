@@ -73,29 +73,38 @@ def der_optimal(spark, d):
     return rounded(rows.withColumn("mapping", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("mapping"))))), ["clip_id"])
 
 
-_register(der_optimal)
-
-
 def der_greedy(spark, d):
     own, other = _sides(spark, d)
     return rounded(diarization.error_rate(own, other, greedy=True).select("clip_id", "confusion", "total", "error_rate"), ["clip_id"])
 
 
-_register(der_greedy)
-
-
 def der_components(spark, d):
     """What doesn't depend on the mapping: seconds of false alarm, of missed and of reference speech."""
     own, other = _sides(spark, d)
     return rounded(diarization.error_rate(own, other).select("clip_id", F.round("false_alarm", 3).alias("false_alarm"), F.round("missed", 3).alias("missed"), F.round("total", 3).alias("total")), ["clip_id"])
 
 
-_register(der_components, _LINES + """, u AS (SELECT clip_id, speaker, CAST(round(start_sec * 1000) AS BIGINT) AS a, CAST(round(end_sec * 1000) AS BIGINT) AS e FROM d WHERE speaker IS NOT NULL),
-h AS (SELECT clip_id, CASE WHEN speaker = 'SPEAKER_01' THEN 'SPEAKER_00' ELSE speaker END AS speaker, CAST(round((start_sec + 0.25) * 1000) AS BIGINT) AS a, CAST(round((end_sec + 0.25) * 1000) AS BIGINT) AS e FROM d WHERE speaker IS NOT NULL),
+#: Stretches between neighbouring times, and how many speak in each on either side.
+_STRETCHES = _LINES + """, u AS (SELECT clip_id, speaker, CAST(round(start_sec * 1000) AS BIGINT) AS a, CAST(round(end_sec * 1000) AS BIGINT) AS e FROM d WHERE speaker IS NOT NULL AND clip_id IS NOT NULL),
+h AS (SELECT clip_id, CASE WHEN speaker = 'SPEAKER_01' THEN 'SPEAKER_00' ELSE speaker END AS speaker, CAST(round((start_sec + 0.25) * 1000) AS BIGINT) AS a, CAST(round((end_sec + 0.25) * 1000) AS BIGINT) AS e FROM d WHERE speaker IS NOT NULL AND clip_id IS NOT NULL),
 z AS (SELECT *, 'r' AS side FROM u WHERE e > a UNION ALL SELECT *, 'h' FROM h WHERE e > a), t AS (SELECT DISTINCT clip_id, unnest([a, e]) AS a FROM z),
 b AS (SELECT clip_id, a, lead(a) OVER (PARTITION BY clip_id ORDER BY a) AS e FROM t),
-c AS (SELECT b.clip_id, b.a, b.e, count(DISTINCT CASE WHEN side = 'r' THEN speaker END) AS nr, count(DISTINCT CASE WHEN side = 'h' THEN speaker END) AS nh FROM b JOIN z ON z.clip_id = b.clip_id AND z.a <= b.a AND z.e >= b.e GROUP BY 1, 2, 3)
-SELECT clip_id, round(sum(greatest(nh - nr, 0) * (e - a)) / 1000, 3) AS false_alarm, round(sum(greatest(nr - nh, 0) * (e - a)) / 1000, 3) AS missed, round(sum(nr * (e - a)) / 1000, 3) AS total FROM c GROUP BY 1""")
+c AS (SELECT b.clip_id, b.a, b.e, list_distinct(list(speaker) FILTER (side = 'r')) AS rs, list_distinct(list(speaker) FILTER (side = 'h')) AS hs FROM b JOIN z ON z.clip_id = b.clip_id AND z.a <= b.a AND z.e >= b.e GROUP BY 1, 2, 3),
+k AS (SELECT *, coalesce(len(rs), 0) AS nr, coalesce(len(hs), 0) AS nh FROM c),
+parts AS (SELECT clip_id, sum(greatest(nh - nr, 0) * (e - a)) / 1000 AS false_alarm, sum(greatest(nr - nh, 0) * (e - a)) / 1000 AS missed, sum(least(nr, nh) * (e - a)) / 1000 AS spoken, sum(nr * (e - a)) / 1000 AS total FROM k GROUP BY 1),
+pairs AS (SELECT clip_id, r, h, sum(ms) / 1000 AS s FROM (SELECT clip_id, r, unnest(hs) AS h, e - a AS ms FROM (SELECT clip_id, a, e, unnest(rs) AS r, hs FROM k)) GROUP BY 1, 2, 3)
+"""
+_register(der_components, _STRETCHES + "SELECT clip_id, round(false_alarm, 3) AS false_alarm, round(missed, 3) AS missed, round(total, 3) AS total FROM parts")
+
+_register(der_optimal)
+
+#: Pairs taken largest first, each if neither speaker is taken yet.
+_register(der_greedy, _STRETCHES.replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY s DESC, h, r) AS no FROM pairs),
+w AS (SELECT clip_id, 0 AS no, 0.0::DOUBLE AS s, []::VARCHAR[] AS rs, []::VARCHAR[] AS hs FROM parts
+  UNION ALL SELECT clip_id, no, s0 + CASE WHEN free THEN s1 ELSE 0 END, CASE WHEN free THEN list_append(rs, r) ELSE rs END, CASE WHEN free THEN list_append(hs, h) ELSE hs END
+  FROM (SELECT w.clip_id, n.no, w.s AS s0, n.s AS s1, w.rs, w.hs, n.r, n.h, NOT list_contains(w.rs, n.r) AND NOT list_contains(w.hs, n.h) AS free FROM w JOIN n ON n.clip_id = w.clip_id AND n.no = w.no + 1) q),
+best AS (SELECT clip_id, max(s) AS s FROM w GROUP BY 1)
+SELECT clip_id, round(spoken - s, 6) AS confusion, round(total, 6) AS total, round(CASE WHEN total > 0 THEN (false_alarm + missed + round(spoken - s, 9)) / total END, 6) AS error_rate FROM parts JOIN best USING (clip_id)""")
 
 
 # trees of script lines

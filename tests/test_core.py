@@ -582,3 +582,27 @@ def test_intervals_of_any_size(spark):
         (1, "period", 0, 9 * 10**18), (2, "gap", 3 * 10**16, 5 * 10**16), (2, "period", 10**15, 3 * 10**16), (2, "period", 5 * 10**16, 5 * 10**16 + 1000),
         (3, "gap", 1300500, 1300501), (3, "period", 599000, 1300500), (3, "period", 1300501, 1301000),
     ]
+
+
+@pytest.mark.parametrize("word, matrix_rows", [(62, 200), (2, 5), (62, 0)])
+def test_common_time_against_brute_force(spark, monkeypatch, word, matrix_rows):
+    monkeypatch.setattr(diarization, "WORD", word)
+    monkeypatch.setattr(diarization, "MATRIX_ROWS", matrix_rows)
+    monkeypatch.setattr(diarization, "BUCKET_MS", 7)
+    rng = random.Random(word)
+
+    def side(n):
+        rows = [(rng.choice([1, 1, 1, 2, 3, None]), rng.choice(["A", "B", "C", "D", "E", None]), a := rng.randint(0, 60) / 1000, a + rng.randint(-1, 20) / 1000) for _ in range(n)]
+        return rows, spark.createDataFrame([*rows, (4, "A", None, 1.0)], "clip_id bigint, speaker string, start_sec double, end_sec double")
+
+    (a, ref), (b, hyp) = side(40), side(30)
+    said = lambda rows, clip: {s: {t for c, x, p, q in rows if c == clip and x == s for t in range(round(p * 1000), round(q * 1000))} for s in "ABCDE"}
+    want = {(c, x, y): len(t) for c in (1, 2, 3) for x, p in said(a, c).items() for y, q in said(b, c).items() if (t := p & q)}
+    sets, names = diarization.speaking_together(diarization.boundaries(ref), diarization.boundaries(hyp))
+    assert {(r.clip_id, r.r, r.h): r.ms for r in diarization.common_time(sets, names).collect()} == want
+    for r in diarization.error_rate(ref, hyp).collect():
+        x, y = said(a, r.clip_id), said(b, r.clip_id)
+        counts = [(sum(t in s for s in x.values()), sum(t in s for s in y.values())) for t in range(100)]
+        assert [round(v * 1000) for v in (r.false_alarm, r.missed, r.total)] == [sum(max(h - k, 0) for k, h in counts), sum(max(k - h, 0) for k, h in counts), sum(k for k, _ in counts)]
+    assert diarization.error_rate(ref.limit(0), hyp.limit(0)).count() == 0
+    assert {r.missed for r in diarization.error_rate(ref.limit(0), hyp).collect()} == {0.0}
