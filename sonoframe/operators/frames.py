@@ -134,11 +134,18 @@ def unbatch(batches: DataFrame, column: str = "items") -> DataFrame:
     return batches.select(*others, F.posexplode(column).alias("ord", "item"))
 
 
-def numbered(df: DataFrame, order: str, name: str = "_no", ranges: int = 64) -> DataFrame:
+#: Rows of one range when rows are numbered, about.
+RANGE_ROWS = 1_000_000
+
+
+def numbered(df: DataFrame, order: str, name: str = "_no", ranges: int | None = None) -> DataFrame:
     """Rows numbered from 0 by ``order``, nulls first, ties in no set order. Rows are numbered within ranges of the
-    key, and a range's start is the number of rows in the ranges before it, so no task sees all rows."""
+    key, and a range's start is the number of rows in the ranges before it, so no task sees all rows. There are as many
+    ranges as the rows need (RANGE_ROWS each), or as the session has shuffle partitions."""
     from sonoframe.plans.durable import durable
 
+    if ranges is None:
+        ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
     placed = df.repartitionByRange(ranges, order).sortWithinPartitions(order).withColumn("_range", F.spark_partition_id())
     placed = durable(placed.withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = placed.groupBy("_range").agg(F.count("*").alias("_k"))

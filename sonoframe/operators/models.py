@@ -121,6 +121,47 @@ def _names(schema: str) -> list[str]:
     return names
 
 
+def classify_windows(clips: DataFrame, load: Callable[[ModelRef], Callable], model: ModelRef, window_sec: float, hop_sec: float | None = None, top_k: int | None = None, batch: int = 32) -> DataFrame:
+    """clip_id, window_start, window_end, win_length, hop_length, labels, scores of every window of the clips, best first,
+    ``top_k`` of them if given (all where there are fewer). Windows of all clips go to the model in batches together; hops
+    are half a window by default."""
+    from sonoframe.operators import results
+
+    rows = apply_model(results.classification_windows(clips, window_sec, hop_sec), "classify", load, model, batch)
+    rows = rows.withColumn("result", results.result(results.labels(F.col("result")), results.scores(F.col("result"))))
+    best = F.slice("result", 1, top_k) if top_k else F.col("result")
+    return rows.select("clip_id", "window_start", "window_end", "win_length", "hop_length", results.labels(best).alias("labels"), results.scores(best).alias("scores"))
+
+
+def enhance_in_pieces(clips: DataFrame, load: Callable[[ModelRef], Callable], model: ModelRef, seconds: float = 60.0, batch: int | None = None) -> DataFrame:
+    """``clips`` with the channels that an enhancer gives: clips are cut into pieces of ``seconds``, enhanced piece by piece,
+    and put together again in order. A clip without samples stays as it is. Results of another length or rate raise."""
+    from sonoframe.operators import frames
+
+    pieces = frames.even_segments(clips.select("clip_id", "sampling_rate", "channels"), seconds, pad_last=False)
+    n = frames.n_samples(F.col("channels"))
+    made = apply_model(pieces.where(n > 0), "enhance", load, model, batch)
+    fine = F.assert_true((F.col("out_rate") == F.col("sampling_rate")) & (frames.n_samples(F.col("out_channels")) == n), F.lit("an enhancer keeps length and rate")).isNull()
+    whole = made.where(fine).groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("segment_index", "out_channels"))).alias("_parts"))  # one clip is one row
+    joined = F.array(F.flatten(F.transform("_parts", lambda p: F.get(p["out_channels"], F.lit(0)))))
+    return clips.join(whole.select("clip_id", joined.alias("_whole")), "clip_id", "left").withColumn("channels", F.coalesce("_whole", "channels")).drop("_whole")
+
+
+def paired(sources: DataFrame, targets: DataFrame, on: str = "pair_no") -> DataFrame:
+    """``sources`` with target_channels and target_id, the clip of ``targets`` with the same ``on``; a source without a
+    partner, or one with several, raises. For voice conversion and scores against a reference."""
+    found = targets.groupBy(on).agg(F.count("*").alias("_n"), F.first("channels").alias("target_channels"), F.first("clip_id").alias("target_id"))
+    rows = sources.join(found, on, "left")
+    fine = F.assert_true(F.coalesce(F.col("_n"), F.lit(0)) == 1, F.lit("each source needs one target")).isNull()
+    return rows.where(fine).drop("_n")
+
+
+def require_transcripts(targets: DataFrame, column: str = "text") -> DataFrame:
+    """``targets`` of which evaluating a row without a transcript raises."""
+    fine = F.assert_true(F.coalesce(F.trim(column), F.lit("")) != "", F.lit("a target has no transcript")).isNull()
+    return targets.where(fine)
+
+
 def sanitized_lines(rows: DataFrame) -> DataFrame:
     """Lines of a recognizer with times made sound: starts below 0 are 0, ends before the start are the start."""
     start = lambda x: F.greatest(x["start_sec"], F.lit(0.0))

@@ -59,7 +59,8 @@ def explore_conversation(
     speaker_id, start, end, transcripts, features, speaker_embeddings and ssl_embeddings.
 
     Each callable takes the segments and adds a column: ``text``, ``vector`` or ``layers`` (frames are averaged). The
-    models' results become maps by model name. Without clips there are no rows.
+    models' results become maps by model name. original_file is the clip's path (its id where it has none); a clip
+    without usable lines has an empty array. Without clips there are no rows.
     """
     rows = conversation_segments(clips, lines)
     transcripts, speakers, ssl = [], [], []
@@ -82,7 +83,8 @@ def explore_conversation(
     # a file's segments are one row of the result
     placed = rows.select("clip_id", F.struct(F.col("start_sec").alias("s"), F.col("ord").alias("o")).alias("k"), F.to_json(one).alias("j"))
     grouped = placed.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "j"))), lambda x: x["j"]).alias("segments"))
-    return grouped.select(F.col("clip_id").alias("original_file"), "segments")
+    everyone = clips.select("clip_id", F.coalesce(F.col("path"), F.col("clip_id").cast("string")).alias("original_file"))
+    return everyone.join(grouped, "clip_id", "left").select("original_file", F.coalesce("segments", F.array().cast("array<string>")).alias("segments"))
 
 
 def _mean_rows(layer):

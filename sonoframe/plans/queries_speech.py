@@ -8,6 +8,7 @@ from sonoframe.functions.text import character_error_rate, word_scores
 from sonoframe.operators import alignment, diarization, languages, models, pose, tree, workflows
 from sonoframe.operators.nested import latest_delivery, record_nodes
 from sonoframe.plans.queries_nested import TREE
+from sonoframe.plans.durable import scratch
 from sonoframe.plans.queries_signal import clips, rounded
 from sonoframe.sources import datasets, files
 from sonoframe.sources.tables import load
@@ -138,7 +139,16 @@ def script_tree_words_only(spark, d):
     return tree.keep_levels(nodes(spark, d), word=True)
 
 
-_register(script_tree_words_only)
+def _without_level(source: str, level: int, name: str) -> str:
+    """``name``: the tree ``source`` without a level, children moved up and numbered anew."""
+    return f""", parts_{name} AS (SELECT *, list_transform(string_split(node_path, '/')[2:], lambda x: CAST(x AS INT)) AS n FROM {source}),
+moved_{name} AS (SELECT clip_id, n, row_number() OVER (PARTITION BY clip_id, n[1:{level}] ORDER BY n) - 1 AS place FROM parts_{name} WHERE level = {level + 1}),
+low_{name} AS (SELECT p.*, list_concat(p.n[1:{level}], [m.place], p.n[{level + 3}:]) AS k FROM parts_{name} p JOIN moved_{name} m ON p.clip_id = m.clip_id AND p.n[1:{level + 2}] = m.n WHERE p.level > {level}),
+{name} AS (SELECT clip_id, node_path, level, ord, text, speaker, start_sec, end_sec FROM parts_{name} WHERE level < {level}
+UNION ALL SELECT clip_id, '/' || array_to_string(k, '/'), level - 1, CAST(k[len(k)] AS INT), text, speaker, start_sec, end_sec FROM low_{name})"""
+
+
+_register(script_tree_words_only, TREE + _without_level("tree", 3, "no_characters") + _without_level("no_characters", 0, "no_lines") + " SELECT * FROM no_lines")
 
 
 def script_inherited_times(spark, d):
@@ -175,7 +185,13 @@ def alignment_differences(spark, d):
     return rounded(tree.differences(own, other), [])
 
 
-_register(alignment_differences)
+_register(alignment_differences, TREE + """, other AS (SELECT clip_id, node_path, level, text, start_sec + CASE WHEN ord % 3 = 0 THEN 0.2 ELSE 0.05 END AS start_sec, end_sec FROM tree WHERE NOT (level = 2 AND ord = 4)),
+ka AS (SELECT clip_id, regexp_replace(node_path, '/[^/]*$', '') AS up, count(*) AS k FROM tree WHERE level > 0 GROUP BY 1, 2), kb AS (SELECT clip_id, regexp_replace(node_path, '/[^/]*$', '') AS up, count(*) AS k FROM other WHERE level > 0 GROUP BY 1, 2),
+broken AS (SELECT coalesce(ka.clip_id, kb.clip_id) AS clip_id, coalesce(ka.up, kb.up) AS up FROM ka FULL JOIN kb ON ka.clip_id = kb.clip_id AND ka.up = kb.up WHERE ka.k IS DISTINCT FROM kb.k),
+kept AS (SELECT * FROM tree t WHERE NOT EXISTS (SELECT 1 FROM broken b WHERE b.clip_id = t.clip_id AND starts_with(t.node_path, b.up || '/')))
+SELECT clip_id, node_path, round(sd, 6) AS start_diff, round(ed, 6) AS end_diff, same_text, coalesce(sd < 0.1, TRUE) AND coalesce(ed < 0.1, TRUE) AND same_text AS ok FROM (
+SELECT a.clip_id, a.node_path, abs(a.start_sec - b.start_sec) AS sd, abs(a.end_sec - b.end_sec) AS ed, CASE WHEN coalesce(a.text, '') <> '' AND coalesce(b.text, '') <> '' THEN lower(a.text) = lower(b.text) ELSE TRUE END AS same_text
+FROM kept a JOIN other b ON a.clip_id = b.clip_id AND a.node_path = b.node_path)""")
 
 
 VOCABULARY = ["-", "|", *"ABCDEFGHIJKLMNOPQRSTUVWXYZ'"]
@@ -351,18 +367,26 @@ _register(model_augmented, "SELECT vec_id AS clip_id, CAST(generate_subscripts(e
 
 
 def conversation_report(spark, d):
-    """Every segment of clips by their lines, with a stand-in embedding, as JSON. A clip's vector is repeated until the
-    clip is as long as its lines need."""
+    """Every segment of clips by their lines, with a stand-in embedding; a clip without lines has an empty list. A clip's
+    vector is repeated until the clip is as long as its lines need."""
     some = lines(spark, d).withColumn("ord", F.lit(0))
     seconds = some.groupBy("clip_id").agg(F.ceil(F.max("end_sec")).cast("int").alias("_s"))
-    own = clips(spark, d).join(seconds, "clip_id").withColumn("channels", F.array(F.flatten(F.array_repeat(F.get("channels", F.lit(0)), F.greatest("_s", F.lit(1)))))).drop("_s")
+    own = clips(spark, d).join(seconds, "clip_id", "left").withColumn("channels", F.array(F.flatten(F.array_repeat(F.get("channels", F.lit(0)), F.greatest(F.coalesce("_s", F.lit(1)), F.lit(1)))))).drop("_s")
     own = own.withColumn("path", F.concat(F.lit("clip "), F.col("clip_id").cast("string")))
     embed = lambda s: models.apply_model(s.withColumn("sampling_rate", F.lit(16000)), "speaker_embedding", _stand_in, models.ModelRef("stand-in")).withColumn("sampling_rate", F.lit(64))
     found = workflows.explore_conversation(own, some, speaker_embedders={"stand-in": embed})
-    return found.select("original_file", F.size("segments").alias("n"), F.posexplode("segments").alias("pos", "segment"))
+    rows = found.select("original_file", F.size("segments").alias("n"), F.posexplode_outer("segments").alias("pos", "s"))
+    vector = F.from_json("s", "speaker_id string, start double, `end` double, speaker_embeddings map<string,array<double>>")
+    rows = rows.select("original_file", "n", "pos", vector.alias("s"))
+    own_vector = F.try_element_at("s.speaker_embeddings", F.lit("stand-in"))
+    return rounded(rows.select("original_file", "n", F.col("s.speaker_id").alias("speaker_id"), F.col("s.start").alias("start_sec"), F.col("s.end").alias("end_sec"), F.get(own_vector, F.lit(0)).alias("mean"), F.get(own_vector, F.lit(1)).alias("peak")), [])
 
 
-_register(conversation_report)
+_register(conversation_report, _LINES + """, e AS (SELECT vec_id AS clip_id, embedding AS w FROM embeddings),
+x AS (SELECT d.clip_id, d.speaker, d.start_sec, d.end_sec, count(*) OVER (PARTITION BY d.clip_id) AS n, w, CAST(trunc(start_sec * 64) AS BIGINT) AS a, CAST(trunc(end_sec * 64) AS BIGINT) AS b, row_number() OVER () AS id FROM d JOIN e USING (clip_id)),
+v AS (SELECT id, avg(y) AS mean, max(abs(y)) AS peak FROM (SELECT id, CAST(w[i % 64 + 1] AS DOUBLE) AS y FROM (SELECT id, w, unnest(range(a, b)) AS i FROM x)) GROUP BY 1)
+SELECT 'clip ' || clip_id AS original_file, CAST(n AS INT) AS n, speaker AS speaker_id, round(start_sec, 6) AS start_sec, round(end_sec, 6) AS end_sec, coalesce(round(mean, 6), 0.0) AS mean, coalesce(round(peak, 6), 0.0) AS peak FROM x LEFT JOIN v USING (id)
+UNION ALL SELECT 'clip ' || clip_id, 0, NULL, NULL, NULL, NULL, NULL FROM e WHERE clip_id NOT IN (SELECT clip_id FROM d WHERE clip_id IS NOT NULL)""")
 
 
 # windows over event time; the same functions take streams
@@ -404,13 +428,34 @@ _register(stream_chunks, "SELECT vec_id AS clip_id, CAST(k AS INT) AS chunk_no,
 
 def stream_windows(spark, d):
     """The tumbling windows of a stream over the events' files, run to their end."""
-    import uuid
-
     schema = load(spark, d, "events").schema.simpleString().removeprefix("struct<").removesuffix(">")
     rows = windows.read_stream(spark, f"{d}/events.parque[t]", schema.replace(":", " "))
     # no watermark: the result is complete in the end
     out = windows.event_windows(rows, "event_type", "ts", "value", "1 hour")
-    return rounded(windows.run_to_end(out, f"stream_windows_{uuid.uuid4().hex}", "complete"), [])
+    return rounded(windows.run_to_end(out, "complete"), [])
 
 
 _register(stream_windows, SQL["event_tumbling"])
+
+
+def stream_windows_late(spark, d):
+    """The same with a watermark of three hours: the windows that are closed by it when the stream ends."""
+    schema = load(spark, d, "events").schema.simpleString().removeprefix("struct<").removesuffix(">")
+    rows = windows.read_stream(spark, f"{d}/events.parque[t]", schema.replace(":", " "))
+    return rounded(windows.run_to_end(windows.event_windows(rows, "event_type", "ts", "value", "1 hour", late="3 hours")), [])
+
+
+_register(stream_windows_late, f"SELECT * FROM ({SQL['event_tumbling']}) WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 3 HOUR")
+
+
+def stream_running(spark, d):
+    """Running metrics of a stream of chunks of clips, as they stand at the end."""
+    place = scratch(spark, "chunks")
+    parts = windows.chunks(clips(spark, d), 0.3).select(F.col("clip_id").cast("string").alias("clip_id"), "chunk_no", F.get("channels", F.lit(0)).alias("samples"))
+    parts.write.parquet(place)
+    stream = windows.read_stream(spark, place, "clip_id string, chunk_no int, samples array<double>")
+    return rounded(windows.run_to_end(windows.running_metrics(stream), "update"), ["clip_id"])
+
+
+_register(stream_running, """WITH s AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), l AS (SELECT *, lag(x) OVER (PARTITION BY vec_id ORDER BY i) AS p FROM s)
+SELECT CAST(vec_id AS VARCHAR) AS clip_id, count(*) AS n, round(avg(x * x), 6) AS mean_square, round(min(x), 6) AS low, round(max(x), 6) AS high, round(sum(CASE WHEN sign(x) * sign(p) < 0 THEN 1 ELSE 0 END) / (count(*) - 1), 6) AS zero_crossing_rate FROM l GROUP BY vec_id""")

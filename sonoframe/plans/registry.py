@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_nested", "queries_signal", "queries_speech")
+MODULES = ("queries_nested", "queries_signal", "queries_speech", "queries_sources")
 
 
 def _gathered(what: str) -> dict:

@@ -8,6 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonoframe.sources.files import file_system, is_directory, open_file
+
 FORMATS = ("parquet", "json", "csv", "arrow", "sql")
 
 
@@ -20,10 +22,7 @@ def read_dataset(spark: SparkSession, path: str, split: str | None = None, strea
         raise RuntimeError(f"can't read {path}: unknown format {kind!r}")
     where = f"{path}/{split}" if split and split != "all" else path
     if kind == "arrow":
-        import pyarrow as pa
-
-        with pa.memory_map(where) as source:
-            return spark.createDataFrame(pa.ipc.open_file(source).read_all())
+        return _read_arrow(spark, where)
     reader = spark.readStream if streaming else spark.read
     reader = reader.schema(schema) if schema else reader
     if kind == "csv":
@@ -33,8 +32,8 @@ def read_dataset(spark: SparkSession, path: str, split: str | None = None, strea
 
 
 def save_dataset(df: DataFrame, directory: str, name: str, kind: str = "parquet", mode: str = "overwrite", jdbc: dict | None = None) -> str:
-    """Writes a dataset and gives its path: Parquet, JSON lines and CSV from the executors; ``arrow`` as one IPC file
-    (through the driver, for small tables); ``sql`` through JDBC (``jdbc`` has url, driver and further options)."""
+    """Writes a dataset and gives its path: all from the executors: Parquet, JSON lines, CSV, ``arrow`` as a folder of IPC
+    files; ``sql`` through JDBC (``jdbc`` has url, driver and further options)."""
     if kind not in FORMATS:
         raise ValueError(f"unknown format {kind!r}")
     path = f"{directory}/{name}.{kind}"
@@ -43,12 +42,7 @@ def save_dataset(df: DataFrame, directory: str, name: str, kind: str = "parquet"
             raise ValueError("JDBC options are needed")
         df.write.format("jdbc").options(dbtable=name, **jdbc).mode(mode).save()
     elif kind == "arrow":
-        import pyarrow as pa
-
-        os.makedirs(directory, exist_ok=True)
-        table = df.toArrow()
-        with pa.OSFile(path, "wb") as sink, pa.ipc.new_file(sink, table.schema) as writer:
-            writer.write_table(table)
+        _write_arrow(df, path)
     elif kind == "csv":
         df.write.mode(mode).option("header", True).csv(path)
     else:
@@ -56,10 +50,62 @@ def save_dataset(df: DataFrame, directory: str, name: str, kind: str = "parquet"
     return path
 
 
+def _read_arrow(spark: SparkSession, path: str) -> DataFrame:
+    """IPC files (one, or a folder of them), each read on an executor; the schema is that of the first."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    def batches(parts):
+        import pyarrow as pa
+
+        for part in parts:
+            for content in part.column("content"):
+                yield from pa.ipc.open_file(content.as_buffer()).read_all().to_batches()
+
+    files = spark.read.format("binaryFile").load(path)
+    first = files.orderBy("path").select("path").first()
+    if first is None:
+        raise RuntimeError(f"no files in {path}")
+    import pyarrow as pa
+
+    with open_file(first.path) as source:
+        schema = pa.ipc.open_file(source).schema
+    return files.select("content").mapInArrow(batches, from_arrow_schema(schema))
+
+
+def _write_arrow(df: DataFrame, folder: str) -> None:
+    """An IPC file per partition, whole or not there at all; what lay there before is removed."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    names = df.columns
+
+    def write(parts):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        context, rows, writer = TaskContext.get(), 0, None
+        target = f"{folder}/part-{context.partitionId():05}.arrow"
+        part = f"{target}.{context.taskAttemptId()}.part"
+        for batch in parts:
+            if writer is None:
+                sink = open_file(part, "wb")
+                writer = pa.ipc.new_file(sink, batch.schema)
+            writer.write_batch(batch)
+            rows += batch.num_rows
+        if writer is not None:
+            writer.close()
+            sink.close()
+            system, where = file_system(part)
+            system.move(where, file_system(target)[1])
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["n"])
+
+    df.select(*names).mapInArrow(write, "n bigint").agg(F.sum("n")).collect()  # one number
+
+
 def read_mirror(spark: SparkSession, mirror: str, repository: str, revision: str = "main", split: str = "all") -> DataFrame:
     """A dataset of a hub from a local mirror ``mirror/repository/revision[/split]``; a missing one raises."""
     path = f"{mirror}/{repository}/{revision}"
-    if not os.path.isdir(path):
+    if not is_directory(spark, path):
         raise RuntimeError(f"no mirror of {repository} at {revision}")
     return read_dataset(spark, path, split)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,33 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/*(?=/)", "")
 
 
+def is_directory(spark: SparkSession, path: str) -> bool:
+    """Asks the file system that the path belongs to, whichever it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(system.exists(where) and system.getFileStatus(where).isDirectory())
+
+
+def open_file(path: str, mode: str = "rb"):
+    """A file of any file system that Arrow knows, for code on executors; ``wb`` makes missing folders."""
+    from pyarrow import fs
+
+    system, where = file_system(path)
+    if mode == "rb":
+        return system.open_input_file(where)
+    if isinstance(system, fs.LocalFileSystem):
+        os.makedirs(os.path.dirname(where) or ".", exist_ok=True)
+    return system.open_output_stream(where)
+
+
+def file_system(path: str):
+    """Arrow's file system of a path, and the path within it."""
+    from pyarrow import fs
+
+    local = re.sub("^file:/*(?=/)", "", path)
+    return fs.FileSystem.from_uri(path) if "://" in local else (fs.LocalFileSystem(), local)
+
+
 def file_type(path: Column) -> Column:
     """``audio`` or ``video`` by extension; another one raises."""
     ext = F.lower(extension(path))
@@ -51,7 +79,7 @@ def _empty(spark: SparkSession) -> DataFrame:
 def audio_files(spark: SparkSession, directory: str, extensions: Iterable[str] = AUDIO_EXTENSIONS, recursive: bool = True) -> DataFrame:
     """Audio files of a directory, sorted, each once. Suffixes match in lower or in upper case, not mixed. A missing
     directory, or a path that is none, gives no rows."""
-    if not os.path.isdir(directory):
+    if not is_directory(spark, directory):
         return _empty(spark)
     exts = [x for e in extensions for x in (e.lower(), e.upper())]
     rows = listing(spark, directory, recursive)
@@ -63,7 +91,7 @@ def list_files(
 ) -> DataFrame:
     """path and type of the files below ``root``, sorted: those with an extension of one of ``types`` or one of
     ``extensions`` (dot optional, any case), all known ones by default. Hidden files and folders only on demand."""
-    if not os.path.isdir(root):
+    if not is_directory(spark, root):
         raise ValueError(f"not a directory: {root}")
     unknown = set(types or ()) - set(FILE_TYPES)
     if unknown:
@@ -72,7 +100,9 @@ def list_files(
     known = {e for exts in FILE_TYPES.values() for e in exts}
     rows = listing(spark, root).where(F.lower(extension(F.col("path"))).isin(*((wanted & known) if wanted else known)))
     if not include_hidden:
-        below = F.substring(F.col("path"), len(os.path.realpath(root).rstrip("/")) + 1, 1_000_000)
+        top = spark._jvm.org.apache.hadoop.fs.Path(root)
+        top = top.getFileSystem(spark._jsc.hadoopConfiguration()).resolvePath(top).toString()
+        below = F.substring(F.col("path"), len(re.sub("^file:/*(?=/)", "", top).rstrip("/")) + 1, 1_000_000)
         rows = rows.where(~below.rlike(r"/\."))
     return rows.select("path", file_type(F.col("path")).alias("type")).orderBy("path")
 

@@ -8,7 +8,8 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.sources.files import plain_path
+from sonoframe.functions.arrow import signals
+from sonoframe.sources.files import file_system, open_file, plain_path
 
 
 def parse_header(content: bytes) -> dict | None:
@@ -138,18 +139,18 @@ def save_clips(clips: DataFrame, bits: int = 16) -> DataFrame:
     n_bytes. A file is written under another name first and then renamed, so a repeated task leaves whole files."""
 
     def write(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
             sizes = []
-            for path, rate, ch in zip(batch["path"], batch["sampling_rate"], batch["channels"], strict=True):
-                body = encode([list(c) for c in ch], int(rate), bits)
-                os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+            for path, rate, ch in zip(batch.column("path").to_pylist(), batch.column("sampling_rate").to_pylist(), signals(batch.column("channels")), strict=True):
+                body = encode([[]] if ch is None else ch, int(rate), bits)
                 part = f"{path}.{os.getpid()}.part"
-                with open(part, "wb") as file:
+                with open_file(part, "wb") as file:
                     file.write(body)
-                os.replace(part, path)
+                system, where = file_system(path)
+                system.move(file_system(part)[1], where)
                 sizes.append(len(body))
-            yield pd.DataFrame({"path": batch["path"], "n_bytes": sizes})
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64())], ["path", "n_bytes"])
 
-    return clips.select("path", "sampling_rate", "channels").mapInPandas(write, "path string, n_bytes bigint")
+    return clips.select("path", "sampling_rate", "channels").mapInArrow(write, "path string, n_bytes bigint")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sonoframe.functions.arrays import piece, starts
 from sonoframe.operators.frames import n_samples
+from sonoframe.plans.durable import scratch
 
 
 def chunks(clips: DataFrame, seconds: float = 1.0) -> DataFrame:
@@ -26,19 +27,28 @@ def read_stream(spark: SparkSession, path: str, schema: str, kind: str = "parque
     return reader.load(path)
 
 
+def _timely(rows: DataFrame, at: str, late: str | None) -> tuple[DataFrame, str]:
+    """With a watermark if asked for, and the type of times. Watermarks need a time with a zone, so one without is taken
+    to be in the session's; results have the type that came."""
+    kind = dict(rows.dtypes)[at]
+    if not late:
+        return rows, kind
+    return rows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late), kind
+
+
 def event_windows(events: DataFrame, key: str, at: str, value: str, size: str, step: str | None = None, late: str | None = None) -> DataFrame:
     """key, window_start, window_end, n, total, low, high per tumbling (no step) or sliding window; with ``late`` rows
     later than that behind the newest are dropped and old windows are let go."""
-    rows = events.withWatermark(at, late) if late else events
+    rows, kind = _timely(events, at, late)
     out = rows.groupBy(key, F.window(at, size, step).alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.min(value).alias("low"), F.max(value).alias("high"))
-    return out.select(key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "total", "low", "high")
+    return out.select(key, F.col("w.start").cast(kind).alias("window_start"), F.col("w.end").cast(kind).alias("window_end"), "n", "total", "low", "high")
 
 
 def sessions(events: DataFrame, key: str, at: str, gap: str, late: str | None = None) -> DataFrame:
     """key, session_start, session_end, n: events no further apart than ``gap``."""
-    rows = events.withWatermark(at, late) if late else events
+    rows, kind = _timely(events, at, late)
     out = rows.groupBy(key, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n"))
-    return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+    return out.select(key, F.col("w.start").cast(kind).alias("session_start"), F.col("w.end").cast(kind).alias("session_end"), "n")
 
 
 STATE = "n bigint, total double, squares double, low double, high double, crossings bigint, last double, last_no bigint"
@@ -70,11 +80,15 @@ def running_metrics(stream: DataFrame) -> DataFrame:
     return stream.groupBy("clip_id").applyInPandasWithState(step, RUNNING, STATE, "update", "NoTimeout")
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there now and gives the result table of the memory sink; for tests and small data."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now, and gives its result: all batches together, or the last one in ``complete``
+    mode. State and results lie in the shared folder; a batch that is repeated replaces what it wrote."""
+    spark = stream.sparkSession
+    place = scratch(spark, "stream")
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{place}/rows/batch={0 if mode == 'complete' else number}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows").select(*stream.columns)

@@ -477,7 +477,7 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     for k in range(4):
         spark.createDataFrame([r for r in rows if r[1] == k], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
     stream = windows.running_metrics(windows.read_stream(spark, str(tmp_path / "s"), schema))
-    got = {r.clip_id: r for r in windows.run_to_end(stream, "running", "update", str(tmp_path / "cp")).orderBy("n").collect()}
+    got = {r.clip_id: r for r in windows.run_to_end(stream, "update").orderBy("n").collect()}
     for c in range(3):
         x = np.concatenate([r[2] for r in rows if r[0] == f"c{c}"])
         assert got[f"c{c}"].n == 20 and got[f"c{c}"].mean_square == pytest.approx((x * x).mean())
