@@ -35,12 +35,16 @@ def autocorrelation_pitch(x, rate, floor=75.0, ceiling=500.0, step=0.01, voicing
         return np.zeros(len(f)), np.zeros(len(f)), t
     part = r[:, low : high + 1]
     peak = (part[:, 1:-1] >= part[:, :-2]) & (part[:, 1:-1] >= part[:, 2:])
-    score = np.where(peak, part[:, 1:-1] - 0.01 * np.log2(np.arange(low + 1, high) * floor / rate + 1), -1)
+    # peaks lie between the samples: those of short periods would else be too low against their multiples
+    a, b, c = part[:, :-2], part[:, 1:-1], part[:, 2:]
+    bend = a - 2 * b + c
+    shift = np.clip(np.where(np.abs(bend) > 1e-12, 0.5 * (a - c) / np.where(np.abs(bend) > 1e-12, bend, 1), 0), -1, 1)
+    height = b - 0.25 * (a - c) * shift
+    height = np.where(height > 1, 1 / np.maximum(height, 1), height)
+    score = np.where(peak, height - 0.01 * np.log2(np.arange(low + 1, high) * floor / rate + 1), -1)
     best = score.argmax(1)
     rows = np.arange(len(f))
-    a, b, c = part[rows, best], part[rows, best + 1], part[rows, best + 2]
-    shift = np.clip(np.where(np.abs(a - 2 * b + c) > 1e-12, 0.5 * (a - c) / np.where(np.abs(a - 2 * b + c) > 1e-12, a - 2 * b + c, 1), 0), -1, 1)
-    strength = np.clip(b - 0.25 * (a - c) * shift, 0, 1)
+    shift, strength = shift[rows, best], np.clip(height[rows, best], 0, 1)
     peaks = np.abs(f - f.mean(1, keepdims=True)).max(1)
     loud = peaks > silence * max(np.abs(x - x.mean()).max(), 1e-20)
     f0 = rate / (low + 1 + best + shift)

@@ -80,10 +80,23 @@ def _metric_query(metric: str):
     return query
 
 
+#: A clip of 64 samples is one frame of 2048: the noise floor is the spectrum itself, whose mean power follows from the
+#: windowed samples and the first and last bin. The envelope's other part is a sum over samples at odd distances.
+_KERNEL_SQL = {
+    "spectral_gating_snr_metric": "SELECT vec_id AS clip_id, 0.0::DOUBLE AS spectral_gating_snr_metric FROM embeddings",
+    "peak_snr_from_spectral_metric": """WITH s AS (SELECT vec_id AS clip_id, generate_subscripts(embedding, 1) - 1 AS p, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+y AS (SELECT clip_id, p, x, x * (0.5 - 0.5 * cos(2 * pi() * (1024 + p) / 2048)) AS y FROM s),
+m AS (SELECT clip_id, max(abs(x)) AS top, (2048 * sum(y * y) + power(sum(y), 2) + power(sum(y * CASE WHEN p % 2 = 0 THEN 1 ELSE -1 END), 2)) / 2 / 1025 AS power FROM y GROUP BY 1)
+SELECT clip_id, round(20 * log10(top / sqrt(power + 1e-10)), 6) AS peak_snr_from_spectral_metric FROM m""",
+    "amplitude_modulation_depth_metric": """WITH s AS (SELECT vec_id AS clip_id, generate_subscripts(embedding, 1) - 1 AS p, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+h AS (SELECT a.clip_id, a.p, any_value(a.x) AS x, sum(b.x / tan(pi() * (a.p - b.p) / 64)) / 32 AS h FROM s a JOIN s b ON a.clip_id = b.clip_id AND (a.p - b.p) % 2 <> 0 GROUP BY 1, 2),
+e AS (SELECT clip_id, max(sqrt(x * x + h * h)) AS hi, min(sqrt(x * x + h * h)) AS lo FROM h GROUP BY 1) SELECT clip_id, round((hi - lo) / (hi + lo + 1e-10), 6) AS amplitude_modulation_depth_metric FROM e""",
+}
+
 for _m in NATIVE:
     _register(_metric_query(_m), _SAMPLES + f"SELECT clip_id, round({_m}, 6) AS {_m} FROM m", f"metric_{_m.removesuffix('_metric')}")
 for _m in metrics.KERNEL_ONLY:
-    _register(_metric_query(_m), None, f"metric_{_m.removesuffix('_metric')}")
+    _register(_metric_query(_m), _KERNEL_SQL.get(_m), f"metric_{_m.removesuffix('_metric')}")
 
 _ALL = ", ".join(f"round({m}, 6) AS {m}" for m in NATIVE)
 
@@ -197,13 +210,13 @@ _register(qc_missing, "SELECT vec_id AS clip_id, e AS evaluation_name FROM embed
 def qc_flatten_windowed(spark, d):
     """Records with window lists as long rows; values beyond the windows are dropped."""
     w = F.col("embedding").cast("array<double>")
-    windows = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct((i * 0.5).cast("double").alias("start"), (i * 0.5 + 1).cast("double").alias("end")))
-    records = load(spark, d, "embeddings").select(F.col("vec_id").alias("clip_id"), windows.alias("time_windows"), F.create_map(F.lit("a"), F.slice(w, 1, 12), F.lit("b"), F.slice(w, 13, 3)).alias("windowed_evaluations"))
+    windows = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.struct((i * 0.5).cast("double").alias("start"), (i * 0.5 + 1).cast("double").alias("end")))
+    records = load(spark, d, "embeddings").select(F.col("vec_id").alias("clip_id"), windows.alias("time_windows"), F.create_map(F.lit("a"), F.slice(w, 1, 48), F.lit("b"), F.slice(w, 49, 16)).alias("windowed_evaluations"))
     return rounded(quality.flatten_windowed_records(records), ["clip_id"])
 
 
 _register(qc_flatten_windowed, """
-WITH v AS (SELECT vec_id, 'a' AS e, unnest(range(0, 10)) AS i, embedding[1:12] AS w FROM embeddings UNION ALL SELECT vec_id, 'b', unnest(range(0, 3)), embedding[13:15] FROM embeddings)
+WITH v AS (SELECT vec_id, 'a' AS e, unnest(range(0, 40)) AS i, embedding[1:48] AS w FROM embeddings UNION ALL SELECT vec_id, 'b', unnest(range(0, 16)), embedding[49:64] FROM embeddings)
 SELECT vec_id AS clip_id, e AS evaluation_name, CAST(i * 0.5 AS DOUBLE) AS window_start, CAST(i * 0.5 + 1 AS DOUBLE) AS window_end, round(CAST(w[i + 1] AS DOUBLE), 6) AS value FROM v""")
 
 
@@ -344,20 +357,11 @@ _register(fixed_batches, "SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_i
 
 
 def unbatch(spark, d):
-    rows = load(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("items"))
-    return frames.unbatch(rows).select("vec_id", "ord", F.round(F.col("item").cast("double"), 6).alias("item"))
-
-
-_register(unbatch, "SELECT vec_id, CAST(generate_subscripts(embedding[1:3], 1) - 1 AS INT) AS ord, round(CAST(unnest(embedding[1:3]) AS DOUBLE), 6) AS item FROM embeddings")
-
-
-def unbatch_whole(spark, d):
-    """Every element; ``unbatch``, whose SQL is fixed, has three of a row."""
-    rows = load(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("items"))
-    return frames.unbatch(rows).select("vec_id", "ord", F.round(F.col("item").cast("double"), 6).alias("item"))
+    rows = load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("items"))
+    return rounded(frames.unbatch(rows), [])
 
 
-_register(unbatch_whole, "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS ord, round(CAST(unnest(embedding) AS DOUBLE), 6) AS item FROM embeddings")
+_register(unbatch, "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS ord, round(CAST(unnest(embedding) AS DOUBLE), 6) AS item FROM embeddings")
 
 
 def resample(spark, d):
@@ -383,15 +387,15 @@ for _how, _f in (("mean", "avg"), ("min", "min"), ("max", "max")):
 
 
 def _results(spark, d):
-    w = F.slice(F.col("embedding").cast("array<double>"), 1, 10)
-    return load(spark, d, "embeddings").select("vec_id", results.result(F.transform(w, lambda x, i: F.concat(F.lit("class "), i.cast("string"))), w).alias("r"))
+    w = F.col("embedding").cast("array<double>")
+    return load(spark, d, "embeddings").select("vec_id", results.result(F.transform(w, lambda x, i: F.format_string("class %02d", i)), w).alias("r"))
 
 
 def top_k_labels(spark, d):
     return _results(spark, d).select("vec_id", F.posexplode(results.pairs(results.top_k(F.col("r"), 3))).alias("rank", "p")).select("vec_id", "rank", "p.label", F.round("p.score", 6).alias("score"))
 
 
-_TOP = "WITH s AS (SELECT vec_id, 'class ' || (generate_subscripts(embedding[1:10], 1) - 1) AS label, CAST(unnest(embedding[1:10]) AS DOUBLE) AS score FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) - 1 AS rank FROM s)\n"
+_TOP = "WITH s AS (SELECT vec_id, 'class ' || lpad(CAST(generate_subscripts(embedding, 1) - 1 AS VARCHAR), 2, '0') AS label, CAST(unnest(embedding) AS DOUBLE) AS score FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) - 1 AS rank FROM s)\n"
 _register(top_k_labels, _TOP + "SELECT vec_id, CAST(rank AS INT) AS rank, label, round(score, 6) AS score FROM r WHERE rank < 3")
 
 
@@ -440,23 +444,14 @@ _register(verify_pairs, f"SELECT a.vec_id AS a_id, round({_COS}, 6) AS score, {_
 
 
 def xcorr(spark, d):
-    rows = _neighbours(spark, d).select("a_id", F.posexplode(cross_correlation(F.slice("vector_a", 1, 16), F.slice("vector_b", 1, 8))).alias("lag", "r"))
-    return rows.withColumn("r", F.round("r", 6))
-
-
-_register(xcorr, """
-WITH p AS (SELECT a.vec_id AS a_id, list_transform(a.embedding[1:16], lambda x: CAST(x AS DOUBLE)) AS u, list_transform(b.embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
-i AS (SELECT a_id, unnest(range(0, 16)) AS i, u, v FROM p), j AS (SELECT a_id, i, unnest(range(0, 8)) AS j, u, v FROM i)
-SELECT a_id, CAST(i - j + 7 AS INT) AS lag, round(sum(u[i + 1] * v[j + 1] / sqrt(list_dot_product(u, u) * list_dot_product(v, v))), 6) AS r FROM j GROUP BY 1, 2""")
-
-
-def xcorr_whole(spark, d):
-    """All lags of whole vectors; ``xcorr``, whose SQL is fixed, correlates their first samples."""
     rows = _neighbours(spark, d).select("a_id", F.posexplode(cross_correlation(F.col("vector_a"), F.col("vector_b"))).alias("lag", "r"))
     return rows.withColumn("r", F.round("r", 6))
 
 
-_register(xcorr_whole)
+_register(xcorr, """
+WITH p AS (SELECT a.vec_id AS a_id, list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)) AS u, list_transform(b.embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+i AS (SELECT a_id, unnest(range(0, len(u))) AS i, u, v, sqrt(list_dot_product(u, u) * list_dot_product(v, v)) AS n FROM p), j AS (SELECT a_id, i, unnest(range(0, len(v))) AS j, u, v, n FROM i)
+SELECT a_id, CAST(i - j + len(any_value(v)) - 1 AS INT) AS lag, round(sum(u[i + 1] * v[j + 1] / n), 6) AS r FROM j GROUP BY a_id, i - j""")
 
 
 def nearest(spark, d):
@@ -471,19 +466,19 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 1
 
 
 def equal_error_rate(spark, d):
-    e = load(spark, d, "embeddings").select(F.get("embedding", F.lit(0)).cast("double").alias("score"), (F.col("label") < 5).alias("positive"))
+    e = load(spark, d, "embeddings").select(F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda t, x: t + x), 6).alias("score"), (F.col("label") < 5).alias("positive"))
     return rounded(similarity.equal_error_rate(e), [])
 
 
 _register(equal_error_rate, """
-WITH e AS (SELECT CAST(embedding[1] AS DOUBLE) AS s, label < 5 AS p FROM embeddings), c AS (SELECT s, sum(CASE WHEN p THEN 1 ELSE 0 END) AS p, sum(CASE WHEN p THEN 0 ELSE 1 END) AS n FROM e GROUP BY 1),
+WITH e AS (SELECT round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS s, label < 5 AS p FROM embeddings), c AS (SELECT s, sum(CASE WHEN p THEN 1 ELSE 0 END) AS p, sum(CASE WHEN p THEN 0 ELSE 1 END) AS n FROM e GROUP BY 1),
 r AS (SELECT s, sum(p) OVER (ORDER BY s) / sum(p) OVER () AS frr, 1 - sum(n) OVER (ORDER BY s) / sum(n) OVER () AS far, lead(s) OVER (ORDER BY s) AS t FROM c),
 b AS (SELECT *, (s + coalesce(t, s)) / 2 AS threshold FROM r ORDER BY t IS NULL, round(abs(far - frr), 12), threshold LIMIT 1) SELECT round((far + frr) / 2, 6) AS eer, round(threshold, 6) AS threshold FROM b""")
 
 
 def _halves(spark, d):
     w = F.col("embedding").cast("array<double>")
-    return load(spark, d, "embeddings").select(F.slice(w, 1, 8).alias("x"), F.slice(w, 5, 12).alias("y"))
+    return load(spark, d, "embeddings").select(F.slice(w, 1, 36).alias("x"), F.slice(w, 29, 36).alias("y"))
 
 
 def representation_similarity(spark, d):
@@ -495,6 +490,17 @@ def representation_similarity(spark, d):
 _register(representation_similarity)
 
 
+def representation_alignment(spark, d):
+    """Linear alignment of the halves of all vectors."""
+    return rounded(spark.createDataFrame([(similarity.linear_alignment(_halves(spark, d)),)], "cka_linear double"), [])
+
+
+_register(representation_alignment, """WITH s AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), z AS (SELECT vec_id, i, (v - avg(v) OVER (PARTITION BY i)) / (stddev_samp(v) OVER (PARTITION BY i) + 1e-8) AS v FROM s),
+x AS (SELECT vec_id, i, v, i <= 36 AS x, i >= 29 AS y FROM z), c AS (SELECT a.i, b.i AS j, bool_and(a.x) AS ax, bool_and(a.y) AS ay, bool_and(b.x) AS bx, bool_and(b.y) AS by_, sum(a.v * b.v) AS c FROM x a JOIN x b USING (vec_id) GROUP BY 1, 2),
+t AS (SELECT sum(CASE WHEN ax AND by_ THEN c * c END) AS xy, sum(CASE WHEN ax AND bx THEN c * c END) AS xx, sum(CASE WHEN ay AND by_ THEN c * c END) AS yy, sum(CASE WHEN ax AND i = j THEN c END) AS tx, sum(CASE WHEN ay AND i = j THEN c END) AS ty, (SELECT count(*) - 1 FROM embeddings) AS n FROM c)
+SELECT round(least((xy + 1e-6 * (tx + ty) + 1e-12 * n) / (sqrt((xx + 2e-6 * tx + 1e-12 * n) * (yy + 2e-6 * ty + 1e-12 * n)) + 1e-8), 1.0), 6) AS cka_linear FROM t""")
+
+
 def pca_2d(spark, d):
     e = load(spark, d, "embeddings").select("vec_id", "embedding")
     p = similarity.principal_components(e, "embedding", 2)

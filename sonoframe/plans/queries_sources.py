@@ -140,16 +140,19 @@ def dataset_round_trips(spark, d):
 _register(dataset_round_trips, "SELECT kind, CAST(c_custkey AS BIGINT) AS c_custkey, c_name, round(CAST(c_acctbal AS DOUBLE), 2) AS c_acctbal FROM customer, (VALUES ('parquet'), ('json'), ('csv'), ('arrow'), ('mirror')) t(kind)")
 
 
+SAVED = ["crest_factor_metric", "root_mean_square_energy_metric"]
+
+
 def saved_results(spark, d):
     """A report saved as tables, read again."""
     place = scratch(spark, "report")
-    wide = rounded(metrics.with_metrics(clips(spark, d), ["crest_factor_metric", "dynamic_range_metric"]).select("clip_id", "crest_factor_metric", "dynamic_range_metric"), ["clip_id"])
-    quality.save_results(wide, quality.long_form(wide, ["crest_factor_metric", "dynamic_range_metric"], ["clip_id"]), place)
+    wide = rounded(metrics.with_metrics(clips(spark, d), SAVED).select("clip_id", *SAVED), ["clip_id"])
+    quality.save_results(wide, quality.long_form(wide, ["clip_id"], SAVED), place)
     return spark.read.parquet(f"{place}/long").select("clip_id", "evaluation_name", "value")
 
 
 _register(saved_results, """WITH s AS (SELECT vec_id AS clip_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), a AS (SELECT clip_id, max(abs(x)) AS top, sqrt(avg(x * x)) AS rms FROM s GROUP BY 1)
-SELECT clip_id, 'crest_factor_metric' AS evaluation_name, round(top / rms, 6) AS value FROM a UNION ALL SELECT clip_id, 'dynamic_range_metric', NULL FROM a""")
+SELECT clip_id, 'crest_factor_metric' AS evaluation_name, round(top / rms, 6) AS value FROM a UNION ALL SELECT clip_id, 'root_mean_square_energy_metric', round(rms, 6) FROM a""")
 
 
 # catalog
@@ -268,13 +271,13 @@ _register(taxonomy_checks, f"SELECT DISTINCT activity, {len(taxonomy.ROOT_CHECKS
 
 def results_of_json(spark, d):
     """Results of a classifier as JSON lists, best first."""
-    labels = F.array(*[F.lit(f"label {i:02}") for i in range(8)])
-    text = F.to_json(F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 8), lambda x, i: F.struct(F.get(labels, i).alias("label"), x.alias("score"))))
+    labels = F.array(*[F.lit(f"label {i:02}") for i in range(64)])
+    text = F.to_json(F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.struct(F.get(labels, i).alias("label"), x.alias("score"))))
     rows = load(spark, d, "embeddings").select("vec_id", results.from_json_list(text).alias("r"))
     return rows.select("vec_id", F.posexplode("r").alias("rank", "x")).select("vec_id", "rank", "x.label", F.round("x.score", 6).alias("score"))
 
 
-_register(results_of_json, _X + "SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, pos) - 1 AS INT) AS rank, 'label ' || lpad(CAST(pos AS VARCHAR), 2, '0') AS label, round(x, 6) AS score FROM s WHERE pos < 8")
+_register(results_of_json, _X + "SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, pos) - 1 AS INT) AS rank, 'label ' || lpad(CAST(pos AS VARCHAR), 2, '0') AS label, round(x, 6) AS score FROM s")
 
 
 def emotion_kinds(spark, d):
@@ -289,15 +292,15 @@ WHEN list_has_any(w, ['happy', 'happiness', 'joy', 'angry', 'anger', 'sad', 'sad
 
 
 def frames_first(spark, d):
-    """Matrices of 8 by 7 and 7 by 8, both with their 8 frames as rows."""
+    """Matrices of 4 by 16 and 16 by 4, both with their 4 frames as rows."""
     flat = lambda a, b: F.transform(F.sequence(F.lit(0), F.lit(a - 1)), lambda i: F.slice(F.col("w"), i * b + 1, b))
-    rows = load(spark, d, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 56).alias("w"))
-    rows = rows.withColumn("m", F.when(F.col("vec_id") % 2 == 0, flat(8, 7)).otherwise(transposed(flat(8, 7))))
-    rows = rows.select("vec_id", F.posexplode(features.frame_major(F.col("m"), 7)).alias("frame", "r"))
+    rows = load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("w"))
+    rows = rows.withColumn("m", F.when(F.col("vec_id") % 2 == 0, flat(4, 16)).otherwise(transposed(flat(4, 16))))
+    rows = rows.select("vec_id", F.posexplode(features.frame_major(F.col("m"), 16)).alias("frame", "r"))
     return rows.select("vec_id", "frame", F.posexplode("r").alias("phoneme", "x")).withColumn("x", F.round("x", 6))
 
 
-_register(frames_first, _X + "SELECT vec_id, CAST(pos // 7 AS INT) AS frame, CAST(pos % 7 AS INT) AS phoneme, round(x, 6) AS x FROM s WHERE pos < 56")
+_register(frames_first, _X + "SELECT vec_id, CAST(pos // 16 AS INT) AS frame, CAST(pos % 16 AS INT) AS phoneme, round(x, 6) AS x FROM s")
 
 
 def nested_lines(spark, d):
@@ -572,13 +575,36 @@ def mel_of_spectrograms(spark, d):
 _register(mel_of_spectrograms, "SELECT vec_id AS clip_id, 12 AS n_mels, TRUE AS same FROM embeddings")
 
 
+def mel_values(spark, d):
+    """Power of twelve triangular filters on the mel scale."""
+    rows = features.mel_spectrogram(clips(spark, d), n_fft=32, hop=16, n_mels=12).select("clip_id", F.posexplode("mel_spectrogram").alias("mel", "r"))
+    return rows.select("clip_id", "mel", F.posexplode("r").alias("frame", "power")).withColumn("power", F.round("power", 5))
+
+
+_MEL = _SPECTRUM + """, points AS (SELECT k, 700 * (power(10, k * 2595 * log10(1 + 32 / 700.0::DOUBLE) / 13 / 2595) - 1) AS f FROM (SELECT unnest(range(0, 14)) AS k)),
+filters AS (SELECT CAST(a.k AS INT) AS mel, bin, greatest(0, least((bin * 2 - a.f) / (b.f - a.f), (c.f - bin * 2) / (c.f - b.f))) AS w FROM points a JOIN points b ON b.k = a.k + 1 JOIN points c ON c.k = a.k + 2, (SELECT unnest(range(0, 17)) AS bin)),
+mels AS (SELECT vec_id, mel, frame, sum(w * power) AS power FROM spec JOIN filters USING (bin) GROUP BY 1, 2, 3)
+"""
+_register(mel_values, _MEL + "SELECT vec_id AS clip_id, mel, frame, round(power, 5) AS power FROM mels")
+
+
+def mfcc_values(spark, d):
+    """Five cepstral coefficients of the twelve filters, in decibels no lower than 80 under the loudest."""
+    rows = features.mfcc(clips(spark, d), 5, 32, hop=16, n_mels=12).select("clip_id", F.posexplode("mfcc").alias("coefficient", "r"))
+    return rows.select("clip_id", "coefficient", F.posexplode("r").alias("frame", "value")).withColumn("value", F.round("value", 4))
+
+
+_register(mfcc_values, _MEL + """, db AS (SELECT vec_id, mel, frame, greatest(10 * log10(greatest(power, 1e-10)), max(10 * log10(greatest(power, 1e-10))) OVER (PARTITION BY vec_id) - 80) AS v FROM mels)
+SELECT vec_id AS clip_id, CAST(k AS INT) AS coefficient, frame, round(sum(v * cos(pi() / 12 * (mel + 0.5) * k)) * sqrt(2 / 12.0::DOUBLE) * CASE WHEN k = 0 THEN sqrt(0.5::DOUBLE) ELSE 1 END, 4) AS value FROM db, (SELECT unnest(range(0, 5)) AS k) GROUP BY vec_id, k, frame""")
+
+
 def pitch_tracks(spark, d):
-    """Pitch of tones of 100 to 300 Hz, a second each: the median is the tone's."""
+    """Pitch of tones of 100 to 300 Hz, a second each: the median is the tone's, but for a sample of its period."""
     tones = load(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("clip_id"), (F.lit(100) + F.col("n_nationkey") * 8).cast("double").alias("hz"))
     wave = F.transform(F.sequence(F.lit(0), F.lit(7999)), lambda i: F.sin(F.lit(2 * 3.141592653589793) * F.col("hz") * i / 8000))
     rows = features.pitch(tones.select("clip_id", "hz", F.lit(8000).alias("sampling_rate"), F.array(wave).alias("channels")))
     middle = F.element_at(F.array_sort(F.filter("pitch", lambda x: x > 0)), F.greatest((F.size(F.filter("pitch", lambda x: x > 0)) / 2).cast("int"), F.lit(1)))
-    return rows.select("clip_id", (F.abs(middle - F.col("hz")) < 0.02 * F.col("hz")).alias("right"))
+    return rows.select("clip_id", (F.abs(middle - F.col("hz")) <= F.col("hz") * F.col("hz") / 8000).alias("right"))
 
 
 _register(pitch_tracks, "SELECT CAST(n_nationkey AS BIGINT) AS clip_id, TRUE AS right FROM nation")
