@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonoframe.plans.durable import durable
+
 INCLUDE, EXCLUDE, ABSTAIN = 1, 0, -1
 
 #: Texts that count as true (fixed values).
@@ -81,30 +83,63 @@ def majority(columns: list[str]) -> Column:
     return F.when(of(INCLUDE) >= of(EXCLUDE), INCLUDE).otherwise(EXCLUDE)
 
 
+#: Vote patterns that the driver takes, at most.
+PATTERNS = 50_000
+
+
 def fit_label_model(voted: DataFrame, columns: list[str], rounds: int = 50) -> tuple[float, dict[str, tuple[float, float]]]:
     """(share of includes, {vote column: (chance of voting include on an include, on an exclude)}).
 
-    Expectation maximization over the counts of vote patterns: independent voters, majority as the start. The driver
-    sees a row per pattern that occurs, at most 3 to the power of the number of columns and no more than there are rows.
+    Expectation maximization over the counts of vote patterns: independent voters, majority as the start. Where there
+    are more than PATTERNS patterns, a round is a pass over them on the executors, whose sums are two numbers per column
+    and side; otherwise the driver has them. Both give the same.
     """
     import numpy as np
 
-    rows = voted.groupBy(*columns).count().collect()
+    patterns = voted.groupBy(*columns).agg(F.count("*").alias("_n"))
+    rows = patterns.limit(PATTERNS + 1).collect()
     if not rows:
         return 0.5, {c: (0.5, 0.5) for c in columns}
-    v = np.array([[r[c] for c in columns] for r in rows])
-    n = np.array([r["count"] for r in rows], dtype=float)
-    inc, exc, cast = v == INCLUDE, v == EXCLUDE, v != ABSTAIN
-    q = np.where(inc.sum(1) >= exc.sum(1), 0.9, 0.1)
+    far = durable(patterns) if len(rows) > PATTERNS else None
+    near = None if far is not None else (np.array([[r[c] for c in columns] for r in rows]), np.array([r["_n"] for r in rows], dtype=float))
+    model = None
     for _ in range(rounds):
-        share = (n * q).sum() / n.sum()
-        chance = []
-        for w in (n * q, n * (1 - q)):
-            seen = (w[:, None] * cast).sum(0)
-            chance.append(((w[:, None] * inc).sum(0) + 1) / (seen + 2))
+        sums = _vote_sums(*near, model) if far is None else _far_vote_sums(far, columns, model)
+        model = (sums[0] / sums[1], [(sums[2 + i] + 1) / (sums[4 + i] + 2) for i in range(2)])
+    share, chance = model
+    return float(np.max(share)), {c: (float(a), float(b)) for c, a, b in zip(columns, *chance, strict=True)}
+
+
+def _vote_sums(v, n, model):
+    """Rows of a number per column: weight of includes, of all; votes to include and votes cast, on includes and excludes."""
+    import numpy as np
+
+    inc, exc, cast = v == INCLUDE, v == EXCLUDE, v != ABSTAIN
+    if model is None:
+        q = np.where(inc.sum(1) >= exc.sum(1), 0.9, 0.1)
+    else:
+        share, chance = float(np.max(model[0])), model[1]
         logs = [np.log(s) + (inc * np.log(c) + exc * np.log(1 - c)).sum(1) for s, c in zip((max(share, 1e-9), max(1 - share, 1e-9)), chance, strict=True)]
         q = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -50, 50)))
-    return float(share), {c: (float(a), float(b)) for c, a, b in zip(columns, *chance, strict=True)}
+    sides = (n * q, n * (1 - q))
+    every = np.ones(v.shape[1])
+    return np.stack([every * sides[0].sum(), every * n.sum(), *[(w[:, None] * inc).sum(0) for w in sides], *[(w[:, None] * cast).sum(0) for w in sides]])
+
+
+def _far_vote_sums(patterns: DataFrame, columns: list[str], model):
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        total = np.zeros((6, len(columns)))
+        for b in batches:
+            total += _vote_sums(b[columns].to_numpy(), b["_n"].to_numpy(dtype=float), model)
+        yield pd.DataFrame({"i": np.arange(total.size), "x": total.ravel()})
+
+    flat = np.zeros(6 * len(columns))
+    for r in patterns.mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+        flat[r.i] = r.x
+    return flat.reshape(6, -1)
 
 
 def predict(columns: list[str], model: tuple[float, dict[str, tuple[float, float]]]) -> Column:

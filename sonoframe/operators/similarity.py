@@ -15,42 +15,81 @@ def verify(pairs: DataFrame, a: str = "vector_a", b: str = "vector_b", threshold
     return pairs.withColumn("score", score).withColumn("same_speaker", F.when(F.isnan("score"), F.lit(False)).otherwise(F.col("score") > threshold))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = 4096) -> DataFrame:
+#: Numbers of the matrix of queries that is broadcast at a time, at most about (32 MB).
+QUERY_NUMBERS = 4_000_000
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, query_numbers: int | None = None) -> DataFrame:
     """query_id, clip_id, score, rank: the ``k`` most similar vectors of each query, itself left out, ties by id.
 
-    ``queries`` (query_id, vector) are held against all ``vectors`` (clip_id, vector) in blocks: both sides are cut
-    into blocks of about ``block_rows`` and each pair of blocks is multiplied as matrices in one task, which passes on
-    k rows per query.
+    ``queries`` (query_id, vector) are held against all ``vectors`` (clip_id, vector), exactly. Blocks of queries whose
+    matrix has at most ``query_numbers`` numbers are broadcast one after the other, and the vectors are streamed past them
+    where they lie: none is copied or shuffled, and a task passes on k rows per query. Null vectors take no part; a query
+    without length, or with NaN, has no neighbours, and a vector without length is nobody's.
     """
-    import pandas as pd
+    if k < 1:
+        raise ValueError("at least one neighbour")
+    q = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast("array<double>").alias("v")).where("v IS NOT NULL AND query_id IS NOT NULL")
+    v = vectors.select(F.col("clip_id").cast("string").alias("clip_id"), F.col("vector").cast("array<double>").alias("v")).where("v IS NOT NULL")
+    q = durable(q)
+    counts = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    per = max((query_numbers or QUERY_NUMBERS) // max(counts.d or 1, 1), 1)
+    blocks = max(-(-counts.n // per), 1)
+    parts = []
+    for i in range(blocks):
+        own = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        found = _nearest_of(own, v, k)
+        parts.append(found if blocks == 1 else durable(found))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def _nearest_of(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    import numpy as np
 
-    blocks = vectors.count() // block_rows + 1
-    cut = lambda df, key: F.pmod(F.xxhash64(df[key]), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    q = queries.select(F.col("query_id").cast("string").alias("id"), F.col("vector").cast("array<double>").alias("v"), F.lit(True).alias("q"), cut(queries, "query_id").alias("i"), every.alias("j"))
-    v = vectors.select(F.col("clip_id").cast("string").alias("id"), F.col("vector").cast("array<double>").alias("v"), F.lit(False).alias("q"), every.alias("i"), cut(vectors, "clip_id").alias("j"))
+    rows = queries.orderBy("query_id").collect()  # a block, bounded by QUERY_NUMBERS
+    unit = _unit_rows(np.array([r.v for r in rows], dtype="float64").reshape(len(rows), len(rows[0].v) if rows else 0))
+    shared = queries.sparkSession.sparkContext.broadcast(([r.query_id for r in rows], unit))
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+    def stream(batches):
+        import pyarrow as pa
 
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="object"), "clip_id": pd.Series(dtype="object"), "score": pd.Series(dtype="float64")})
-        a, b = pdf[pdf["q"]].reset_index(drop=True), pdf[~pdf["q"]].sort_values("id").reset_index(drop=True)
-        if not len(a) or not len(b):
-            return empty
-        unit = lambda s: (lambda m: m / np.sqrt((m * m).sum(axis=1, keepdims=True)))(np.stack(s.to_list()))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            s = unit(a["v"]) @ unit(b["v"]).T
-        s[np.isnan(s)] = -2
-        s[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = -3
-        order = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k]
-        rows = pd.DataFrame({"query_id": np.repeat(a["id"].to_numpy(), order.shape[1]), "clip_id": b["id"].to_numpy()[order.ravel()], "score": np.take_along_axis(s, order, axis=1).ravel()})
-        return rows[rows["score"] >= -1.5]
-
-    found = q.unionByName(v).groupBy("i", "j").applyInPandas(block, "query_id string, clip_id string, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "clip_id")  # blocks times k rows each
+        ids, m = shared.value
+        best = np.zeros((len(ids), 0))
+        names = np.zeros((len(ids), 0), dtype=object)
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            own = np.array(batch.column("clip_id").to_pylist(), dtype=object)
+            flat = batch.column("v")
+            w = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+            scores = np.round(m @ _unit_rows(w).T, 12)
+            scores[np.isnan(scores)] = -2
+            scores[np.array(ids, dtype=object)[:, None] == own[None, :]] = -3
+            best, names = np.hstack([best, scores]), np.hstack([names, np.broadcast_to(own, scores.shape)])
+            if best.shape[1] > k:  # those of equal score by id: sorted by id first, then stably by score
+                order = np.argsort(names, axis=1, kind="stable")
+                best, names = np.take_along_axis(best, order, 1), np.take_along_axis(names, order, 1)
+                order = np.argsort(-best, axis=1, kind="stable")[:, :k]
+                best, names = np.take_along_axis(best, order, 1), np.take_along_axis(names, order, 1)
+        i, j = np.nonzero(best > -1.5)
+        columns = [pa.array([ids[x] for x in i], pa.string()), pa.array(names[i, j].tolist(), pa.string()), pa.array(best[i, j], pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, ["query_id", "clip_id", "score"])
+
+    found = vectors.mapInArrow(stream, "query_id string, clip_id string, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "clip_id")  # k rows of each partition
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _unit_rows(m):
+    import numpy as np
+
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
 def equal_error_rate(scores: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
     """One row: eer, threshold. ``positive`` tells which rows should score high.
 
@@ -61,7 +100,7 @@ def equal_error_rate(scores: DataFrame, score: str = "score", positive: str = "p
     from sonoframe.operators.frames import numbered
 
     each = scores.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    rows = numbered(each, "s", "_at", ranges=16).withColumn("_r", F.floor(F.col("_at") / 10_000))
+    rows = numbered(each, "s", "_at").withColumn("_r", F.floor(F.col("_at") / 10_000))
     parts = rows.groupBy("_r").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"), F.min("s").alias("_s"))
     over = Window.partitionBy().orderBy("_r")  # a row per 10,000 distinct scores
     before = over.rowsBetween(Window.unboundedPreceding, -1)

@@ -496,13 +496,15 @@ def test_conversation_report_has_every_line(spark, tmp_path):
     spans = [(1, 0.0, 0.5), (1, 9.5, 23.25), (1, 3.0, 3.0), (2, 0.2, 1.7), (4, 0.0, 0.5)] + [(1, s, s + rng.random() * 9) for s in (rng.random() * 900 for _ in range(300))]
     rows = [(i, c, " a", s, e) for i, (c, s, e) in enumerate(spans)]
     spark.createDataFrame([*rows, rows[0]], "line_id bigint, clip_id bigint, speaker string, start_sec double, end_sec double").write.parquet(str(tmp_path / "diar_lines.parquet"))
-    got = [(r.original_file, r.n, r.pos, json.loads(r.segment)) for r in conversation_report(spark, str(tmp_path)).collect()]
+    got = sorted(conversation_report(spark, str(tmp_path)).collect(), key=lambda r: (r.original_file, r.start_sec or 0, r.end_sec or 0))
     wanted = sorted(s for s in spans if s[0] in vectors)
-    assert [(c, j["start"], j["end"]) for c, _, _, j in sorted(got, key=lambda x: (x[0], x[2]))] == wanted
-    assert {(c, n) for c, n, _, _ in got} == {(1, 303), (2, 1)}
-    for c, _, _, j in got:
-        x = np.tile(np.array(vectors[c], dtype="float32").astype(float), 1000)[int(j["start"] * 64) : int(j["end"] * 64)]
-        assert j["speaker_embeddings"]["stand-in"] == pytest.approx([x.mean(), np.abs(x).max()] if len(x) else [0, 0])
+    assert [(r.original_file, r.n) for r in got if r.n == 0] == [("clip 3", 0)]
+    got = [r for r in got if r.n]
+    assert [(r.original_file, r.start_sec, r.end_sec) for r in got] == [(f"clip {c}", round(a, 6), round(b, 6)) for c, a, b in wanted]
+    assert {(r.original_file, r.n) for r in got} == {("clip 1", 303), ("clip 2", 1)}
+    for r, (c, start, end) in zip(got, wanted, strict=True):
+        x = np.tile(np.array(vectors[c], dtype="float32").astype(float), 1000)[int(start * 64) : int(end * 64)]
+        assert [r.mean, r.peak] == pytest.approx([x.mean(), np.abs(x).max()] if len(x) else [0, 0], abs=1e-6)
 
 
 def test_conversation_segments_outside_their_clip_raise(spark):
@@ -540,12 +542,12 @@ def test_whole_vectors_in_queries(spark, tmp_path):
     rng = np.random.default_rng(6)
     vectors = [rng.normal(size=64).astype("float32") for _ in range(4)]
     spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = {(r.a_id, r.lag): r.r for r in registry.queries()["xcorr_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.a_id, r.lag): r.r for r in registry.queries()["xcorr"](spark, str(tmp_path)).collect()}
     assert len(got) == 3 * 127
     for k, (a, b) in enumerate(zip(vectors, vectors[1:])):
         a, b = a.astype(float), b.astype(float)
         assert [got[k, i] for i in range(127)] == pytest.approx(list(np.correlate(a, b, "full") / np.sqrt((a @ a) * (b @ b))), abs=1e-6)
-    items = {(r.vec_id, r.ord): r.item for r in registry.queries()["unbatch_whole"](spark, str(tmp_path)).collect()}
+    items = {(r.vec_id, r.ord): r.item for r in registry.queries()["unbatch"](spark, str(tmp_path)).collect()}
     assert items == {(k, i): pytest.approx(float(x), abs=1e-6) for k, v in enumerate(vectors) for i, x in enumerate(v)}
 
 
@@ -606,3 +608,74 @@ def test_common_time_against_brute_force(spark, monkeypatch, word, matrix_rows):
         assert [round(v * 1000) for v in (r.false_alarm, r.missed, r.total)] == [sum(max(h - k, 0) for k, h in counts), sum(max(k - h, 0) for k, h in counts), sum(k for k, _ in counts)]
     assert diarization.error_rate(ref.limit(0), hyp.limit(0)).count() == 0
     assert {r.missed for r in diarization.error_rate(ref.limit(0), hyp).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("numbers", [None, 12])
+def test_nearest_against_brute_force(spark, numbers):
+    rng = np.random.default_rng(1)
+    v = rng.integers(-3, 4, (60, 4)).astype(float)
+    v[7] = 0
+    v[8] = v[9]
+    rows = [(f"c{i:02}", x.tolist()) for i, x in enumerate(v)] + [("null", None)]
+    df = spark.createDataFrame(rows, "clip_id string, vector array<double>").repartition(5)
+    queries = df.withColumnRenamed("clip_id", "query_id").where("query_id LIKE 'c%' AND (query_id LIKE '%5' OR query_id IN ('c07', 'c08'))")
+    got = [(r.query_id, r.rank, r.clip_id) for r in similarity.nearest(queries, df, 3, numbers).collect()]
+    want = []
+    for i in [5, 8, 15, 25, 35, 45, 55]:
+        with np.errstate(invalid="ignore"):
+            s = np.round((v / np.linalg.norm(v, axis=1, keepdims=True)) @ (v[i] / np.linalg.norm(v[i])), 12)
+        order = sorted((j for j in range(60) if j != i and not np.isnan(s[j])), key=lambda j: (-s[j], j))[:3]
+        want += [(f"c{i:02}", k + 1, f"c{j:02}") for k, j in enumerate(order)]
+    assert sorted(got) == sorted(want)
+    assert similarity.nearest(queries.limit(0), df, 3).count() == 0 and similarity.nearest(queries, df.limit(0), 3).count() == 0
+
+
+def test_label_model_with_patterns_on_executors(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [tuple(rng.choice([1, 1, 0, -1]) if k else 1 - (i % 3 == 0) for k in range(4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "lf_a int, lf_b int, lf_c int, lf_d int")
+    near = labeling.fit_label_model(df, df.columns, rounds=4)
+    monkeypatch.setattr(labeling, "PATTERNS", 2)
+    far = labeling.fit_label_model(df, df.columns, rounds=4)
+    assert far[0] == pytest.approx(near[0]) and all(far[1][c] == pytest.approx(near[1][c]) for c in df.columns)
+    assert labeling.fit_label_model(df.limit(0), df.columns)[0] == 0.5
+
+
+def test_models_by_piece_window_and_pair(spark):
+    from sonoframe.operators import models
+
+    clips = spark.createDataFrame([("a", 4, [[1.0, 2.0, 3.0, 4.0, 5.0]]), ("b", 4, [[]]), ("c", 4, [[9.0]])], "clip_id string, sampling_rate int, channels array<array<double>>")
+    twice = lambda _: lambda b: __import__("pandas").DataFrame({"out_channels": [[[2 * x for x in c[0]]] for c in b["channels"]], "out_rate": b["sampling_rate"].astype("int32")})
+    shorter = lambda _: lambda b: __import__("pandas").DataFrame({"out_channels": [[list(c[0])[1:]] for c in b["channels"]], "out_rate": b["sampling_rate"].astype("int32")})
+    clips16 = clips.withColumn("sampling_rate", F.lit(16_000))
+    got = {r.clip_id: r.channels for r in models.enhance_in_pieces(clips16, twice, models.ModelRef("twice"), seconds=2 / 16_000, batch=2).collect()}
+    assert got == {"a": [[2.0, 4.0, 6.0, 8.0, 10.0]], "b": [[]], "c": [[18.0]]}
+    with pytest.raises(Exception, match="keeps length"):
+        models.enhance_in_pieces(clips16, shorter, models.ModelRef("shorter")).collect()
+    labels = lambda _: lambda b: __import__("pandas").DataFrame({"result": [[{"score": 0.1, "label": "x"}, {"score": float(len(c[0])), "label": "y"}] for c in b["channels"]]})
+    rows = models.classify_windows(clips, labels, models.ModelRef("labels"), 0.5, top_k=5).orderBy("clip_id", "window_start").collect()
+    assert [(r.clip_id, r.window_start, r.labels[0]) for r in rows] == [("a", k / 4, "y") for k in range(5)] + [("c", 0.0, "y")]
+    a = clips.withColumn("pair_no", F.lit(1)).where("clip_id = 'a'")
+    assert models.paired(a, a).first().target_id == "a"
+    for bad in (a.limit(0), a.unionByName(a)):
+        with pytest.raises(Exception, match="one target"):
+            models.paired(a, bad).collect()
+    with pytest.raises(Exception, match="no transcript"):
+        models.require_transcripts(spark.createDataFrame([(" ",)], "text string")).collect()
+
+
+def test_sources_of_any_size(spark, tmp_path):
+    from sonoframe.operators.frames import numbered
+
+    df = spark.createDataFrame([(i, f"n{i}", [float(i)]) for i in range(20)], "i int, s string, v array<double>").repartition(3)
+    path = datasets.save_dataset(df, str(tmp_path), "t", "arrow")
+    assert sorted(map(str, datasets.read_dataset(spark, path).collect())) == sorted(map(str, df.collect()))
+    datasets.save_dataset(df.where("i < 5"), str(tmp_path), "t", "arrow")
+    assert datasets.read_dataset(spark, path).count() == 5
+    with pytest.raises(Exception):
+        datasets.read_dataset(spark, str(tmp_path / "none.arrow")).count()
+    assert files.audio_files(spark, str(tmp_path / "none")).count() == 0 and files.audio_files(spark, path).count() == 0
+    with pytest.raises(ValueError):
+        files.list_files(spark, str(tmp_path / "none"))
+    assert {(r.i, r._no) for r in numbered(df, "i", ranges=3).collect()} == {(i, i) for i in range(20)}
+    assert numbered(df.limit(0), "i").count() == 0
