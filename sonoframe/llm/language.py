@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -203,26 +202,18 @@ def decide(scores, sizes) -> tuple[int, list[int], list[float]]:
     return main, langs, [confidence, *sure]
 
 
-_fitted: dict[str, LanguageModel] = {}
-
-
 def fit_language_model(transcriptions: DataFrame, languages: DataFrame, documents: DataFrame | None = None, per_language: int = SAMPLE_SEGMENTS) -> LanguageModel:
     """The network fitted on the driver to a bounded sample of labelled segments (``per_language`` of each label, one
     stretch of SAMPLE_CHARS of each) and, if there are any, of labelled ``documents`` (doc_id, text, lang;
     SAMPLE_DOCUMENTS of each label, DOCUMENT_PIECES stretches of each).
 
-    The same sample gives the same network, so it is fitted once in a session. :meth:`LanguageModel.table` is the way to
-    keep it longer.
+    The same sample gives the same network. Nothing is kept between calls: who needs the model twice passes it on, or keeps
+    its :meth:`LanguageModel.table`.
     """
     samples = sample_segments(transcriptions, label_code(F.col("language_label"), languages), per_language)
     if documents is not None:
         samples += sample_documents(documents, label_code(F.col("lang"), languages))
-    key = sha256(repr((STEPS, BATCH, WIDTH, sorted(map(str, samples)))).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in _fitted:
-        _fitted[key] = LanguageModel.fit(samples)
-        for old in list(_fitted)[:-4]:
-            del _fitted[old]
-    return _fitted[key]
+    return LanguageModel.fit(samples)
 
 
 def language_segments(transcriptions: DataFrame, languages: DataFrame, model: LanguageModel) -> DataFrame:

@@ -277,7 +277,8 @@ def test_language_rows(spark, small_training):
     df = spark.createDataFrame([(*r, "x") for r in rows + odd + odd[:3]], kind)
     table = spark.createDataFrame([("eng", "en", "English"), ("deu", "de", "German"), ("tur", "tr", "Turkish"), ("csb", None, "Kashubian")], "language_code string, alpha_2 string, language_name string")
     model = language.fit_language_model(df, table)
-    assert language.fit_language_model(df.repartition(3), table) is model  # fitted once
+    again = language.fit_language_model(df.repartition(3), table)
+    assert again is not model and all((again.net.p[k] == x).all() for k, x in model.net.p.items())  # fitted anew, to the same
     kept = language.LanguageModel.of_table(model.table(spark))
     assert kept.codes == model.codes and all((kept.net.p[k] == x).all() for k, x in model.net.p.items())
     found = language.language_segments(df, table, kept)
