@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from sonoframe.llm.tokens import VOCABULARY, token_count
 from sonoframe.plans.durable import durable
 
-#: Hash buckets in which items of one length are numbered, so that no window holds all items of a length.
-RANK_BUCKETS = 256
+#: Items that a hash bucket holds, about; items of one length are numbered in buckets, of which there are as many as all
+#: items need, so that no window holds all items of a length.
+BUCKET_ITEMS = 50_000
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -87,13 +88,14 @@ def pack_items(items: DataFrame, capacities: dict[str, int]) -> DataFrame:
     spark = items.sparkSession
     names = sorted(capacities)
     holds = F.array(*[F.struct(F.lit(i).alias("_c"), F.lit(int(capacities[n])).cast("bigint").alias("_cap")) for i, n in enumerate(names)])
+    buckets = max(-(-items.count() // BUCKET_ITEMS), 16)
     sized = items.select("item_id", F.greatest(F.coalesce(F.col("n_tokens"), F.lit(0)), F.lit(0)).cast("bigint").alias("_n"))
     spread = sized.select("item_id", "_n", F.explode(holds).alias("_h")).select("item_id", "_n", "_h.*")
     last = F.greatest(F.ceil(F.col("_n") / F.col("_cap")) - 1, F.lit(0))
     pieces = spread.select("item_id", "_n", "_c", "_cap", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece_no"))
     first = F.col("piece_no") * F.col("_cap")
     pieces = pieces.select("_c", "item_id", F.col("piece_no").cast("int").alias("piece_no"), first.alias("first_token"), F.least(F.col("_n") - first, F.col("_cap")).cast("int").alias("n_tokens"))
-    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("item_id", "piece_no"), F.lit(RANK_BUCKETS)).cast("int"))
+    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("item_id", "piece_no"), F.lit(buckets)).cast("int"))
 
     counts = durable(pieces.groupBy("_c", "n_tokens", "_bucket").agg(F.count("*").alias("_k")))
     histograms: dict[int, dict[int, int]] = {i: {} for i in range(len(names))}
@@ -112,10 +114,12 @@ def pack_items(items: DataFrame, capacities: dict[str, int]) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        starts, low, base, times = table.value
+        keys, starts, low, base, times = table.value
         for batch in batches:
             c, n = batch["_c"].to_numpy(), batch["n_tokens"].to_numpy()
-            offset = np.array([starts.get(k, -1) for k in zip(c.tolist(), n.tolist(), strict=True)], dtype="int64")
+            key = c.astype("int64") << 40 | n.astype("int64")
+            place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            offset = np.where(keys[place] == key, starts[place], -1) if len(keys) else key * 0 - 1
             at = offset + batch["_rank"].to_numpy()
             slot = np.maximum(np.searchsorted(low, at, side="right") - 1, 0)
             inside = (at - low[slot]) // times[slot] + base[slot] if len(low) else at * 0
@@ -135,8 +139,8 @@ def pack_items(items: DataFrame, capacities: dict[str, int]) -> DataFrame:
 
 
 def _slots(histograms: dict[int, dict[int, int]], capacities: list[int]):
-    """Where the items of a length begin in the numbering of all items, and for each run of it: first item, first
-    container, items per container."""
+    """Sorted keys of container kind and length, where the items of each begin in the numbering of all items, and for each
+    run of it: first item, first container, items per container."""
     import numpy as np
 
     starts: dict[tuple[int, int], int] = {}
@@ -155,7 +159,9 @@ def _slots(histograms: dict[int, dict[int, int]], capacities: list[int]):
                 filled[length] += count * times
             container += count
     low, base, times = np.array(sorted(slots), dtype="int64").reshape(-1, 3).T.copy()
-    return starts, low, base, times
+    found = sorted((c << 40 | length, at) for (c, length), at in starts.items())
+    keys, at = np.array(found, dtype="int64").reshape(-1, 2).T.copy()
+    return keys, at, low, base, times
 
 
 def pack_documents(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
