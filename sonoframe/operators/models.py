@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Kinds of models: of a hub, or of a library with names or files of its own.
+MODEL_KINDS = ("hub", "speech", "diarization", "sentence", "synthesis", "torch", "torch_audio", "file")
+
+
 @dataclass(frozen=True)
 class ModelRef:
     """Which model: its kind, place or name, and revision; the key of the cache in each worker."""
@@ -21,6 +25,14 @@ class ModelRef:
     kind: str = "hub"
     revision: str = "main"
 
+    def __post_init__(self) -> None:
+        if self.kind not in MODEL_KINDS:
+            raise ValueError(f"unknown kind of model {self.kind!r}")
+        if not self.uri.strip():
+            raise ValueError("a model needs a place or a name")
+        if not self.revision.strip():
+            raise ValueError("a model needs a revision")
+
 
 @dataclass(frozen=True)
 class Operator:

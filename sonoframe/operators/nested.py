@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 NODE_COLUMNS = "record_id bigint, kind string, node_path string, text string, speaker string, start_sec double, end_sec double, score double"
 
-#: Which fields of a record, and of each kind of element, hold child elements, and of which kind.
-CHILD_FIELDS = {
+#: Schema: which fields of a record (kind ""), and of each kind of element, hold child elements, and of which kind. Kinds
+#: may hold their own kind.
+Schema = dict[str, dict[str, str]]
+CHILD_FIELDS: Schema = {
     "": {"chunks": "chunk", "segments": "segment"},
     "chunk": {"chunks": "chunk"},
     "segment": {"words": "word"},
@@ -136,8 +138,8 @@ def _text(value: object) -> str | None:
     return value if isinstance(value, str) else None
 
 
-def shred(payload: str | None) -> Iterator[tuple]:
-    """(kind, node_path, text, speaker, start, end, score) of each element, in document order."""
+def shred(payload: str | None, fields: Schema = CHILD_FIELDS) -> Iterator[tuple]:
+    """(kind, node_path, text, speaker, start, end, score) of each element that ``fields`` names, in document order."""
     try:
         top = _decode(payload) if payload is not None else None
     except ValueError:
@@ -156,19 +158,19 @@ def shred(payload: str | None) -> Iterator[tuple]:
             else:
                 yield kind, path, _text(node), None, None, None, None
         if isinstance(node, dict):
-            for field, child in reversed(CHILD_FIELDS[kind].items()):
+            for field, child in reversed(fields.get(kind, {}).items()):
                 below = _elements(node.get(field))
                 stack.extend((child, f"{path}/{i}", x) for i, x in reversed(list(enumerate(below))) if x is not None)
 
 
-def _shred_batches(batches):
+def _shred_batches(batches, fields: Schema):
     import pandas as pd
 
     names = [c.split()[0] for c in NODE_COLUMNS.split(", ")]
     for batch in batches:
         rows = []
         for record, payload in zip(batch["record_id"], batch["payload"], strict=True):
-            rows += [(record, *node) for node in shred(payload)]
+            rows += [(record, *node) for node in shred(payload, fields)]
             if len(rows) >= 50_000:  # a batch of deep records must not pile up
                 yield pd.DataFrame(rows, columns=names).astype({"record_id": "Int64"})
                 rows = []
@@ -181,8 +183,9 @@ def _place(df: DataFrame) -> DataFrame:
     return df.withColumn("parent_path", parent).withColumn("place", F.substring_index("node_path", "/", -1))
 
 
-def record_nodes(records: DataFrame) -> DataFrame:
-    """A row per chunk (at any depth), segment and word of the JSON payloads of ``records``.
+def record_nodes(records: DataFrame, fields: Schema = CHILD_FIELDS) -> DataFrame:
+    """A row per nested element of the JSON payloads of ``records``: chunks (at any depth), segments and words, or what
+    ``fields`` says.
 
     ``records`` has record_id, payload and ingested_at. Of a record delivered several times the latest counts. A
     payload that is null, blank, not JSON, or no object gives no rows; JSON within a JSON text is read; a null,
@@ -190,7 +193,7 @@ def record_nodes(records: DataFrame) -> DataFrame:
     give no row. An element that is no object gives a row without values.
     """
     latest = latest_delivery(records, "record_id", ["payload"])
-    return _place(latest.mapInPandas(_shred_batches, NODE_COLUMNS))
+    return _place(latest.mapInPandas(lambda parts: _shred_batches(parts, fields), NODE_COLUMNS))
 
 
 def pose_nodes(images: DataFrame) -> DataFrame:

@@ -124,6 +124,15 @@ def verified_files(spark, d):
 _register(verified_files, "SELECT vec_id AS clip_id, vec_id % 10 <> 0 AS ok FROM embeddings")
 
 
+def files_of_one_type(spark, d):
+    """The recordings' files that are audio, which are all of one type."""
+    paths = load(spark, d, "recordings").select(F.col("file_path").alias("path")).distinct()
+    return files.one_type(paths.where(files.file_type(F.col("path")) == "audio"))
+
+
+_register(files_of_one_type, "SELECT DISTINCT 'audio' AS type, file_path AS path FROM recordings WHERE lower(file_path) LIKE '%.wav' OR lower(file_path) LIKE '%.mp3'")
+
+
 def dataset_round_trips(spark, d):
     """Customers written in each format and read again, and from a mirror by revision and split."""
     place, rows = scratch(spark, "datasets"), load(spark, d, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))

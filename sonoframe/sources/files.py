@@ -125,9 +125,9 @@ def common_directory(files: DataFrame) -> str:
 
 
 def one_type(files: DataFrame) -> DataFrame:
-    """type, paths: the paths of files that are all of one type; several types raise."""
-    kinds = files.select(file_type(F.col("path")).alias("type"), "path").groupBy("type").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    if kinds.count() > 1:
+    """type, path of files that are all of one type, a row per file; several types raise."""
+    kinds = files.select(file_type(F.col("path")).alias("type"), "path")
+    if len(kinds.select("type").distinct().limit(2).collect()) > 1:
         raise ValueError("files of several types")
     return kinds
 

@@ -679,3 +679,19 @@ def test_sources_of_any_size(spark, tmp_path):
         files.list_files(spark, str(tmp_path / "none"))
     assert {(r.i, r._no) for r in numbered(df, "i", ranges=3).collect()} == {(i, i) for i in range(20)}
     assert numbered(df.limit(0), "i").count() == 0
+
+
+def test_nested_records_by_another_schema():
+    fields = {"": {"items": "item"}, "item": {"parts": "part", "items": "item"}}
+    payload = json.dumps({"items": [{"text": "a", "parts": [{"text": "b"}, None, "c"]}, {"items": {"text": "d"}}], "chunks": [{"text": "no"}]})
+    assert [(k, p, t) for k, p, t, *_ in nested.shred(payload, fields)] == [("item", "/0", "a"), ("part", "/0/0", "b"), ("part", "/0/2", "c"), ("item", "/1", None), ("item", "/1/0", "d")]
+    assert [t for _, _, t, *_ in nested.shred(payload)] == ["no"]
+
+
+def test_references_of_models():
+    from sonoframe.operators.models import ModelRef
+
+    assert ModelRef("a/b") == ModelRef("a/b", "hub", "main")
+    for bad in (("",), ("a", "nowhere"), ("a", "hub", " ")):
+        with pytest.raises(ValueError):
+            ModelRef(*bad)
