@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sonoframe.llm import language, mixing, packing, shared, splits, turns
 from sonoframe.llm.automaton import SuffixAutomaton
 from sonoframe.llm.bytegru import ByteGru, encode
-from sonoframe.llm.queries import QUERIES
+from sonoframe.llm.queries import QUERIES, SQL
 from sonoframe.llm.tokens import token_count
 
 CODES = {"CHI": "Child", "MOT": "Mother", "INV": "Investigator", "PAR": "Participant"}
@@ -505,6 +505,34 @@ def test_query_runs(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_against_sql(spark, data, name):
+    import glob
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for f in glob.glob(f"{data}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    df, found = QUERIES[name](spark, data), con.sql(SQL[name])
+    columns = sorted(df.columns)
+    assert sorted(found.columns) == columns
+    plain = lambda v: round(v, 6) + 0.0 if isinstance(v, float) else v
+    at = [found.columns.index(c) for c in columns]
+    assert sorted(str([plain(r[c]) for c in columns]) for r in df.collect()) == sorted(str([plain(r[i]) for i in at]) for r in found.fetchall())
+
+
+def test_language_queries_run(spark, data, small_training):
+    whole = QUERIES["p5_segments"](spark, data).collect()
+    found = QUERIES["p5_found"](spark, data).collect()
+    assert whole and len({(r.transcription_id, r.seg_no) for r in whole}) == len(whole) and all(0 <= r.confidence <= 1 for r in whole)
+    own = {(r.transcription_id, r.seg_no): r for r in whole}
+    assert {(r.transcription_id, r.seg_no, r.language_code) for r in found} == {
+        (*k, r.language_code) for k, r in own.items() if (r.label_code != r.language_code if k[1] == 0 else r.n_languages > 1)
+    }
+
+
 def test_deep_and_long_notes_are_not_spoken():
     parse = turns.line_grammar(turns.Speakers(CODES))
     for depth in (3, 61, 5000):
