@@ -140,8 +140,47 @@ def extract_features(clips: DataFrame, voice: bool | Iterable[str] = True, spect
 
 #: Phonemes of a posteriorgram, in the order of its columns (fixed values).
 PHONEMES = (
-    "aa ae ah ao aw ay b ch d dh eh er ey f g hh ih iy jh k l m n ng ow oy p r s sh t th uh uw v w y z zh <silent>"
-).split()
+    "aa",
+    "ae",
+    "ah",
+    "ao",
+    "aw",
+    "ay",
+    "b",
+    "ch",
+    "d",
+    "dh",
+    "eh",
+    "er",
+    "ey",
+    "f",
+    "g",
+    "hh",
+    "ih",
+    "iy",
+    "jh",
+    "k",
+    "l",
+    "m",
+    "n",
+    "ng",
+    "ow",
+    "oy",
+    "p",
+    "r",
+    "s",
+    "sh",
+    "t",
+    "th",
+    "uh",
+    "uw",
+    "v",
+    "w",
+    "y",
+    "z",
+    "zh",
+    "<silent>",
+)
 
 
 def frame_major(m: Column, n_phonemes: int = len(PHONEMES)) -> Column:

@@ -23,27 +23,115 @@ ROOT_CHECKS = (
     "very_low_amplitude_modulation_depth_check",
 )
 
-#: Activities of a voice assessment (fixed values): each line names a node's children.
-VOICE_ACTIVITIES = """
-human: breathing cough vocalization
-cough: audio_check_3 respiration_and_cough_cough_1 respiration_and_cough_cough_2 voluntary_cough
-breathing: audio_check_4 breath_sounds respiration_and_cough_breath_1 respiration_and_cough_breath_2 respiration_and_cough_five_breaths respiration_and_cough_three_quick_breaths
-respiration_and_cough_five_breaths: respiration_and_cough_five_breaths_1 respiration_and_cough_five_breaths_2 respiration_and_cough_five_breaths_3 respiration_and_cough_five_breaths_4
-respiration_and_cough_three_quick_breaths: respiration_and_cough_three_quick_breaths_1 respiration_and_cough_three_quick_breaths_2
-vocalization: speech non_speech
-speech: unscripted scripted
-unscripted: free_speech picture_description story_recall open_response productive_vocabulary animal_fluency random_item_generation
-productive_vocabulary: productive_vocabulary_1 productive_vocabulary_2 productive_vocabulary_3 productive_vocabulary_4 productive_vocabulary_5 productive_vocabulary_6
-free_speech: free_speech_0 free_speech_1 free_speech_2 free_speech_3
-scripted: passage_reading cape_v_sentences cinderella_story audio_check_1 audio_check_2 loudness diadochokinesis word_color_stroop
-passage_reading: caterpillar_passage rainbow_passage
-cape_v_sentences: cape_v_sentences_1 cape_v_sentences_2 cape_v_sentences_3 cape_v_sentences_4 cape_v_sentences_5 cape_v_sentences_6
-diadochokinesis: diadochokinesis_ka diadochokinesis_pa diadochokinesis_ta diadochokinesis_pataka diadochokinesis_buttercup
-non_speech: phonation
-phonation: maximum_phonation_time prolonged_vowel glides
-maximum_phonation_time: maximum_phonation_time_1 maximum_phonation_time_2 maximum_phonation_time_3
-glides: glides_high_to_low glides_low_to_high
-"""
+#: Activities of a voice assessment (fixed values): the children of each node.
+VOICE_ACTIVITIES = {
+    "human": [
+        "breathing",
+        "cough",
+        "vocalization",
+    ],
+    "cough": [
+        "audio_check_3",
+        "respiration_and_cough_cough_1",
+        "respiration_and_cough_cough_2",
+        "voluntary_cough",
+    ],
+    "breathing": [
+        "audio_check_4",
+        "breath_sounds",
+        "respiration_and_cough_breath_1",
+        "respiration_and_cough_breath_2",
+        "respiration_and_cough_five_breaths",
+        "respiration_and_cough_three_quick_breaths",
+    ],
+    "respiration_and_cough_five_breaths": [
+        "respiration_and_cough_five_breaths_1",
+        "respiration_and_cough_five_breaths_2",
+        "respiration_and_cough_five_breaths_3",
+        "respiration_and_cough_five_breaths_4",
+    ],
+    "respiration_and_cough_three_quick_breaths": [
+        "respiration_and_cough_three_quick_breaths_1",
+        "respiration_and_cough_three_quick_breaths_2",
+    ],
+    "vocalization": [
+        "speech",
+        "non_speech",
+    ],
+    "speech": [
+        "unscripted",
+        "scripted",
+    ],
+    "unscripted": [
+        "free_speech",
+        "picture_description",
+        "story_recall",
+        "open_response",
+        "productive_vocabulary",
+        "animal_fluency",
+        "random_item_generation",
+    ],
+    "productive_vocabulary": [
+        "productive_vocabulary_1",
+        "productive_vocabulary_2",
+        "productive_vocabulary_3",
+        "productive_vocabulary_4",
+        "productive_vocabulary_5",
+        "productive_vocabulary_6",
+    ],
+    "free_speech": [
+        "free_speech_0",
+        "free_speech_1",
+        "free_speech_2",
+        "free_speech_3",
+    ],
+    "scripted": [
+        "passage_reading",
+        "cape_v_sentences",
+        "cinderella_story",
+        "audio_check_1",
+        "audio_check_2",
+        "loudness",
+        "diadochokinesis",
+        "word_color_stroop",
+    ],
+    "passage_reading": [
+        "caterpillar_passage",
+        "rainbow_passage",
+    ],
+    "cape_v_sentences": [
+        "cape_v_sentences_1",
+        "cape_v_sentences_2",
+        "cape_v_sentences_3",
+        "cape_v_sentences_4",
+        "cape_v_sentences_5",
+        "cape_v_sentences_6",
+    ],
+    "diadochokinesis": [
+        "diadochokinesis_ka",
+        "diadochokinesis_pa",
+        "diadochokinesis_ta",
+        "diadochokinesis_pataka",
+        "diadochokinesis_buttercup",
+    ],
+    "non_speech": [
+        "phonation",
+    ],
+    "phonation": [
+        "maximum_phonation_time",
+        "prolonged_vowel",
+        "glides",
+    ],
+    "maximum_phonation_time": [
+        "maximum_phonation_time_1",
+        "maximum_phonation_time_2",
+        "maximum_phonation_time_3",
+    ],
+    "glides": [
+        "glides_high_to_low",
+        "glides_low_to_high",
+    ],
+}
 
 
 @dataclass
@@ -113,9 +201,8 @@ def voice_assessment(root_name: str = "voice_assessment") -> Taxonomy:
     root = bioacoustic()
     root.name = root_name
     nodes = {"human": root.add("human")}
-    for line in VOICE_ACTIVITIES.strip().splitlines():
-        name, below = line.split(": ")
-        for child in below.split():
+    for name, below in VOICE_ACTIVITIES.items():
+        for child in below:
             nodes[child] = nodes[name].add(child)
     return root
 
