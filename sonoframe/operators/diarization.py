@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from sonoframe.functions.arrow import arrow_column, signals
 from sonoframe.operators.intervals import usable_intervals
-from sonoframe.plans.durable import durable
-from sonoframe.plans.skew import join_one
 
 VOICE = "VOICE"
 
@@ -106,108 +104,233 @@ def silence_gaps(lines: DataFrame) -> DataFrame:
 # diarization error rate
 
 
-def running_sums(rows: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
-    """``keys``, ``at``, the sums of ``values`` of the rows at each moment, and ``{value}_upto``, their running sums.
-
-    Sums run within buckets of time and start from what the buckets before add up to, of which there is one row each in
-    the window over a key; only buckets in which something happens exist.
-    """
-    local = [*keys, "_bucket"]
-    rows = rows.select(*keys, at, *values, F.expr(f"{at} div {BUCKET_MS}").alias("_bucket")).repartition(*local)
-    rows = rows.groupBy(*local, at).agg(*[F.sum(v).alias(v) for v in values])
-    across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*local).agg(*[F.sum(v).alias(v) for v in values])
-    sums = sums.select(*local, *[F.coalesce(F.sum(v).over(across), F.lit(0)).alias(f"_{v}") for v in values])
-    upto = Window.partitionBy(*local).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumns({f"{v}_upto": F.sum(v).over(upto) for v in values}).join(sums, local)
-    return found.select(*keys, at, *values, *[(F.col(f"{v}_upto") + F.col(f"_{v}")).alias(f"{v}_upto") for v in values])
-
-
 def boundaries(lines: DataFrame) -> DataFrame:
-    """clip_id, speaker, at, step: when each speaker begins (1) and stops (-1) speaking, to the millisecond; lines that
-    overlap or touch are one. Lines with a null, and lines that do not end after they start, are left out."""
-    rows = usable_intervals(lines.where("clip_id IS NOT NULL AND speaker IS NOT NULL"), [F.col("clip_id"), F.col("speaker")])
-    ends = F.array(F.struct(F.col("from_ms").alias("at"), F.lit(1).alias("n")), F.struct(F.col("to_ms").alias("at"), F.lit(-1).alias("n")))
-    events = running_sums(rows.select("clip_id", "speaker", F.explode(ends).alias("e")).select("clip_id", "speaker", "e.*"), ["clip_id", "speaker"], "at", ["n"])
-    step = F.when(F.col("n_upto") == F.col("n"), F.lit(1)).when(F.col("n_upto") == 0, F.lit(-1))
-    return events.where("n <> 0").select("clip_id", "speaker", "at", step.alias("step")).where("step IS NOT NULL")
+    """clip_id, speaker, from_ms, to_ms: when the lines of each speaker begin and end, to the millisecond. Lines with a
+    null, and lines that do not end after they start, are left out."""
+    return usable_intervals(lines.where("clip_id IS NOT NULL AND speaker IS NOT NULL"), [F.col("clip_id"), F.col("speaker")])
+
 
+#: Rows that a bucket's stretches and pairs of speakers would make, from which they are multiplied out as matrices.
+MATRIX_ROWS = 2000
 
-#: Speakers whose activity one whole number holds, a bit each.
+#: Stretches of a bucket in a block of such a matrix.
 WORD = 62
 
-#: Rows of a clip in a batch from which its pairs of speakers are multiplied out as matrices.
-MATRIX_ROWS = 200
+#: Rows of whole buckets that are worked on at once.
+CHUNK_ROWS = 50_000
+
+#: What the milliseconds of a row of :func:`_together` are.
+PAIR, FALSE_ALARM, MISSED, BOTH, TOTAL = range(5)
 
 
 def speaking_together(reference: DataFrame, hypothesis: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For how long exactly which speakers of the two sides speak at the same time in a clip; both sides are
-    :func:`boundaries`. A table clip_id, r, h, ms, whose sets are arrays of whole numbers with a bit for each speaker, and
-    one clip_id, rs, hs of the speakers of a clip in the order of the bits, which are few.
+    """The lines of both sides (:func:`boundaries`) by buckets of time, and what goes from one bucket of a clip to its
+    next: clip_id, _bucket, side, speaker, at, till, n.
 
-    One stream of moments of both sides: each speaker of a clip is a bit, so the running sum of what begins and stops is
-    the set of those who speak. As many numbers are summed as the clip with most speakers needs.
+    A line is a row in the bucket where it begins, and, if it ends in another one, a second row there; its other time is
+    then null. Times count from the start of the bucket. The second table has the ``n`` lines of a speaker that go on when a bucket begins to have lines, and, with
+    side 2, when the bucket after it does. Only buckets in which something happens exist.
     """
-    both = reference.withColumn("side", F.lit("r")).unionByName(hypothesis.withColumn("side", F.lit("h")))
-    of = lambda side: F.array_sort(F.collect_set(F.when(F.col("side") == side, F.col("speaker")))).alias(f"_{side}")
-    names = both.groupBy("clip_id").agg(of("r"), of("h"))  # the speakers of a clip are few
-    most = names.agg(F.max(F.greatest(F.size("_r"), F.size("_h")))).first()[0] or 1
-    words = [(side, w) for side in "rh" for w in range(-(-most // WORD))]
-    place = F.array_position(F.when(F.col("side") == "r", F.col("_r")).otherwise(F.col("_h")), F.col("speaker")) - 1
-    events = join_one(both, names, "clip_id").withColumn("_place", place)
-    bit = F.expr(f"step * shiftleft(1L, int(_place % {WORD}))")
-    here = lambda side, w: (F.col("side") == side) & (F.floor(F.col("_place") / WORD) == w)
-    columns = [f"{side}{w}" for side, w in words]
-    events = events.select("clip_id", "at", *[F.when(here(side, w), bit).otherwise(F.lit(0).cast("bigint")).alias(f"{side}{w}") for side, w in words])
-    rows = running_sums(events, ["clip_id"], "at", columns).withColumn("_bucket", F.expr(f"at div {BUCKET_MS}"))
-    firsts = rows.groupBy("clip_id", "_bucket").agg(F.min("at").alias("_first"))
-    firsts = firsts.select("clip_id", "_bucket", F.lead("_first").over(Window.partitionBy("clip_id").orderBy("_bucket")).alias("_next"))
-    local = Window.partitionBy("clip_id", "_bucket").orderBy("at")
-    rows = rows.join(firsts, ["clip_id", "_bucket"]).withColumn("_till", F.coalesce(F.lead("at").over(local), F.col("_next")))
-    sets = rows.groupBy("clip_id", *[f"{c}_upto" for c in columns]).agg(F.sum(F.col("_till") - F.col("at")).alias("ms")).where("ms > 0")
-
-    masks = lambda side: F.array(*[F.col(f"{s}{w}_upto") for s, w in words if s == side])
-    return sets.select("clip_id", masks("r").alias("r"), masks("h").alias("h"), "ms"), names.select("clip_id", F.col("_r").alias("rs"), F.col("_h").alias("hs"))
-
-
-def common_time(sets: DataFrame, names: DataFrame) -> DataFrame:
-    """clip_id, r, h, ms: how long each pair of speakers of a clip speaks at the same time; of what
-    :func:`speaking_together` gave. Pairs are added up batch by batch, and the sets of a clip with many rows are multiplied
-    out as matrices, so that many speakers at the same time make no rows of their own."""
-    kind = dict(sets.dtypes)["clip_id"]
+    both = reference.withColumn("side", F.lit(0)).unionByName(hypothesis.withColumn("side", F.lit(1)))
+    first, last = F.expr(f"from_ms div {BUCKET_MS}"), F.expr(f"to_ms div {BUCKET_MS}")
+    none, length = F.lit(None).cast("bigint"), BUCKET_MS
+    part = lambda bucket, at, till: F.struct(bucket.alias("_bucket"), (at - bucket * length).alias("at"), (till - bucket * length).alias("till"))
+    parts = F.when(first == last, F.array(part(first, F.col("from_ms"), F.col("to_ms")))).otherwise(F.array(part(first, F.col("from_ms"), none), part(last, none, F.col("to_ms"))))
+    rows = both.select("clip_id", "side", "speaker", F.explode(parts).alias("_p")).select("clip_id", "_p._bucket", "side", "speaker", "_p.at", "_p.till", F.lit(1).cast("bigint").alias("n"))
+    begins = rows.groupBy("clip_id", "_bucket").agg(F.min(F.least("at", "till")).alias("at"))
+    begins = begins.select("clip_id", "_bucket", F.lit(-1).alias("side"), F.lit(None).cast("string").alias("speaker"), "at", none.alias("till"), F.lit(0).cast("bigint").alias("n"))
+    going = rows.where("at IS NULL OR till IS NULL").groupBy("clip_id", "_bucket", "side", "speaker").agg(F.sum(F.when(F.col("till").isNull(), 1).otherwise(-1)).alias("n"))
+    going = going.where("n <> 0").select("clip_id", "_bucket", "side", "speaker", none.alias("at"), none.alias("till"), "n")
+    kinds = dict(rows.dtypes)
+
+    def carry(batches):
+        """Bucket by bucket of a clip: who goes on speaking."""
+        import pyarrow as pa
 
-    def products(batches):
-        import numpy as np
+        clip, bucket, opened = None, None, {}
+        for batch in batches:
+            out: list[tuple] = []
+            for c, b, side, speaker, at, n in zip(*(batch.column(k).to_pylist() for k in ("clip_id", "_bucket", "side", "speaker", "at", "n")), strict=True):
+                if side < 0:  # a bucket's first row
+                    if c != clip:
+                        clip, opened = c, {}
+                    if opened:
+                        out.append((c, bucket, 2, None, at + (b - bucket) * length, None, 0))
+                        out += [(c, b, *who, at, None, k) for who, k in opened.items()]
+                    bucket = b
+                else:
+                    k = opened.get((side, speaker), 0) + n
+                    opened[side, speaker] = k
+                    if not k:
+                        del opened[side, speaker]
+            fields = zip(*out, strict=True) if out else [[]] * 7
+            kind = [batch.schema.field("clip_id").type, pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(fields, kind, strict=True)], names=["clip_id", "_bucket", "side", "speaker", "at", "till", "n"])
+
+    steps = begins.unionByName(going).repartition("clip_id").sortWithinPartitions("clip_id", "_bucket", "side")
+    carried = steps.mapInArrow(carry, f"clip_id {kinds['clip_id']}, _bucket bigint, side int, speaker string, at bigint, till bigint, n bigint")
+    return rows, carried
+
+
+def _together(rows: DataFrame, carried: DataFrame, pairs: bool = True) -> DataFrame:
+    """clip_id, kind, r, h, ms of what :func:`speaking_together` gave, a row per clip, kind and pair of speakers: PAIR, how
+    long r and h speak at the same time (if ``pairs``); and, without speakers, FALSE_ALARM, MISSED, BOTH and TOTAL, the
+    milliseconds of speech heard too much, too little, on both sides and in the reference.
+
+    Buckets are independent of each other: lines become stretches of time in which the same speakers speak, and many
+    speakers at the same time are multiplied out as matrices, so that they make no rows of their own."""
+    kind, word, most, chunk = dict(rows.dtypes)["clip_id"], WORD, MATRIX_ROWS, CHUNK_ROWS
+
+    def whole(batches):
+        """The rows in tables of whole buckets."""
         import pyarrow as pa
 
-        bits = lambda words: (words[:, :, None] >> np.arange(WORD) & 1).reshape(len(words), -1).astype("float64")
+        held, size = [], 0
         for batch in batches:
-            clips = batch.column("clip_id").dictionary_encode()
-            key = clips.indices.to_numpy()
-            r, h = (batch.column(c).flatten().to_numpy().reshape(len(key), -1) for c in ("r", "h"))
-            ms = batch.column("ms").to_numpy().astype("float64")
-            speak, heard, sizes = bits(r), bits(h), np.bincount(key, minlength=len(clips.dictionary))
-            found: list[tuple] = []
-            for clip in np.flatnonzero(sizes > MATRIX_ROWS):
-                own = key == clip
-                together = (speak[own] * ms[own, None]).T @ heard[own]
-                i, j = np.nonzero(together)
-                found.append((np.full(len(i), clip), i, j, together[i, j]))
-            # clips of few rows, together: each pair of bits of a row, added up by clip and pair
-            few = np.flatnonzero(sizes[key] <= MATRIX_ROWS)
-            row, i = np.nonzero(speak[few])
-            times = heard[few].sum(axis=1).astype("int64")[row]
-            at, j = np.nonzero(heard[few])
-            start = np.searchsorted(at, row)
-            row, i, j = np.repeat(few[row], times), np.repeat(i, times), j[np.repeat(start - np.cumsum(times) + times, times) + np.arange(times.sum())]
-            pair, where = np.unique(np.stack([key[row], i, j]), axis=1, return_inverse=True)
-            found.append((*pair, np.bincount(where.ravel(), weights=ms[row], minlength=pair.shape[1])))
-            k, i, j, t = (np.concatenate(x) for x in zip(*found, strict=True))
-            columns = [clips.dictionary.take(pa.array(k.astype("int64"))), pa.array(i.astype("int32")), pa.array(j.astype("int32")), pa.array(t.astype("int64"))]
-            yield pa.RecordBatch.from_arrays(columns, ["clip_id", "i", "j", "ms"])
-
-    pairs = sets.mapInArrow(products, f"clip_id {kind}, i int, j int, ms bigint").groupBy("clip_id", "i", "j").agg(F.sum("ms").alias("ms"))
-    return pairs.join(names, "clip_id").select("clip_id", F.get("rs", F.col("i")).alias("r"), F.get("hs", F.col("j")).alias("h"), "ms")
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size < chunk:
+                continue
+            c, b = batch.column("clip_id").dictionary_encode().indices.to_numpy(), batch.column("_bucket").to_numpy()
+            cuts = ((c[1:] != c[:-1]) | (b[1:] != b[:-1])).nonzero()[0]
+            if len(cuts):  # the last bucket may go on
+                at = int(cuts[-1]) + 1
+                yield pa.Table.from_batches([*held[:-1], batch.slice(0, at)])
+                held, size = [batch.slice(at)], batch.num_rows - at
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def found(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def sums(*keys):
+            """The different rows of ``keys``, and where each row is among them."""
+            order = np.lexsort(keys[::-1])
+            new = np.zeros(len(order), dtype=bool)
+            for k in keys:
+                new[1:] |= k[order][1:] != k[order][:-1]
+            new[:1] = True
+            where = np.empty(len(order), dtype="int64")
+            where[order] = np.cumsum(new) - 1
+            return [k[order[new]] for k in keys], where
+
+        def running(values, new):
+            """Running sums that begin anew where ``new`` is."""
+            total = np.cumsum(values)
+            start = np.flatnonzero(new)
+            return total - np.repeat((total - values)[start], np.diff([*start, len(values)]))
+
+        for table in whole(batches):
+            table = table.combine_chunks()
+            encoded = [table.column(c).combine_chunks().dictionary_encode() for c in ("clip_id", "speaker")]
+            clips, speakers = (x.dictionary for x in encoded)
+            clip, speaker = (x.indices.fill_null(0).to_numpy().astype("int64") for x in encoded)
+            bucket, side, n = (table.column(c).to_numpy() for c in ("_bucket", "side", "n"))
+            new = np.ones(len(clip), dtype=bool)
+            new[1:] = (clip[1:] != clip[:-1]) | (bucket[1:] != bucket[:-1])
+            group = np.cumsum(new) - 1  # a bucket of a clip
+            clip_of = clip[new]
+            times = [table.column(c).combine_chunks() for c in ("at", "till")]
+            there = [np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False)) for x in times]
+            own = np.concatenate(there)
+            at = np.concatenate([x.drop_null().to_numpy() for x in times])
+            step = np.concatenate([n[there[0]], -n[there[1]]])
+            # of each speaker: lines at a moment together, then where they begin and stop to speak
+            (g, d, s, t), where = sums(group[own], side[own].astype("int64"), speaker[own], at)
+            step = np.bincount(where, weights=step, minlength=len(g)).astype("int64")
+            first = np.ones(len(g), dtype=bool)
+            first[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (s[1:] != s[:-1])
+            count = running(step, first)
+            turn = (count > 0).astype("int64") - (count - step > 0)
+            keep = np.flatnonzero((turn != 0) | (d == 2))
+            g, d, s, t, turn = g[keep], d[keep], s[keep], t[keep], turn[keep]
+            # the stretches of a bucket, one after the other
+            (sg, st), place = sums(g, t)
+            change = [np.bincount(place, weights=turn * (d == k), minlength=len(sg)).astype("int64") for k in (0, 1)]
+            first = np.ones(len(sg), dtype=bool)
+            first[1:] = sg[1:] != sg[:-1]
+            nr, nh = (running(x, first) for x in change)
+            ms = np.zeros(len(sg), dtype="int64")
+            ms[:-1] = np.where(first[1:], 0, st[1:] - st[:-1])
+            made: list[tuple] = []
+            for k, x in ((FALSE_ALARM, np.maximum(nh - nr, 0)), (MISSED, np.maximum(nr - nh, 0)), (BOTH, np.minimum(nr, nh)), (TOTAL, nr)):
+                total = np.zeros(len(clips), dtype="int64")
+                np.add.at(total, clip_of[sg], x * ms)
+                i = np.unique(clip_of[sg])
+                made.append((i, np.full(len(i), k), np.full(len(i), -1), np.full(len(i), -1), total[i]))
+            if pairs and len(g):
+                # periods of speakers as stretches from..to; a period open at the end goes to the last one of the bucket
+                order = np.lexsort((t, s, d, g))
+                order = order[d[order] < 2]
+                last = np.flatnonzero(np.append(first[1:], True))[sg_of(sg, g[order])]
+                p, begin = place[order], turn[order] > 0
+                follows = np.append((turn[order][1:] < 0) & begin[:-1], False)
+                end = np.where(follows, np.append(p[1:], 0), last)[begin]
+                pg, pd, ps, start = g[order][begin], d[order][begin], s[order][begin], p[begin]
+                cost = np.bincount(sg, weights=np.maximum(nr, 1) * np.maximum(nh, 1), minlength=len(clip_of))
+                made += few(np, pg, pd, ps, start, end, ms, cost[pg] <= most, clip_of)
+                many = np.flatnonzero(cost > most)
+                edges = np.searchsorted(pg, many, "left"), np.searchsorted(pg, many, "right")
+                for k, a, b in zip(many, *edges, strict=True):
+                    made += matrix(np, clip_of[k], pd[a:b], ps[a:b], start[a:b], end[a:b], ms)
+            i, k, r, h, t = (np.concatenate(x) for x in zip(*made, strict=True))
+            (i, k, r, h), where = sums(i, k, r, h)
+            total = np.zeros(len(i), dtype="int64")
+            np.add.at(total, where, t)
+            name = lambda x: speakers.take(pa.array(np.maximum(x, 0), mask=x < 0))
+            yield pa.RecordBatch.from_arrays([clips.take(pa.array(i)), pa.array(k.astype("int32")), name(r), name(h), pa.array(total)], names=["clip_id", "kind", "r", "h", "ms"])
+
+    def sg_of(sg, g):
+        """Which of the different buckets in ``sg`` each of ``g`` is."""
+        import numpy as np
+
+        return np.searchsorted(np.unique(sg), g)
+
+    def few(np, pg, pd, ps, start, end, ms, own, clip_of):
+        """A row for each speaker and stretch of either side that is met by one of the other side."""
+        sides = []
+        for k in (0, 1):
+            at = np.flatnonzero(own & (pd == k))
+            size = end[at] - start[at]
+            stretch = np.repeat(start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            order = np.argsort(stretch, kind="stable")
+            sides.append((stretch[order], np.repeat(ps[at], size)[order], np.repeat(pg[at], size)[order]))
+        (x, r, group), (y, h, _) = sides
+        a = np.searchsorted(y, x)
+        size = np.searchsorted(y, x, "right") - a
+        row = np.repeat(np.arange(len(x)), size)
+        j = np.arange(size.sum()) + np.repeat(a - np.cumsum(size) + size, size)
+        return [(clip_of[group[row]], np.full(len(row), PAIR), r[row], h[j], ms[x[row]])]
+
+    def matrix(np, clip, pd, ps, start, end, ms):
+        """The same by products of matrices of stretches and speakers, a block of stretches at a time."""
+        names, total = [np.unique(ps[pd == k]) for k in (0, 1)], 0
+        column = [np.searchsorted(names[k], ps[pd == k]) for k in (0, 1)]
+        for a in range(start.min(), end.max(), word):
+            b = min(a + word, end.max())
+            speak = []
+            for k in (0, 1):
+                steps = np.zeros((b - a + 1, len(names[k])))
+                inside = (start[pd == k] < b) & (end[pd == k] > a)
+                np.add.at(steps, (np.maximum(start[pd == k][inside], a) - a, column[k][inside]), 1)
+                np.add.at(steps, (np.minimum(end[pd == k][inside], b) - a, column[k][inside]), -1)
+                speak.append(np.cumsum(steps[:-1], axis=0))
+            total = total + (speak[0] * ms[a:b, None]).T @ speak[1]
+        i, j = np.nonzero(total)
+        return [(np.full(len(i), clip), np.full(len(i), PAIR), names[0][i], names[1][j], total[i, j].astype("int64"))]
+
+    together = rows.unionByName(carried).repartition("clip_id", "_bucket").sortWithinPartitions("clip_id", "_bucket")
+    parts = together.mapInArrow(found, f"clip_id {kind}, kind int, r string, h string, ms bigint")
+    return parts.groupBy("clip_id", "kind", "r", "h").agg(F.sum("ms").alias("ms"))
+
+
+def common_time(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    """clip_id, r, h, ms: how long each pair of speakers of a clip speaks at the same time; of what
+    :func:`speaking_together` gave."""
+    return _together(rows, carried).where(f"kind = {PAIR}").select("clip_id", "r", "h", "ms")
 
 
 def _assignment(overlap, names_r: list[str], names_h: list[str], greedy: bool) -> dict[str, str]:
@@ -215,11 +338,14 @@ def _assignment(overlap, names_r: list[str], names_h: list[str], greedy: bool) -
     import numpy as np
 
     if greedy:
-        pairs = sorted(((-overlap[i, j], j, i) for i in range(len(names_r)) for j in range(len(names_h)) if overlap[i, j] > 0))
+        rows, columns = np.nonzero(overlap > 0)
+        order = np.lexsort((rows, columns, -overlap[rows, columns]))
         got: dict[int, int] = {}
-        for _, j, i in pairs:
-            if j not in got and i not in got.values():
+        taken: set[int] = set()
+        for i, j in zip(rows[order].tolist(), columns[order].tolist(), strict=True):
+            if j not in got and i not in taken:
                 got[j] = i
+                taken.add(i)
         return {names_h[j]: names_r[i] for j, i in got.items()}
     n = max(len(names_r), len(names_h))
     cost = np.zeros((n, n))
@@ -248,6 +374,16 @@ def _assignment(overlap, names_r: list[str], names_h: list[str], greedy: bool) -
     return {names_h[j - 1]: names_r[match[j] - 1] for j in range(1, n + 1) if j <= len(names_h) and match[j] <= len(names_r) and overlap[match[j] - 1, j - 1] > 0}
 
 
+def error_parts(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
+    """clip_id, false_alarm, missed, total of :func:`error_rate`, which need no mapping, so no pairs are made."""
+    sums = _together(*speaking_together(boundaries(reference), boundaries(hypothesis)), pairs=False)
+    return sums.groupBy("clip_id").agg(_seconds(FALSE_ALARM).alias("false_alarm"), _seconds(MISSED).alias("missed"), _seconds(TOTAL).alias("total"))
+
+
+def _seconds(kind: int) -> Column:
+    return F.sum(F.when(F.col("kind") == kind, F.col("ms"))) / 1000
+
+
 def error_rate(reference: DataFrame, hypothesis: DataFrame, greedy: bool = False) -> DataFrame:
     """clip_id, false_alarm, missed, confusion, total, error_rate and mapping (hypothesis -> reference speaker).
 
@@ -257,37 +393,27 @@ def error_rate(reference: DataFrame, hypothesis: DataFrame, greedy: bool = False
     """
     import pandas as pd
 
-    sets, names = speaking_together(durable(boundaries(reference)), durable(boundaries(hypothesis)))
-    sets = durable(sets)
-    common = common_time(sets, names).select("clip_id", "r", "h", F.col("ms").cast("double").alias("s"))
-    pairs = common.groupBy("clip_id").agg(F.collect_list(F.struct("r", "h", "s")).alias("pairs"))
+    sums = _together(*speaking_together(boundaries(reference), boundaries(hypothesis)))
+    pairs = F.collect_list(F.when(F.col("kind") == PAIR, F.struct("r", "h", "ms")))
+    sums = sums.groupBy("clip_id").agg(*[_seconds(k).alias(n) for k, n in ((FALSE_ALARM, "false_alarm"), (MISSED, "missed"), (BOTH, "_both"), (TOTAL, "total"))], pairs.alias("pairs"))
 
-    def maps(rows: pd.Series) -> pd.Series:
+    def maps(rows: pd.Series) -> pd.DataFrame:
         import numpy as np
 
-        out = []
+        found, right = [], []
         for own in rows:
             r, h = sorted({x["r"] for x in own}), sorted({x["h"] for x in own})
+            at_r, at_h = {x: i for i, x in enumerate(r)}, {x: i for i, x in enumerate(h)}
             overlap = np.zeros((len(r), len(h)))
             for x in own:
-                overlap[r.index(x["r"]), h.index(x["h"])] = x["s"]
-            out.append(_assignment(overlap, r, h, greedy))
-        return pd.Series(out)
-
-    maps.__annotations__ = {"rows": pd.Series, "return": pd.Series}
-    mapping = pairs.select("clip_id", "pairs", F.pandas_udf(maps, "map<string,string>")("pairs").alias("mapping"))
-    mapped = F.filter("pairs", lambda p: F.coalesce(F.try_element_at(F.col("mapping"), p["h"]) == p["r"], F.lit(False)))
-    right = F.aggregate(mapped, F.lit(0.0), lambda s, p: s + p["s"]) / 1000
-    mapping = mapping.select("clip_id", "mapping", right.alias("_right"))
-    size = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.bit_count(x))
-    zero, seconds, n_r, n_h = F.lit(0), F.col("ms") / 1000, size("r"), size("h")
-    sums = sets.groupBy("clip_id").agg(
-        F.sum(F.greatest(n_h - n_r, zero) * seconds).alias("false_alarm"),
-        F.sum(F.greatest(n_r - n_h, zero) * seconds).alias("missed"),
-        F.sum(F.least(n_r, n_h) * seconds).alias("_both"),
-        F.sum(n_r * seconds).alias("total"),
-    )
-    sums = sums.join(mapping, "clip_id", "left").withColumn("confusion", F.col("_both") - F.coalesce("_right", F.lit(0.0)))
-    sums = sums.select("clip_id", "false_alarm", "missed", F.round("confusion", 9).alias("confusion"), "total", "mapping")
+                overlap[at_r[x["r"]], at_h[x["h"]]] = x["ms"]
+            got = _assignment(overlap, r, h, greedy) if r else None
+            found.append(got)
+            right.append(sum(overlap[at_r[x], at_h[y]] for y, x in (got or {}).items()) / 1000)
+        return pd.DataFrame({"mapping": found, "right": right})
+
+    maps.__annotations__ = {"rows": pd.Series, "return": pd.DataFrame}
+    sums = sums.withColumn("_m", F.pandas_udf(maps, "mapping map<string,string>, right double")("pairs"))
+    sums = sums.select("clip_id", "false_alarm", "missed", F.round(F.col("_both") - F.col("_m.right"), 9).alias("confusion"), "total", "_m.mapping")
     wrong = F.col("false_alarm") + F.col("missed") + F.col("confusion")
     return sums.withColumn("error_rate", F.try_divide(wrong, "total"))

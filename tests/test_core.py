@@ -610,6 +610,29 @@ def test_common_time_against_brute_force(spark, monkeypatch, word, matrix_rows):
     assert {r.missed for r in diarization.error_rate(ref.limit(0), hyp).collect()} == {0.0}
 
 
+def _many_speakers(spark, n):
+    """A clip of ``n`` speakers, of whom neighbours overlap for a second; a hypothesis half a second later."""
+    ref = spark.createDataFrame([(1, f"S{i:04}", i * 1.0, i + 2.0) for i in range(n)], "clip_id int, speaker string, start_sec double, end_sec double")
+    return ref, ref.withColumns({"start_sec": F.col("start_sec") + 0.5, "end_sec": F.col("end_sec") + 0.5})
+
+
+def test_rows_of_error_rates_do_not_widen_with_speakers(spark):
+    import glob
+
+    from sonoframe.plans.durable import shared_folder
+
+    def widest(n):
+        rows, rest = diarization.speaking_together(*map(diarization.boundaries, _many_speakers(spark, n)))
+        return max(len(str(r)) for r in [*rows.collect(), *rest.collect()])
+
+    assert widest(700) < widest(10) + 20
+    files = f"{shared_folder(spark).removeprefix('file:')}/**/part-*"
+    before = len(glob.glob(files, recursive=True))
+    r = diarization.error_rate(*_many_speakers(spark, 700), greedy=True).first()
+    assert len(glob.glob(files, recursive=True)) == before  # no copies of the lines on disk
+    assert (r.false_alarm, r.missed, r.confusion, r.total) == (1.0, 1.0, 349.0, 1400.0)
+
+
 @pytest.mark.parametrize("numbers", [None, 12])
 def test_nearest_against_brute_force(spark, numbers):
     rng = np.random.default_rng(1)
