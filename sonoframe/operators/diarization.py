@@ -45,6 +45,21 @@ def voice_seconds(lines: DataFrame) -> DataFrame:
 def voice_snr(channels: Column, rate: Column, lines: Column) -> Column:
     """Power of the samples within VOICE intervals (ends included) over that of the gaps, in dB; NaN if either has no
     samples or the gaps no power. ``lines`` is an array of (speaker, start_sec, end_sec); the first channel counts."""
+    def spans(n, r, start, end, closed):
+        """How many of the spans from ``start`` to ``end`` (``closed``: included) each of ``n`` samples is in."""
+        import numpy as np
+
+        def first(sec, after):
+            """The first sample from ``sec`` on, or ``after`` it: an estimate, set right by the samples' own times."""
+            i = np.clip(np.ceil(np.minimum(sec, n / r) * r), 0, n).astype("int64")
+            past = (lambda k: k / r > sec) if after else (lambda k: k / r >= sec)
+            i = np.where((i > 0) & past(i - 1), i - 1, i)
+            return np.where((i < n) & ~past(i), i + 1, i)
+
+        a, b = first(start, False), first(end, closed)
+        edges = np.bincount(a, minlength=n + 1) - np.bincount(np.maximum(a, b), minlength=n + 1)
+        return np.cumsum(edges[:n])
+
     def run(ch, hz, rows):
         import numpy as np
         import pyarrow as pa
@@ -56,18 +71,15 @@ def voice_snr(channels: Column, rate: Column, lines: Column) -> Column:
                 out.append(float("nan"))
                 continue
             power = w[0] ** 2
-            time = np.arange(len(power)) / r
-            voice, noise, end = [], [], 0.0
-            for x in usable:
-                if x["speaker"] == VOICE:
-                    voice.append(power[(time >= x["start_sec"]) & (time <= x["end_sec"])])
-                if x["start_sec"] > end:
-                    noise.append(power[(time >= end) & (time < x["start_sec"])])
-                end = max(end, x["end_sec"])
-            noise.append(power[time > end])
-            v, n = np.concatenate([*voice, []]), np.concatenate(noise)
+            start, end = (np.array([x[k] for x in usable], dtype="float64") for k in ("start_sec", "end_sec"))
+            is_voice = np.array([x["speaker"] == VOICE for x in usable])
+            reach = np.maximum.accumulate(np.concatenate([[0.0], end]))
+            gap = start > reach[:-1]
+            voice = spans(len(power), r, start[is_voice], end[is_voice], True)
+            noise = spans(len(power), r, np.append(reach[:-1][gap], np.nextafter(reach[-1], np.inf)), np.append(start[gap], np.inf), False)
+            (v, v_n), (n, n_n) = ((np.dot(x, power), x.sum()) for x in (voice, noise))
             with np.errstate(divide="ignore"):
-                out.append(float(10 * np.log10(v.mean() / n.mean())) if len(v) and len(n) and n.mean() > 0 else float("nan"))
+                out.append(float(10 * np.log10((v / v_n) / (n / n_n))) if v_n and n_n and n > 0 else float("nan"))
         return pa.array(out, pa.float64())
 
     return arrow_column(run, "double", channels, rate, lines)

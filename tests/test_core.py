@@ -157,6 +157,32 @@ def test_voice_metrics(spark):
     assert none.voice_activity_detection_metric == 0 and np.isnan(none.voice_signal_to_noise_power_ratio_metric)
 
 
+def test_voice_snr_against_brute_force(spark):
+    rng, rate = np.random.default_rng(5), 7
+    w = rng.normal(size=300)
+    rows = [(str(rng.choice(["VOICE", "x"])), a := round(float(rng.uniform(0, 30)), 1), a + round(float(rng.uniform(0, 0.4)), 1)) for _ in range(60)]
+    clip = spark.createDataFrame([("c", rate, [w.tolist()])], "clip_id string, sampling_rate int, channels array<array<double>>")
+    got = diarization.speech_metrics(clip, lines(spark, *rows), ["voice_signal_to_noise_power_ratio_metric"]).first()
+    time, voice, noise, end = np.arange(300) / rate, [], [], 0.0
+    for s, a, b in sorted(rows, key=lambda x: (x[1], x[2], x[0])):
+        voice += [*w[(time >= a) & (time <= b)]] if s == "VOICE" else []
+        noise += [*w[(time >= end) & (time < a)]]
+        end = max(end, b)
+    noise += [*w[time > end]]
+    assert got.voice_signal_to_noise_power_ratio_metric == pytest.approx(10 * np.log10(np.mean(np.square(voice)) / np.mean(np.square(noise))), abs=1e-9)
+
+
+def test_voice_snr_of_a_long_clip_with_many_lines(spark):
+    import time
+
+    seconds, rate = 20_000, 50  # lines times samples were 2e10
+    clip = spark.sql(f"SELECT 'c' AS clip_id, {rate} AS sampling_rate, array(transform(sequence(0, {seconds * rate - 1}), i -> IF(i % {rate} < 25, 1d, 0.1d))) AS channels")
+    spoken = spark.range(seconds).selectExpr("'c' AS clip_id", "'VOICE' AS speaker", "id * 1d AS start_sec", "id + 0.49 AS end_sec")
+    began = time.monotonic()
+    assert diarization.speech_metrics(clip, spoken, ["voice_signal_to_noise_power_ratio_metric"]).first().voice_signal_to_noise_power_ratio_metric == pytest.approx(20)
+    assert time.monotonic() - began < 20
+
+
 # texts
 
 
