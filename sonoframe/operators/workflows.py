@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonoframe.operators import frames
 from sonoframe.operators.features import voice_features
+from sonoframe.plans.skew import join_one
 
 
-def conversation_segments(clips: DataFrame, lines: DataFrame, bucket_sec: float = 10.0) -> DataFrame:
+def conversation_segments(clips: DataFrame, lines: DataFrame, bucket_sec: float = 10.0, read: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """A row per line with both times: clip_id, ord, speaker, start_sec, end_sec, sampling_rate and the channels of
     that stretch. A line's own number goes along, so lines that fall out shift nothing. Lines outside their clip raise.
 
     A clip is first cut into stretches that hold the lines beginning in the same ``bucket_sec``, each sample about once,
     so that a clip of many lines is neither repeated for each of them nor left to one task.
+
+    With ``read`` no clip is ever held as a whole: it gives the channels of a stretch (first sample, number of samples)
+    from the columns of ``clips``, which have n_samples in place of channels.
     """
+    if read is not None:
+        return _read_segments(clips, lines, read)
     usable = lines.where("start_sec IS NOT NULL AND end_sec IS NOT NULL").select("clip_id", "ord", "speaker", "start_sec", "end_sec", F.floor(F.col("start_sec") / bucket_sec).alias("_b"))
     spans = usable.groupBy("clip_id", "_b").agg(F.min("start_sec").alias("s"), F.max("end_sec").alias("e"))
     spans = spans.groupBy("clip_id").agg(F.collect_list("_b").alias("_bs"), F.collect_list("s").alias("_starts"), F.collect_list("e").alias("_ends"))  # a stretch of the clip each
@@ -40,11 +46,22 @@ def conversation_segments(clips: DataFrame, lines: DataFrame, bucket_sec: float
 
     schema = f"clip_id {kinds['clip_id']}, path {kinds['path']}, sampling_rate {kinds['sampling_rate']}, _n bigint, _b bigint, _first bigint, channels {kinds['channels']}"
     found = rows.join(spans, "clip_id").mapInPandas(stretches, schema).join(usable, ["clip_id", "_b"])
+    fine, first, size = _place(F.col("_n"))
+    return found.withColumn("channels", F.when(fine, frames.cut(F.col("channels"), (first - F.col("_first")).cast("int"), size))).drop("_n", "_b", "_first")
+
+
+def _place(n: Column) -> tuple[Column, Column, Column]:
+    """Whether a line is inside its clip of ``n`` samples (else it raises), its first sample and their number."""
     rate = F.col("sampling_rate")
-    fine = F.assert_true((F.col("start_sec") >= 0) & (F.col("end_sec") <= F.col("_n") / rate), F.lit("segment outside its clip")).isNull()
+    fine = F.assert_true((F.col("start_sec") >= 0) & (F.col("end_sec") <= n / rate), F.lit("segment outside its clip")).isNull()
     first = (F.col("start_sec") * rate).cast("int")
-    size = F.greatest((F.col("end_sec") * rate).cast("int") - first, F.lit(0))
-    return found.withColumn("channels", F.when(fine, frames.cut(F.col("channels"), (first - F.col("_first")).cast("int"), size))).drop("_n", "_b", "_first")
+    return fine, first, F.greatest((F.col("end_sec") * rate).cast("int") - first, F.lit(0))
+
+
+def _read_segments(clips: DataFrame, lines: DataFrame, read: Callable[[Column, Column], Column]) -> DataFrame:
+    usable = lines.where("start_sec IS NOT NULL AND end_sec IS NOT NULL").select("clip_id", "ord", "speaker", "start_sec", "end_sec")
+    fine, first, size = _place(F.col("n_samples"))
+    return join_one(usable, clips, "clip_id").select("clip_id", "path", "sampling_rate", F.when(fine, read(first, size)).alias("channels"), "ord", "speaker", "start_sec", "end_sec")
 
 
 def explore_conversation(
@@ -54,15 +71,17 @@ def explore_conversation(
     families: tuple[str, ...] = (),
     speaker_embedders: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
     ssl_embedders: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+    read: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """original_file, segments: per file the array of its segments in order, each with original_file, sampling_rate,
     speaker_id, start, end, transcripts, features, speaker_embeddings and ssl_embeddings.
 
     Each callable takes the segments and adds a column: ``text``, ``vector`` or ``layers`` (frames are averaged). The
     models' results become maps by model name. original_file is the clip's path (its id where it has none); a clip
-    without usable lines has an empty array. Without clips there are no rows.
+    without usable lines has an empty array. Without clips there are no rows. ``read`` is that of
+    :func:`conversation_segments`, for clips too long to be held.
     """
-    rows = conversation_segments(clips, lines)
+    rows = conversation_segments(clips, lines, read=read)
     transcripts, speakers, ssl = [], [], []
     for name, call in (transcribers or {}).items():
         rows = call(rows).withColumnRenamed("text", f"_t_{len(transcripts)}")

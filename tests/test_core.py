@@ -533,6 +533,32 @@ def test_conversation_report_has_every_line(spark, tmp_path):
         assert [r.mean, r.peak] == pytest.approx([x.mean(), np.abs(x).max()] if len(x) else [0, 0], abs=1e-6)
 
 
+def test_conversation_report_keeps_no_list_beside_its_rows(spark, data):
+    import re
+
+    from sonoframe.plans.queries_speech import conversation_report
+
+    plan = conversation_report(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    kept = re.search(r"Generate posexplode\(.*\), \[([\d, ]*)\], true", plan).group(1)
+    assert kept  # the list itself isn't copied into each of its rows
+
+
+def test_conversation_segments_read_or_held(spark):
+    clips = spark.createDataFrame([("a", "p", 10, [[float(i) for i in range(50)]]), ("b", None, 10, [[0.5] * 20])], "clip_id string, path string, sampling_rate int, channels array<array<double>>")
+    own = spark.createDataFrame([("a", 0, "x", 0.0, 1.25), ("a", 1, "y", 1.0, 5.0), ("a", 2, "y", 3.0, 3.0), ("a", 3, "z", None, 1.0), ("b", 0, "x", 0.5, 2.0), ("c", 0, "x", 0.5, 2.0)], "clip_id string, ord int, speaker string, start_sec double, end_sec double")
+    held = workflows_segments(clips, own)
+    lazy = clips.withColumn("n_samples", F.size(F.get("channels", F.lit(0)))).withColumnRenamed("channels", "w")
+    assert workflows_segments(lazy, own, lambda first, size: F.transform("w", lambda c: F.slice(c, first + 1, size))) == held and len(held) == 4
+    with pytest.raises(Exception, match="outside"):
+        workflows_segments(lazy, own.withColumn("end_sec", F.lit(5.1)), lambda first, size: F.col("w"))
+
+
+def workflows_segments(clips, own, read=None):
+    from sonoframe.operators import workflows
+
+    return sorted((r.clip_id, r.ord, r.speaker, r.start_sec, r.end_sec, r.sampling_rate, str(r.path), r.channels) for r in workflows.conversation_segments(clips, own, read=read).collect())
+
+
 def test_conversation_segments_outside_their_clip_raise(spark):
     from sonoframe.operators import workflows
 
