@@ -668,6 +668,17 @@ def _many_speakers(spark, n):
     return ref, ref.withColumns({"start_sec": F.col("start_sec") + 0.5, "end_sec": F.col("end_sec") + 0.5})
 
 
+def test_assignment_of_many_speakers():
+    rng = np.random.default_rng(3)
+    n = 60
+    m, at = np.zeros((n, n)), rng.permutation(n)
+    m[np.arange(n), at] = 100.0
+    m += rng.uniform(0, 1, (n, n)) * (rng.uniform(size=(n, n)) < 0.2)
+    names = [f"{i:02}" for i in range(n)]
+    for greedy in (False, True):
+        assert diarization._assignment(m, names, names, greedy) == {names[at[i]]: names[i] for i in range(n)}
+
+
 def test_rows_of_error_rates_do_not_widen_with_speakers(spark):
     import glob
 
