@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +133,9 @@ WORD = 62
 #: Rows of whole buckets that are worked on at once.
 CHUNK_ROWS = 50_000
 
+#: Sums that are held, or given on at once, before those of the same pair are added up.
+HELD_ROWS = 500_000
+
 #: What the milliseconds of a row of :func:`_together` are.
 PAIR, FALSE_ALARM, MISSED, BOTH, TOTAL = range(5)
 
@@ -139,16 +144,22 @@ def speaking_together(reference: DataFrame, hypothesis: DataFrame) -> tuple[Data
     """The lines of both sides (:func:`boundaries`) by buckets of time, and what goes from one bucket of a clip to its
     next: clip_id, _bucket, side, speaker, at, till, n.
 
-    A line is a row in the bucket where it begins, and, if it ends in another one, a second row there; its other time is
-    then null. Times count from the start of the bucket. The second table has the ``n`` lines of a speaker that go on when a bucket begins to have lines, and, with
-    side 2, when the bucket after it does. Only buckets in which something happens exist.
+    A line that ends in the bucket where it begins, or in the one after it, is a row in each, with its times there. One
+    that goes further is a row where it begins and one where it ends, whose other time is null. Times count from the start
+    of the bucket. The second table has the ``n`` such lines of a speaker that go on when a bucket begins to have lines,
+    and, with side 2, when the bucket after it does; it is empty, and costs no more than the one look at all times that
+    this function takes for it, if no line goes further. Only buckets in which something happens exist.
     """
     both = reference.withColumn("side", F.lit(0)).unionByName(hypothesis.withColumn("side", F.lit(1)))
-    first, last = F.expr(f"from_ms div {BUCKET_MS}"), F.expr(f"to_ms div {BUCKET_MS}")
+    first, last = F.expr(f"from_ms div {BUCKET_MS}"), F.expr(f"(to_ms - 1) div {BUCKET_MS}")
     none, length = F.lit(None).cast("bigint"), BUCKET_MS
-    part = lambda bucket, at, till: F.struct(bucket.alias("_bucket"), (at - bucket * length).alias("at"), (till - bucket * length).alias("till"))
-    parts = F.when(first == last, F.array(part(first, F.col("from_ms"), F.col("to_ms")))).otherwise(F.array(part(first, F.col("from_ms"), none), part(last, none, F.col("to_ms"))))
+    part = lambda bucket, at, till: F.struct(bucket.alias("_bucket"), at.alias("at"), till.alias("till"))
+    at, till, zero, border = F.col("from_ms") - first * length, F.col("to_ms") - last * length, F.lit(0).cast("bigint"), F.lit(length).cast("bigint")
+    parts = F.when(first == last, F.array(part(first, at, till)))
+    parts = parts.when(last - first == 1, F.array(part(first, at, border), part(last, zero, till))).otherwise(F.array(part(first, at, none), part(last, none, till)))
     rows = both.select("clip_id", "side", "speaker", F.explode(parts).alias("_p")).select("clip_id", "_p._bucket", "side", "speaker", "_p.at", "_p.till", F.lit(1).cast("bigint").alias("n"))
+    if (both.agg(F.max(last - first)).first()[0] or 0) < 2:
+        return rows, rows.where("false")
     begins = rows.groupBy("clip_id", "_bucket").agg(F.min(F.least("at", "till")).alias("at"))
     begins = begins.select("clip_id", "_bucket", F.lit(-1).alias("side"), F.lit(None).cast("string").alias("speaker"), "at", none.alias("till"), F.lit(0).cast("bigint").alias("n"))
     going = rows.where("at IS NULL OR till IS NULL").groupBy("clip_id", "_bucket", "side", "speaker").agg(F.sum(F.when(F.col("till").isNull(), 1).otherwise(-1)).alias("n"))
@@ -184,6 +195,28 @@ def speaking_together(reference: DataFrame, hypothesis: DataFrame) -> tuple[Data
     return rows, carried
 
 
+def _whole(batches, keys: list[str], size: int):
+    """Sorted batches as tables of about ``size`` rows, each of which holds all rows of its ``keys``."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < size:
+            continue
+        codes = [batch.column(k).dictionary_encode().indices.to_numpy() for k in keys]
+        cuts = sum(c[1:] != c[:-1] for c in codes).nonzero()[0]
+        if len(cuts):  # the last ones may go on
+            at = int(cuts[-1]) + 1
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, at)])
+            held, n = [batch.slice(at)], batch.num_rows - at
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _together(rows: DataFrame, carried: DataFrame, pairs: bool = True) -> DataFrame:
     """clip_id, kind, r, h, ms of what :func:`speaking_together` gave, a row per clip, kind and pair of speakers: PAIR, how
     long r and h speak at the same time (if ``pairs``); and, without speakers, FALSE_ALARM, MISSED, BOTH and TOTAL, the
@@ -191,28 +224,7 @@ def _together(rows: DataFrame, carried: DataFrame, pairs: bool = True) -> DataFr
 
     Buckets are independent of each other: lines become stretches of time in which the same speakers speak, and many
     speakers at the same time are multiplied out as matrices, so that they make no rows of their own."""
-    kind, word, most, chunk = dict(rows.dtypes)["clip_id"], WORD, MATRIX_ROWS, CHUNK_ROWS
-
-    def whole(batches):
-        """The rows in tables of whole buckets."""
-        import pyarrow as pa
-
-        held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.num_rows
-            if size < chunk:
-                continue
-            c, b = batch.column("clip_id").dictionary_encode().indices.to_numpy(), batch.column("_bucket").to_numpy()
-            cuts = ((c[1:] != c[:-1]) | (b[1:] != b[:-1])).nonzero()[0]
-            if len(cuts):  # the last bucket may go on
-                at = int(cuts[-1]) + 1
-                yield pa.Table.from_batches([*held[:-1], batch.slice(0, at)])
-                held, size = [batch.slice(at)], batch.num_rows - at
-        if held:
-            yield pa.Table.from_batches(held)
+    kind, word, most, chunk, held = dict(rows.dtypes)["clip_id"], WORD, MATRIX_ROWS, CHUNK_ROWS, HELD_ROWS
 
     def found(batches):
         import numpy as np
@@ -235,7 +247,7 @@ def _together(rows: DataFrame, carried: DataFrame, pairs: bool = True) -> DataFr
             start = np.flatnonzero(new)
             return total - np.repeat((total - values)[start], np.diff([*start, len(values)]))
 
-        for table in whole(batches):
+        for table in _whole(batches, ["clip_id", "_bucket"], chunk):
             table = table.combine_chunks()
             encoded = [table.column(c).combine_chunks().dictionary_encode() for c in ("clip_id", "speaker")]
             clips, speakers = (x.dictionary for x in encoded)
@@ -267,12 +279,25 @@ def _together(rows: DataFrame, carried: DataFrame, pairs: bool = True) -> DataFr
             nr, nh = (running(x, first) for x in change)
             ms = np.zeros(len(sg), dtype="int64")
             ms[:-1] = np.where(first[1:], 0, st[1:] - st[:-1])
-            made: list[tuple] = []
+            names = len(speakers) + 1
+            made: list[tuple] = []  # keys, milliseconds
+
+            def key(i, k, r, h):
+                return ((i * 5 + k) * names + r + 1) * names + h + 1  # noqa: B023
+
+            def added(parts):
+                """The different keys in their order, and the sum of each."""
+                keys, ms = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.argsort(keys)
+                keys = keys[order]
+                new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                return keys[new], np.add.reduceat(ms[order], new)
+
             for k, x in ((FALSE_ALARM, np.maximum(nh - nr, 0)), (MISSED, np.maximum(nr - nh, 0)), (BOTH, np.minimum(nr, nh)), (TOTAL, nr)):
                 total = np.zeros(len(clips), dtype="int64")
                 np.add.at(total, clip_of[sg], x * ms)
                 i = np.unique(clip_of[sg])
-                made.append((i, np.full(len(i), k), np.full(len(i), -1), np.full(len(i), -1), total[i]))
+                made.append((key(i, k, -1, -1), total[i]))
             if pairs and len(g):
                 # periods of speakers as stretches from..to; a period open at the end goes to the last one of the bucket
                 order = np.lexsort((t, s, d, g))
@@ -283,17 +308,25 @@ def _together(rows: DataFrame, carried: DataFrame, pairs: bool = True) -> DataFr
                 end = np.where(follows, np.append(p[1:], 0), last)[begin]
                 pg, pd, ps, start = g[order][begin], d[order][begin], s[order][begin], p[begin]
                 cost = np.bincount(sg, weights=np.maximum(nr, 1) * np.maximum(nh, 1), minlength=len(clip_of))
-                made += few(np, pg, pd, ps, start, end, ms, cost[pg] <= most, clip_of)
+                i, r, h, x = few(np, pg, pd, ps, start, end, ms, cost[pg] <= most, clip_of)
+                made.append((key(i, PAIR, r, h), x))
                 many = np.flatnonzero(cost > most)
                 edges = np.searchsorted(pg, many, "left"), np.searchsorted(pg, many, "right")
+                limit = held
                 for k, a, b in zip(many, *edges, strict=True):
-                    made += matrix(np, clip_of[k], pd[a:b], ps[a:b], start[a:b], end[a:b], ms)
-            i, k, r, h, t = (np.concatenate(x) for x in zip(*made, strict=True))
-            (i, k, r, h), where = sums(i, k, r, h)
-            total = np.zeros(len(i), dtype="int64")
-            np.add.at(total, where, t)
+                    r, h, x = matrix(np, pd[a:b], ps[a:b], start[a:b], end[a:b], ms)
+                    made.append((key(clip_of[k], PAIR, r, h), x))
+                    if sum(len(x) for x, _ in made) > limit:  # a clip's pairs come again in each of its buckets
+                        made = [added(made)]
+                        limit = max(held, 2 * len(made[0][0]))
+            keys, total = added(made)
             name = lambda x: speakers.take(pa.array(np.maximum(x, 0), mask=x < 0))
-            yield pa.RecordBatch.from_arrays([clips.take(pa.array(i)), pa.array(k.astype("int32")), name(r), name(h), pa.array(total)], names=["clip_id", "kind", "r", "h", "ms"])
+            for a in range(0, len(keys), held):
+                x, t = keys[a : a + held], total[a : a + held]
+                x, h = np.divmod(x, names)
+                x, r = np.divmod(x, names)
+                i, k = np.divmod(x, 5)
+                yield pa.RecordBatch.from_arrays([clips.take(pa.array(i)), pa.array(k.astype("int32")), name(r - 1), name(h - 1), pa.array(t)], names=["clip_id", "kind", "r", "h", "ms"])
 
     def sg_of(sg, g):
         """Which of the different buckets in ``sg`` each of ``g`` is."""
@@ -315,11 +348,11 @@ def _together(rows: DataFrame, carried: DataFrame, pairs: bool = True) -> DataFr
         size = np.searchsorted(y, x, "right") - a
         row = np.repeat(np.arange(len(x)), size)
         j = np.arange(size.sum()) + np.repeat(a - np.cumsum(size) + size, size)
-        return [(clip_of[group[row]], np.full(len(row), PAIR), r[row], h[j], ms[x[row]])]
+        return clip_of[group[row]], r[row], h[j], ms[x[row]]
 
-    def matrix(np, clip, pd, ps, start, end, ms):
+    def matrix(np, pd, ps, start, end, ms):
         """The same by products of matrices of stretches and speakers, a block of stretches at a time."""
-        names, total = [np.unique(ps[pd == k]) for k in (0, 1)], 0
+        names, total = [np.unique(ps[pd == k]) for k in (0, 1)], 0.0
         column = [np.searchsorted(names[k], ps[pd == k]) for k in (0, 1)]
         for a in range(start.min(), end.max(), word):
             b = min(a + word, end.max())
@@ -332,7 +365,7 @@ def _together(rows: DataFrame, carried: DataFrame, pairs: bool = True) -> DataFr
                 speak.append(np.cumsum(steps[:-1], axis=0))
             total = total + (speak[0] * ms[a:b, None]).T @ speak[1]
         i, j = np.nonzero(total)
-        return [(np.full(len(i), clip), np.full(len(i), PAIR), names[0][i], names[1][j], total[i, j].astype("int64"))]
+        return names[0][i], names[1][j], total[i, j].astype("int64")
 
     together = rows.unionByName(carried).repartition("clip_id", "_bucket").sortWithinPartitions("clip_id", "_bucket")
     parts = together.mapInArrow(found, f"clip_id {kind}, kind int, r string, h string, ms bigint")
@@ -345,7 +378,7 @@ def common_time(rows: DataFrame, carried: DataFrame) -> DataFrame:
     return _together(rows, carried).where(f"kind = {PAIR}").select("clip_id", "r", "h", "ms")
 
 
-def _assignment(overlap, names_r: list[str], names_h: list[str], greedy: bool) -> dict[str, str]:
+def _assignment(overlap, names_r: Sequence, names_h: Sequence, greedy: bool) -> dict:
     """Hypothesis speaker -> reference speaker with the largest overlap in sum (or taken greedily, largest first)."""
     import numpy as np
 
@@ -386,6 +419,41 @@ def _assignment(overlap, names_r: list[str], names_h: list[str], greedy: bool) -
     return {names_h[j - 1]: names_r[match[j] - 1] for j in range(1, n + 1) if j <= len(names_h) and match[j] <= len(names_r) and overlap[match[j] - 1, j - 1] > 0}
 
 
+def _mapped(clip, r, h, overlap, clips: int, greedy: bool):
+    """Which of the pairs, sorted by clip, the mappings of the ``clips`` take.
+
+    Where each hypothesis speaker of a clip has one reference speaker with whom it speaks longest, and no two have the
+    same (or so the other way round), that is the only best mapping, and the greedy one. The other clips are assigned.
+    """
+    import numpy as np
+
+    at_r, at_h = clip * (r.max(initial=0) + 1) + r, clip * (h.max(initial=0) + 1) + h
+
+    def longest(key, other):
+        """The pair of most time of each key; for which clips they are the mapping."""
+        order = np.lexsort((overlap, key))
+        k, v = key[order], overlap[order]
+        last = np.flatnonzero(np.append(k[1:] != k[:-1], True)) if len(k) else np.zeros(0, dtype="int64")
+        top, sure = order[last], np.ones(clips, dtype=bool)
+        tie = (last > 0) & (k[last - 1] == k[last]) & (v[last - 1] == v[last])
+        _, where, n = np.unique(other[top], return_inverse=True, return_counts=True)
+        sure[clip[top[tie | (n[where] > 1)]]] = False
+        return top, sure
+
+    by_h, sure = longest(at_h, at_r)
+    by_r, too = longest(at_r, at_h)
+    taken = [by_h[sure[clip[by_h]]], by_r[(too & ~sure)[clip[by_r]]]]
+    for c in np.flatnonzero(~(sure | too)):
+        a, b = np.searchsorted(clip, [c, c + 1])
+        own_r, i = np.unique(r[a:b], return_inverse=True)
+        own_h, j = np.unique(h[a:b], return_inverse=True)
+        time, pair = np.zeros((len(own_r), len(own_h))), np.zeros((len(own_r), len(own_h)), dtype="int64")
+        time[i, j], pair[i, j] = overlap[a:b], np.arange(a, b)
+        got = _assignment(time, range(len(own_r)), range(len(own_h)), greedy)
+        taken.append(pair[list(got.values()), list(got)])
+    return np.concatenate(taken)
+
+
 def error_parts(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
     """clip_id, false_alarm, missed, total of :func:`error_rate`, which need no mapping, so no pairs are made."""
     sums = _together(*speaking_together(boundaries(reference), boundaries(hypothesis)), pairs=False)
@@ -400,32 +468,44 @@ def error_rate(reference: DataFrame, hypothesis: DataFrame, greedy: bool = False
     """clip_id, false_alarm, missed, confusion, total, error_rate and mapping (hypothesis -> reference speaker).
 
     Overlapping speech counts, there is no collar, times are to the millisecond. The mapping maximizes the common time,
-    or is greedy. error_rate is null without reference speech. The pairs of speakers of a clip are few, and only their
-    common time goes into the mapping. As the mapping is one to one, what is right is the common time of mapped pairs.
+    or is greedy; it is null if none speak together. error_rate is null without reference speech. Only the common time of
+    a clip's pairs of speakers goes into the mapping, which one task holds. As the mapping is one to one, what is right is
+    the common time of mapped pairs.
     """
-    import pandas as pd
-
     sums = _together(*speaking_together(boundaries(reference), boundaries(hypothesis)))
-    pairs = F.collect_list(F.when(F.col("kind") == PAIR, F.struct("r", "h", "ms")))
-    sums = sums.groupBy("clip_id").agg(*[_seconds(k).alias(n) for k, n in ((FALSE_ALARM, "false_alarm"), (MISSED, "missed"), (BOTH, "_both"), (TOTAL, "total"))], pairs.alias("pairs"))
+    kind, chunk = dict(sums.dtypes)["clip_id"], CHUNK_ROWS
 
-    def maps(rows: pd.Series) -> pd.DataFrame:
+    def maps(batches):
+        """The sums of each clip by kind, and its mapping: rows stay Arrow's, whatever the number of pairs."""
         import numpy as np
+        import pyarrow as pa
 
-        found, right = [], []
-        for own in rows:
-            r, h = sorted({x["r"] for x in own}), sorted({x["h"] for x in own})
-            at_r, at_h = {x: i for i, x in enumerate(r)}, {x: i for i, x in enumerate(h)}
-            overlap = np.zeros((len(r), len(h)))
-            for x in own:
-                overlap[at_r[x["r"]], at_h[x["h"]]] = x["ms"]
-            got = _assignment(overlap, r, h, greedy) if r else None
-            found.append(got)
-            right.append(sum(overlap[at_r[x], at_h[y]] for y, x in (got or {}).items()) / 1000)
-        return pd.DataFrame({"mapping": found, "right": right})
-
-    maps.__annotations__ = {"rows": pd.Series, "return": pd.DataFrame}
-    sums = sums.withColumn("_m", F.pandas_udf(maps, "mapping map<string,string>, right double")("pairs"))
-    sums = sums.select("clip_id", "false_alarm", "missed", F.round(F.col("_both") - F.col("_m.right"), 9).alias("confusion"), "total", "_m.mapping")
+        for table in _whole(batches, ["clip_id"], chunk):
+            table = table.combine_chunks()
+            encoded = table.column("clip_id").combine_chunks().dictionary_encode()
+            clip, clips = encoded.indices.to_numpy().astype("int64"), encoded.dictionary
+            of, ms = table.column("kind").to_numpy(), table.column("ms").to_numpy()
+            sums = np.zeros((5, len(clips)), dtype="int64")
+            for k in (FALSE_ALARM, MISSED, BOTH, TOTAL):
+                np.add.at(sums[k], clip[of == k], ms[of == k])
+            own = np.flatnonzero(of == PAIR)
+            c, overlap, codes, names = clip[own], ms[own], [], []
+            for side in ("r", "h"):
+                x = table.column(side).combine_chunks().take(pa.array(own)).dictionary_encode()
+                order = np.array(sorted(range(len(x.dictionary)), key=x.dictionary.to_pylist().__getitem__), dtype="int64")
+                codes.append(np.argsort(order)[x.indices.to_numpy()])
+                names.append(x.dictionary.take(pa.array(order)))
+            taken = _mapped(c, codes[0], codes[1], overlap, len(clips), greedy)
+            taken = taken[np.lexsort((codes[1][taken], c[taken]))]
+            right = np.zeros(len(clips), dtype="int64")
+            np.add.at(right, c[taken], overlap[taken])
+            offsets = np.append(0, np.cumsum(np.bincount(c[taken], minlength=len(clips)))).astype("int32")
+            mapping = pa.MapArray.from_arrays(pa.array(offsets), names[1].take(pa.array(codes[1][taken])), names[0].take(pa.array(codes[0][taken])))
+            yield pa.RecordBatch.from_arrays([clips, *[pa.array(sums[k]) for k in (FALSE_ALARM, MISSED, BOTH, TOTAL)], pa.array(right), mapping], names=["clip_id", "false_alarm", "missed", "both", "total", "right", "mapping"])
+
+    rows = sums.repartition("clip_id").sortWithinPartitions("clip_id").mapInArrow(maps, f"clip_id {kind}, false_alarm bigint, missed bigint, both bigint, total bigint, right bigint, mapping map<string,string>")
+    seconds = {k: F.col(k) / 1000 for k in ("false_alarm", "missed", "both", "total", "right")}
+    mapping = F.when(F.size("mapping") > 0, F.col("mapping")).alias("mapping")
+    sums = rows.select("clip_id", seconds["false_alarm"].alias("false_alarm"), seconds["missed"].alias("missed"), F.round(seconds["both"] - seconds["right"], 9).alias("confusion"), seconds["total"].alias("total"), mapping)
     wrong = F.col("false_alarm") + F.col("missed") + F.col("confusion")
     return sums.withColumn("error_rate", F.try_divide(wrong, "total"))

@@ -705,6 +705,56 @@ def test_rows_of_error_rates_do_not_widen_with_speakers(spark):
     assert (r.false_alarm, r.missed, r.confusion, r.total) == (1.0, 1.0, 349.0, 1400.0)
 
 
+def test_lines_of_error_rates_are_shuffled_once(spark, data):
+    from sonoframe.plans.queries_speech import der_optimal
+
+    ref = spark.createDataFrame([(1, "A", 10.0, 70.0), (1, "B", 50.0, 180.0), (1, "A", 60.0, 119.0)], "clip_id int, speaker string, start_sec double, end_sec double")
+    near, far = ref.where("speaker = 'A'"), ref
+    rows, rest = diarization.speaking_together(*map(diarization.boundaries, (near, near)))
+    assert rest.count() == 0  # what ends in the next bucket needn't be carried there
+    assert sorted({(r._bucket, r.at, r.till) for r in rows.collect()}) == [(0, 10_000, 60_000), (1, 0, 10_000), (1, 0, 59_000)]
+    assert diarization.speaking_together(*map(diarization.boundaries, (far, near)))[1].count() > 0
+    assert diarization.error_rate(far, near).first() == diarization.error_rate(far.union(far), near).first()
+    r = diarization.error_rate(far, near).first()
+    assert (r.false_alarm, r.missed, r.confusion, r.total, r.mapping) == (0.0, 130.0, 0.0, 239.0, {"A": "A"})
+    plan = der_optimal(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [line_id" not in plan and "collect_list" not in plan
+
+
+@pytest.mark.parametrize("greedy", [False, True])
+def test_mappings_of_many_clips(greedy):
+    """The pairs that are mapped without an assignment are those of one."""
+    from itertools import permutations
+
+    rng = np.random.default_rng(5)
+    pairs, want = [], []
+    for c in range(300):
+        m = rng.integers(0, [3, 9, 1000][c % 3], tuple(rng.integers(1, 5, 2)))
+        pairs += [(c, i, j, m[i, j]) for i, j in np.argwhere(m)]
+        got = diarization._assignment(m.astype(float), range(len(m)), range(len(m[0])), greedy)
+        want.append(sum(m[i, j] for j, i in got.items()))
+        if not greedy:
+            wide = m if len(m) <= len(m[0]) else m.T
+            assert want[-1] == max(sum(wide[i, j] for i, j in enumerate(p)) for p in permutations(range(len(wide[0])), len(wide)))
+    c, i, j, ms = map(np.array, zip(*pairs, strict=True))
+    taken = diarization._mapped(c, i, j, ms, 300, greedy)
+    assert np.bincount(c[taken], weights=ms[taken], minlength=300).tolist() == want
+    assert len({(a, b) for a, b in zip(c[taken], i[taken], strict=True)}) == len({(a, b) for a, b in zip(c[taken], j[taken], strict=True)}) == len(taken)
+    assert len(diarization._mapped(c[:0], i[:0], j[:0], ms[:0], 2, greedy)) == 0
+
+
+def test_pairs_of_many_buckets_are_added_up(spark, monkeypatch):
+    """Speakers who all speak at once, bucket after bucket: what is held are the pairs, not the pairs of each bucket."""
+    monkeypatch.setattr(diarization, "HELD_ROWS", 7)
+    rows = [(1, f"S{i:02}", 60.0 * k + i / 100, 60.0 * k + 59) for k in range(5) for i in range(50)]
+    ref = spark.createDataFrame(rows, "clip_id int, speaker string, start_sec double, end_sec double").coalesce(1)
+    rows, rest = diarization.speaking_together(*[diarization.boundaries(ref)] * 2)
+    got = {(r.r, r.h): r.ms for r in diarization.common_time(rows, rest).collect()}
+    assert got == {(f"S{i:02}", f"S{j:02}"): 5 * (59_000 - 10 * max(i, j)) for i in range(50) for j in range(50)}
+    r = diarization.error_rate(ref, ref).first()
+    assert (r.confusion, r.error_rate, r.mapping) == (0.0, 0.0, {f"S{i:02}": f"S{i:02}" for i in range(50)})
+
+
 @pytest.mark.parametrize("numbers", [None, 12])
 def test_nearest_against_brute_force(spark, numbers):
     rng = np.random.default_rng(1)
